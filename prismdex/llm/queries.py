@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from prismdex.llm.decontaminate import OP7_SQL, op7_decontaminate
 from prismdex.llm.quality_rules import op3_quality_rules
 from prismdex.llm.simhash import op1_simhash
 
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op3_quality_rules": op3_quality_rules,
+    "op7_decontaminate": op7_decontaminate,
+}
+ORACLES: dict[str, str] = {
+    "op7_decontaminate": OP7_SQL,
 }
-ORACLES: dict[str, str] = {}
