@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from prismdex.llm.decontaminate import OP7_SQL, op7_decontaminate
+from prismdex.llm.mixing import op6_mixing
 from prismdex.llm.quality_rules import op3_quality_rules
 from prismdex.llm.simhash import op1_simhash
+from prismdex.llm.token_files import op2_token_files
 
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op2_token_files": op2_token_files,
     "op3_quality_rules": op3_quality_rules,
+    "op6_mixing": op6_mixing,
     "op7_decontaminate": op7_decontaminate,
 }
 ORACLES: dict[str, str] = {
