@@ -52,29 +52,36 @@ NOTICES = (
 )
 
 
-def _anchors(templates: tuple[Template, ...], each: int) -> dict[str, list[tuple[int, int]]]:
-    """Postings (template, position) of each template's ``each`` words of highest IDF (then the longest)."""
+def _anchors(templates: tuple[Template, ...], shares: list[float]) -> dict[str, list[tuple[int, int]]]:
+    """Postings (template, position) of the words of highest IDF (then the longest) of each template.
+
+    So many positions are posted that a place with the template's share of words in place holds one of them at least.
+    """
     seen = Counter(w for t in templates for w in set(t.words.split()))
     idf = {w: math.log(len(templates) / n) for w, n in seen.items()}
     out: dict[str, list[tuple[int, int]]] = {}
-    for k, t in enumerate(templates):
+    for k, (t, share) in enumerate(zip(templates, shares, strict=True)):
         words = t.words.split()
-        for w in sorted(set(words), key=lambda w: (-idf[w], -len(w), w))[:each]:
-            out.setdefault(w, []).extend((k, p) for p, x in enumerate(words) if x == w)
+        need = len(words) - math.ceil(share * len(words) - 1e-9) + 1
+        for w in sorted(set(words), key=lambda w: (-idf[w], -len(w), w)):
+            if need <= 0:
+                break
+            at = [p for p, x in enumerate(words) if x == w]
+            out.setdefault(w, []).extend((k, p) for p in at)
+            need -= len(at)
     return out
 
 
-
-def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Template, ...] = NOTICES, share: float = 0.8, each: int = 3) -> DataFrame:
+def scan(docs: DataFrame, base: tuple[Template, ...] = BASE, notices: tuple[Template, ...] = NOTICES, share: float = 0.8) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     n_base, first_word and last_word: places (from 0) where a template of ``base`` stands whole; its anchor words stand there too, so the
     index finds every one.  labels: those of base, and of notices of which ``share`` of the words and the whole key phrase stand in
-    place.  score: the best share among the labels given, else 0.  A null or empty text has no words; ties cannot occur, as all places
-    count; a text of licence words only is checked place by place; repeated rows repeat; other columns are ignored; an empty table gives an empty one.
+    place.  score: the best share among the labels given, else 0.  A null or empty text has no words; equal places all count;
+    repeated rows repeat; other columns are ignored; an empty table gives an empty one.
     """
     templates = (*base, *notices)
-    postings = _anchors(templates, each)
+    postings = _anchors(templates, [1.0] * len(base) + [share] * len(notices))
     rare = F.array(*[F.lit(w) for w in sorted(postings)])
     place = lambda k, p: F.struct(F.lit(k).alias("t"), F.lit(p).alias("p"))
     index = F.create_map(*[x for w in sorted(postings) for x in (F.lit(w), F.array(*[place(k, p) for k, p in postings[w]]))])
@@ -121,20 +128,27 @@ def op9_licenses(spark, sf_dir) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
-OP9_SQL = r"""
+def _sql() -> str:
+    rows = [(t, base) for ts, base in ((BASE, True), (NOTICES, False)) for t in ts]
+    values = ",\n".join(f"  ('{t.label}', '{t.words}', '{t.key}', {_find(t.words.split(), t.key.split())}, {base})" for t, base in rows)
+    return rf"""
 WITH d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-t(label, words, key, base) AS (VALUES
-%s),
-p AS (SELECT label, string_split(words, ' ') AS x, string_split(key, ' ') AS k, base FROM t),
-c AS (SELECT doc_id, w, label, x, k, base, unnest(range(1, len(w) + 1)) AS i FROM d, p WHERE list_contains(w, k[1])),
-h AS (
-  SELECT doc_id, label, base, i - 1 AS s, len(list_filter(range(1, len(x) + 1), lambda j : w[i + j - 1] = x[j])) / len(x) AS share
-  FROM c WHERE list_position(x, k[1]) > 0 AND w[i + at(x, k) - 1 : i + at(x, k) + len(k) - 2] = k),
-f AS (SELECT * FROM h WHERE share >= CASE WHEN base THEN 1.0 ELSE 0.8 END),
-g AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+t(label, words, keys, key_at, base) AS (VALUES
+{values}),
+p AS (SELECT label, string_split(words, ' ') AS x, string_split(keys, ' ') AS k, key_at, base FROM t),
+c AS (SELECT doc_id, w, label, x, k, key_at, base, unnest(range(1, len(w) + 1)) AS i FROM d, p WHERE list_contains(w, k[1])),
+h AS (SELECT doc_id, label, base, x, w, i - 1 - key_at AS s FROM c WHERE w[i : i + len(k) - 1] = k AND i - 1 - key_at >= 0),
+g AS (SELECT doc_id, label, base, s, len(list_filter(range(1, len(x) + 1), lambda j : coalesce(w[s + j] = x[j], false))) / len(x) AS share FROM h),
+f AS (SELECT * FROM g WHERE share >= CASE WHEN base THEN 1.0 ELSE 0.8 END),
+a AS (
   SELECT doc_id, count(*) FILTER (base) AS n_base, min(s) FILTER (base) AS first_word, max(s) FILTER (base) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM f GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
-  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score FROM d LEFT JOIN g USING (doc_id)
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score
+  FROM f GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word,
+  CAST(last_word AS BIGINT) AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM d LEFT JOIN a USING (doc_id)
 """
+
+
+OP9_SQL = _sql()

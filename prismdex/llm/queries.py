@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from prismdex.llm.decontaminate import OP7_SQL, op7_decontaminate
-from prismdex.llm.licenses import op9_licenses
+from prismdex.llm.licenses import OP9_SQL, op9_licenses
 from prismdex.llm.line_dedup import OP5_SQL, op5_line_dedup
 from prismdex.llm.mixing import op6_mixing
 from prismdex.llm.quality_rules import op3_quality_rules
@@ -30,6 +30,7 @@ ORACLES = {
     "op5_line_dedup": OP5_SQL,
     "op7_decontaminate": OP7_SQL,
     "op8_warc_audit": OP8_SQL,
+    "op9_licenses": OP9_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
