@@ -18,6 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from prismdex.llm import textblocks as tb
 from prismdex.llm.tables import shared_folder, table
 from prismdex.llm.wavelet import Shard, pack
 
@@ -28,71 +29,150 @@ REMEMBERED = 800_000
 #: Pieces that are encoded together, as lines of one text.
 LINES = 512
 
+#: Marks that a byte-level pre-tokenizer cuts off from a letter or digit before them.
+MARKS, ALNUM = np.zeros(256, bool), np.zeros(256, bool)
+MARKS[list(b".,;:!?")] = True
+ALNUM[list(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")] = True
+
 _FILES = "range int, shard int, n_tokens long, file binary"
 _encoders: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """Ids from the tokenizers library, as little-endian unsigned 32-bit integers.
+    """Ids from the tokenizers library, for blocks of whole texts.
 
-    A byte-level pre-tokenizer never joins what stands before a single space or line end between two other characters with what follows:
-    such a text is encoded in pieces that each begin there, and the ids of pieces that come again are remembered.
-    Texts with any other white space are encoded as one.
+    A byte-level pre-tokenizer never joins what stands before a single space or line end between two other characters with what follows, nor a
+    letter or digit with the marks behind it.  So texts are cut there, each distinct piece is encoded once a block, and the ids of the first ``REMEMBERED``
+    pieces are kept (found by a 64-bit hash, confirmed by length and first bytes).  Texts with any other white space are encoded as one.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
         self.levels = max(1, (self.library.get_vocab_size() - 1).bit_length())
-        self.known: dict[str, bytes | None] = {}
         line = self.library.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
-        self.line_bytes = np.array(line, "<u4").tobytes()
+        self.line = np.array(line, np.uint32)
+        # Kept pieces: sorted keys, their checks and the range of their ids; a size of -1 marks other white space.
+        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _of_pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces without white space but for what they begin with, a space or not: many go as lines of one text."""
-        out: list[bytes] = []
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, ids) of pieces without white space but for a leading space: many go as lines of one text."""
+        sizes, flat = [], []
         for k in range(0, len(pieces), LINES):
             own = pieces[k : k + LINES]
-            ids = np.array(self.library.encode_batch_fast(["\n".join([*own, ""])], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.line) if self.line is not None else ids[:0]
+            ids = np.array(self.library.encode_batch_fast(["\n".join([*own, ""])], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(ids == self.line[0]) if len(self.line) == 1 else ids[:0]
             if len(ends) == len(own):
-                raw, cuts = ids.tobytes(), (4 * ends).tolist()
-                out += [raw[i:j] for i, j in zip([0, *[c + 4 for c in cuts]], cuts, strict=False)]
+                sizes.append(np.diff(ends, prepend=-1) - 1)
+                flat.append(np.delete(ids, ends))
             else:
-                out += self._ids(own)
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [x.replace("\n", " \n").split(" ") for x in texts]
-        new = set().union(*[x[1:] for x in split]) - self.known.keys()
-        plain = [x for x in new if x[:1] != "\n" and x.split() == [x]]
-        lines = [x for x in new if x[:1] == "\n" and x.split() == [x[1:]]]
-        self.known.update(dict.fromkeys(new))
-        self.known.update(zip(plain, self._of_pieces([f" {x}" for x in plain]), strict=True))
-        if self.line is not None:
-            self.known.update(zip(lines, [self.line_bytes + x for x in self._of_pieces([x[1:] for x in lines])], strict=True))
-        else:
-            self.known.update(zip(lines, self._ids(lines), strict=True))
-        heads = self._of_pieces([x[0] if x[0].split() == [x[0]] else "" for x in split])
-        out: list[bytes | None] = []
-        for head, pieces in zip(heads, split, strict=True):
-            try:
-                out.append(head + b"".join(map(self.known.__getitem__, pieces[1:])) if pieces[0].split() == [pieces[0]] else None)
-            except TypeError:  # a piece with other white space
-                out.append(None)
-        rest = [k for k, x in enumerate(out) if x is None]
-        for k, ids in zip(rest, self._ids([texts[k] for k in rest]), strict=True):
-            out[k] = ids
-        if len(self.known) > REMEMBERED:  # the first are the most frequent; later ones serve their batch
-            for x in new:
-                del self.known[x]
-        return out
+                each = self._whole(own)
+                sizes.append(np.array([len(x) for x in each]))
+                flat += each
+        return np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, np.uint32), *flat])
+
+    @staticmethod
+    def _cut(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(begin, end, kind, first) of the pieces; kind 0: as it is, 1: after a space, 2: after a line end."""
+        cut = np.flatnonzero((raw == 32) | (raw == 10))
+        begin, end = np.empty(len(cut) + len(off) - 1, np.int64), np.empty(len(cut) + len(off) - 1, np.int64)
+        first = np.searchsorted(cut, off) + np.arange(len(off))
+        heads = np.zeros(len(begin), bool)
+        heads[first[:-1]] = True
+        begin[np.flatnonzero(~heads)], begin[first[:-1]] = cut + 1, off[:-1]
+        tails = np.zeros(len(begin), bool)
+        tails[first[1:] - 1] = True
+        end[np.flatnonzero(~tails)], end[first[1:] - 1] = cut, off[1:]
+        kind = np.where(heads, 0, np.where(raw[np.maximum(begin - 1, 0)] == 10, 2, 1)) if len(raw) else np.zeros(len(begin), np.int64)
+        # Marks behind an ASCII letter or digit are pieces of their own.
+        stem, least = end.copy(), begin + 1
+        for _ in range(3):
+            stem = np.where((stem > least) & MARKS[raw[np.maximum(stem - 1, 0)]], stem - 1, stem) if len(raw) else stem
+        splits = (stem < end) & ALNUM[raw[np.maximum(stem - 1, 0)]] if len(raw) else np.zeros(len(begin), bool)
+        at = np.arange(len(begin)) + np.cumsum(splits) - splits
+        n = len(begin) + int(splits.sum())
+        b, e, k = np.empty(n, np.int64), np.empty(n, np.int64), np.zeros(n, np.int64)
+        b[at], e[at], k[at] = begin, np.where(splits, stem, end), kind
+        more = np.flatnonzero(splits)
+        b[at[more] + 1], e[at[more] + 1] = stem[more], end[more]
+        return b, e, k, np.append(at, n)[first]
+
+    def _distinct(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(which, sizes, ids): the distinct piece of each piece, and the ids of the distinct ones."""
+        keys = tb.span_hashes(raw, begin, end) ^ np.where(spaced, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
+        words = np.lib.stride_tricks.as_strided(np.append(raw, np.zeros(8, np.uint8))[: len(raw) + 8], (len(raw) + 1, 8), (1, 1))
+        own, at, which = np.unique(keys, return_index=True, return_inverse=True)
+        b, e, s = begin[at], end[at], spaced[at]
+        head = np.ascontiguousarray(words[b]).view("<u8")[:, 0]
+        length = np.minimum(e - b, 8).astype(np.uint64)
+        head = np.where(length == 8, head, head & ((np.uint64(1) << (np.minimum(length, 7) * np.uint64(8))) - np.uint64(1)))
+        checks = tb.mix(head + (e - b).astype(np.uint64))
+        place = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
+        known = (self.keys[place] == own) & (self.checks[place] == checks) if len(self.keys) else np.zeros(len(own), bool)
+        sizes = np.zeros(len(own), np.int64)
+        sizes[known] = self.size[place[known]]
+        new = np.flatnonzero(~known)
+        texts = [raw[i:j].tobytes().decode("utf-8", "surrogateescape") for i, j in zip(b[new].tolist(), e[new].tolist(), strict=True)]
+        fits = np.array([x.split() == [x] for x in texts], bool)
+        found, ids = self._pieces([f" {x}" if y else x for x, y, z in zip(texts, s[new].tolist(), fits.tolist(), strict=True) if z])
+        sizes[new] = -1
+        sizes[new[fits]] = found
+        # Ids of the distinct pieces, kept and new, in one array.
+        first = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
+        flat = np.empty(first[-1], np.uint32)
+        is_new = np.zeros(len(own), bool)
+        is_new[new] = True
+        from_new = np.repeat(is_new, np.maximum(sizes, 0))
+        flat[np.flatnonzero(from_new)] = ids
+        k = np.flatnonzero(known & (sizes > 0))
+        flat[np.flatnonzero(~from_new)] = self.flat[_ranges(self.first[place[k]], sizes[k])]
+        if len(self.keys) < REMEMBERED and len(new):
+            start = len(self.flat) + np.concatenate([[0], np.cumsum(np.maximum(sizes[new], 0))])[:-1]
+            fresh = new[(self.keys[place[new]] != own[new])] if len(self.keys) else new
+            start = start[np.isin(new, fresh)]
+            into = np.searchsorted(self.keys, own[fresh])
+            self.keys, self.checks = np.insert(self.keys, into, own[fresh]), np.insert(self.checks, into, checks[fresh])
+            self.first, self.size = np.insert(self.first, into, start), np.insert(self.size, into, sizes[fresh])
+            self.flat = np.concatenate([self.flat, ids])
+        return which.ravel(), sizes, first, flat
+
+    def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first): the ids of text i are ids[first[i] : first[i + 1]]."""
+        begin, end, kind, piece = self._cut(raw, off)
+        which, sizes, first, flat = self._distinct(raw, begin, end, kind == 1)
+        empty = np.flatnonzero(np.diff(off) == 0)
+        size = sizes[which]
+        size[piece[empty]] = 0  # the one piece of an empty text
+        odd = np.add.reduceat(size < 0, piece[:-1]) > 0 if len(piece) > 1 else np.zeros(0, bool)
+        size = np.maximum(size, 0)
+        line = kind == 2
+        total = size + line * len(self.line)
+        place = np.concatenate([[0], np.cumsum(total)])
+        out = np.empty(place[-1], np.uint32)
+        out[_ranges(place[:-1] + line * len(self.line), size)] = flat[_ranges(first[which], size)]
+        at = place[:-1][line]
+        for k, x in enumerate(self.line):
+            out[at + k] = x
+        bounds = place[piece]
+        if not odd.any():
+            return out, bounds
+        again = np.flatnonzero(odd)
+        texts = self._whole([raw[off[k] : off[k + 1]].tobytes().decode("utf-8", "replace") for k in again])
+        parts = {k: x for k, x in zip(again.tolist(), texts, strict=True)}
+        each = [parts[k] if k in parts else out[bounds[k] : bounds[k + 1]] for k in range(len(off) - 1)]
+        return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
+
+
+def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[i], begin[i] + 1, ... with size[i] members, one range after another."""
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(begin - (total - size), size)
 
 
 def encoder(path: str | None) -> Encoder:
@@ -108,26 +188,36 @@ def encoder(path: str | None) -> Encoder:
 def _packer(path: str | None, end: int, shard_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, shard = encoder(path), TaskContext.get().partitionId(), 0
-        ids: list[bytes] = []
-        docs: list[int | None] = []
-        size, mark = 0, np.array([end], "<u4").tobytes()
+        ids: list[np.ndarray] = []
+        docs: list[pa.Array] = []
+        lengths: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            lengths = np.array([len(x) // 4 for x in ids])
-            tokens = np.frombuffer(b"".join(ids), "<u4")
-            file = pack(tokens, np.array([x or 0 for x in docs], np.int64), np.array([x is None for x in docs]), lengths, max(encode.levels, end.bit_length()))
+            tokens, names = np.concatenate(ids), pa.concat_arrays(docs)
+            file = pack(tokens, names.fill_null(0).to_numpy(), names.is_null().to_numpy(zero_copy_only=False), np.concatenate(lengths), max(encode.levels, end.bit_length()))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(tokens)], pa.int64()), pa.array([file], pa.binary())], ["range", "shard", "n_tokens", "file"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                piece = batch.slice(at, 256)
-                for doc, found in zip(piece.column(0).to_pylist(), encode([x or "" for x in piece.column(1).to_pylist()]), strict=True):
-                    if size and size + len(found) // 4 + 1 > shard_tokens:
+            at = 0
+            for raw, off in tb.blocks(batch.column(1)):
+                found, first = encode(raw, off)
+                n = len(off) - 1
+                tokens = np.insert(found, first[1:], end).astype(np.uint32)
+                ends = first + np.arange(n + 1)
+                k = 0
+                while k < n:  # whole documents, at least one
+                    m = max(k + (size == 0), int(np.searchsorted(ends, ends[k] + shard_tokens - size, "right")) - 1)
+                    if m > k:
+                        ids.append(tokens[ends[k] : ends[m]])
+                        docs.append(batch.column(0).slice(at + k, m - k))
+                        lengths.append(np.diff(ends[k : m + 1]))
+                        size += int(ends[m] - ends[k])
+                    if m < n:
                         yield flush()
-                        ids, docs, size, shard = [], [], 0, shard + 1
-                    ids.append(found + mark)
-                    docs.append(doc)
-                    size += len(found) // 4 + 1
+                        ids, docs, lengths, size, shard = [], [], [], 0, shard + 1
+                    k = m
+                at += n
         if docs:
             yield flush()
 
