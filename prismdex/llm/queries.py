@@ -9,6 +9,7 @@ from prismdex.llm.line_dedup import OP5_SQL, op5_line_dedup
 from prismdex.llm.mixing import op6_mixing
 from prismdex.llm.quality_rules import op3_quality_rules
 from prismdex.llm.simhash import op1_simhash
+from prismdex.llm.suffix_dedup import op10_suffix_dedup
 from prismdex.llm.token_files import op2_token_files
 from prismdex.llm.url_filters import OP4_SQL, op4_url_filters
 from prismdex.llm.warc_audit import OP8_SQL, op8_warc_audit
@@ -23,6 +24,7 @@ QUERIES = {
     "op7_decontaminate": op7_decontaminate,
     "op8_warc_audit": op8_warc_audit,
     "op9_licenses": op9_licenses,
+    "op10_suffix_dedup": op10_suffix_dedup,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
