@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prismdex.llm.tables import written
+from prismdex.llm.tables import release, written
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -27,15 +27,15 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for the nodes of links (a, b), a < b; the root is the least node of the component.
+    """(node, root) for the nodes of the written links (a, b), a < b, which it releases; the root is the least node of the component.
 
     Each round writes its links to the shared folder, so lineage stays short.  Rounds end when every node hangs
     directly on a root that hangs on none, which takes about the logarithm of the longest chain.  Joins are on node
     ids with few columns, so a node of very many links can be split by adaptive execution.
     """
-    links = written(links, "links")
     for _ in range(most_rounds):
-        links = written(_small_star(_large_star(links)), "links")
+        before, links = links, written(_small_star(_large_star(links)), "links")
+        release(before)
         parents = links.select(F.col("b").alias("p"))
         deep = links.join(parents.distinct(), links.a == F.col("p"), "left_semi").limit(1)
         many = links.groupBy("b").count().where("count > 1").limit(1)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.llm import textblocks as tb
-from prismdex.llm.tables import table, written
+from prismdex.llm.tables import release, table, written
 
 WINDOW = 10
 #: Positions between two documents of a segment; slop is below it.
@@ -247,16 +247,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 0, block_words: i
     if not 0 <= slop < GAP // 2:
         raise ValueError(f"slop must be from 0 to {GAP // 2 - 1}")
     spark = docs.sparkSession
-    pieces = written(benchmark_pieces(benchmark), "benchmark")
-    total = pieces.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first().n
-    vocabulary = pieces.select(F.explode("words").alias("t")).distinct()
+    pieces_ = written(benchmark_pieces(benchmark), "benchmark")
+    total = pieces_.agg(F.coalesce(F.sum(F.size("words")), F.lit(0)).alias("n")).first().n
+    vocabulary = pieces_.select(F.explode("words").alias("t")).distinct()
     small = total <= MOST_TERMS or vocabulary.count() <= MOST_TERMS
     terms = np.sort(np.array([r.t for r in vocabulary.toLocalIterator()], np.int64)) if small else None
     index = build_index(docs, terms)
     frequency = index.select(F.explode(F.arrays_zip("terms", F.slice("term_first", 2, 1 << 30).alias("upto"), "term_first")).alias("x")).where("x.terms IS NOT NULL")
     frequency = written(frequency.groupBy(F.col("x.terms").alias("t")).agg(F.sum(F.col("x.upto") - F.col("x.term_first")).alias("n")), "frequency")
     n_blocks = max(1, math.ceil(total / block_words))
-    pieces = pieces.withColumn("block", F.pmod(F.xxhash64("item_id", "part"), F.lit(n_blocks)))
+    pieces = pieces_.withColumn("block", F.pmod(F.xxhash64("item_id", "part"), F.lit(n_blocks)))
     found = None
     for block in range(n_blocks if total else 0):
         rows = pieces.where(F.col("block") == block)
@@ -269,7 +269,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, slop: int = 0, block_words: i
         sent.unpersist()
         found = hits if found is None else found.union(hits)
     rows = index.select("segment", F.posexplode(F.arrays_zip("doc_ids", "text_keys", "n_words")).alias("ordinal", "d"))
-    rows = rows.select("segment", "ordinal", F.col("d.doc_ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"), F.col("d.n_words").alias("n_words"))
+    rows = written(rows.select("segment", "ordinal", F.col("d.doc_ids").alias("doc_id"), F.col("d.text_keys").alias("text_key"), F.col("d.n_words").alias("n_words")), "judged")
+    release(index, pieces_, frequency)
     if found is None:
         return rows.select("doc_id", "text_key", "n_words", F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<a:int,b:int>>").alias("spans"))
     found = found.groupBy("segment", "ordinal").agg(
@@ -294,6 +295,7 @@ def _merged(spans):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no window of the benchmark occurs, with their columns; rows without doc_id are judged too."""
     bad = matches(docs, benchmark).where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key")).distinct()
+    bad = written(bad, "contaminated")  # its size is known then, and texts need not be shuffled where it is small
     same = docs["doc_id"].cast("long").eqNullSafe(bad["__doc"]) & (F.xxhash64(docs["text"]) == bad["__key"])
     return docs.join(bad, same, "left_anti")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prismdex.llm.tables import table, written
+from prismdex.llm.tables import release, table, written
 
 WINDOW = 3
 
@@ -42,7 +42,9 @@ def removed_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     first = found.groupBy("digest").agg(F.min(F.struct("doc_id", "text_key", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("digest", "f")
     later = found.join(first, "digest").where(~F.struct("doc_id", "text_key", "at").eqNullSafe(F.col("f")))
     places = later.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_set("at")).alias("places"))
-    return places.select("doc_id", "text_key", _merge(F.col("places"), size).alias("spans"))
+    spans = written(places.select("doc_id", "text_key", _merge(F.col("places"), size).alias("spans")), "spans")
+    release(found)
+    return spans
 
 
 def _merge(places: Column, size: int) -> Column:

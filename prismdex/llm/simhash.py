@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from prismdex.llm import textblocks as tb
 from prismdex.llm.components import components
-from prismdex.llm.tables import table, written
+from prismdex.llm.tables import release, table, written
 
 GOLAY = 0b101011100011  # generator polynomial of the (23, 12) code: a fixed value
 BITS, RADIUS = 23, 3
@@ -137,14 +137,16 @@ def _replicate(threshold: int):
 
 
 def linked_prints(prints: DataFrame, threshold: int = 2) -> DataFrame:
-    """(a, b) with a < b: every pair of the distinct longs in column ``print`` that differ at ``threshold`` bits or fewer."""
+    """(a, b) with a < b, written: every pair of the distinct longs in column ``print`` that differ at ``threshold`` bits or fewer."""
     if not 0 <= threshold <= 2:
         raise ValueError("threshold must be 0, 1 or 2: beyond it the Golay parts need too many anchors")
     spread = written(prints.select("print").mapInArrow(_replicate(threshold), "anchor long, print long, home boolean"), "anchors")
     at_home = spread.where("home").select("anchor", F.col("print").alias("a"))
     visits = spread.select("anchor", F.col("print").alias("b"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return at_home.join(visits, (at_home.anchor == visits.anchor) & near).select("a", "b")
+    links = written(at_home.join(visits, (at_home.anchor == visits.anchor) & near).select("a", "b"), "links")
+    release(spread)
+    return links
 
 
 # ---------------------------------------------------------------- operator
@@ -160,6 +162,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, seed:
     groups = components(linked_prints(distinct, threshold))  # (node, root): fingerprints that have a link
     rooted = distinct.join(groups, distinct.print == groups.node, "left").select("print", "least", F.coalesce("root", "print").alias("root"))
     rooted = written(rooted, "rooted")
+    release(distinct)
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = rooted.join(least, "root").select("print", "component_id")
     return prints.join(named, "print").select("doc_id", "print", "component_id")
