@@ -443,7 +443,7 @@ def test_repeated_strings_of_odd_rows(spark):
     rows = spark.createDataFrame([(None, long_), (4, long_), (4, long_), (4, "z" + long_), (9, None)], "doc_id long, text string").withColumns({"doc": F.lit(1), "h": F.lit(2), "at": F.lit(3)})
     got = sorted((str(r.doc_id), r.n_bytes, len(r.kept)) for r in suffix_dedup.remove_repeats(rows).collect())
     assert got[0] == ("4", 300, 0) or got[0][1:] == (300, 0)
-    assert [g for g in got if g[0] == "None"][0][2] == 109 and ("9", 0, 0) in got
+    assert [g for g in got if g[0] == "None"][0][2] == len(repeats_by_hand([(0, long_)])[0][0]) == 10 and ("9", 0, 0) in got
     assert suffix_dedup.remove_repeats(odd(spark)).count() == 6 and suffix_dedup.remove_repeats(rows.limit(0)).count() == 0
 
 
