@@ -52,7 +52,8 @@ def porter(word: str) -> str:
     if not 3 <= len(word) <= 64:
         return word
     if word.endswith("s"):
-        word = word[:-2] if word.endswith(("sses", "ies")) else word if word.endswith("ss") else word[:-1]
+        long_ = (len(word) > 4 and word.endswith("sses")) or (len(word) > 3 and word.endswith("ies"))  # a stem must be left
+        word = word[:-2] if long_ else word if word.endswith("ss") else word[:-1]
     if word.endswith("eed"):
         word = word[:-1] if _measure(word[:-3]) > 0 else word
     else:

@@ -82,8 +82,8 @@ def sparse_similarities(buckets: DataFrame, queries: DataFrame, allowed: DataFra
 def best_per_asset(scored: DataFrame, digits: int | None = None) -> DataFrame:
     """(qid, asset_id, vid, raw): the best row of each asset, the smallest vid of equals; one aggregation, partial before the shuffle."""
     raw = F.col("raw") if digits is None else F.round("raw", digits)
-    best = scored.groupBy("qid", "asset_id").agg(F.max(F.struct(raw.alias("raw"), (-F.col("vid")).alias("v"))).alias("b"))
-    return best.select("qid", "asset_id", (-F.col("b.v")).alias("vid"), "b.raw")
+    best = scored.groupBy("qid", "asset_id").agg(F.min(F.struct((-raw).alias("less"), "vid")).alias("b"))
+    return best.select("qid", "asset_id", "b.vid", (-F.col("b.less")).alias("raw"))
 
 
 def cut_and_rank(best: DataFrame, floor: float | None = None, margin: float | None = None, share: float | None = None, most: int = fixed.CANDIDATES) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from prismdex import schemas
 from prismdex.functions import text as text_
@@ -46,7 +47,7 @@ def _kept(vectors: np.ndarray, threshold: float) -> list[int]:
 
 def analysed(row: dict, settings: Settings, openers: dict[str, Callable], embedder: Embedder, pause: float = PAUSE) -> dict:
     """One file as a row of schemas.EXTRACTED; any failure becomes its error."""
-    out = dict.fromkeys(schemas.EXTRACTED.names) | {k: row[k] for k in ("sha256", "path", "ext", "size")} | {"ok": False, "visuals": [], "texts": [], "warnings": []}
+    out = {k: row[k] for k in ("sha256", "path", "ext", "size")} | {"ok": False, "visuals": [], "texts": [], "warnings": []}
     try:
         if not row["size"]:
             return out | {"error_kind": "empty", "error": ""}
@@ -111,11 +112,11 @@ class Engine:
         reused, work = ingest.split_reuse(pending.where("sha256 IS NOT NULL"), assets.limit(0) if reanalyse else assets, pipeline)
         found = self._analyse(work.orderBy("priority", "size").select("sha256", "path", "ext", "size")).persist()
         new_assets, new_vectors = self._stored(found, began)
-        outcome = pending.select("path", "sha256").join(reused.select("path", "reused_asset"), "path", "left").join(found.select("sha256", "ok", "error_kind", "error"), "sha256", "left")
+        outcome = pending.select("path", "sha256").join(reused.select("path", "reused_asset"), "path", "left").join(found.select("sha256", F.col("path").alias("analysed"), "ok", "error_kind", "error"), "sha256", "left")
         state = ingest.error_state(F.col("error_kind"), F.col("error"))
         done = F.col("reused_asset").isNotNull() | F.coalesce("ok", F.lit(False))
         outcome = outcome.select(
-            "path", F.when(done | (F.col("error_kind") == "embedder"), F.coalesce("reused_asset", "sha256")).alias("new_asset"), F.col("reused_asset").isNotNull().alias("was_reused"),
+            "path", F.when(done | (F.col("error_kind") == "embedder"), F.coalesce("reused_asset", "sha256")).alias("new_asset"), (F.col("reused_asset").isNotNull() | (done & (F.col("path") != F.col("analysed")))).alias("was_reused"),
             F.when(done, "done").when(F.col("sha256").isNull(), "failed").otherwise(state["state"]).alias("new_state"), F.when(F.col("sha256").isNull(), "file has vanished").when(~done, state["error"]).alias("new_error"), F.col("sha256").isNull().alias("gone"),
         ).persist()
         touched = F.col("new_state").isNotNull()
@@ -140,7 +141,7 @@ class Engine:
 
     def _analyse(self, work: DataFrame) -> DataFrame:
         settings, embedder, given, pause = self.settings, self.embedder, self.openers, self.pause
-        schema = to_arrow_schema(schemas.EXTRACTED)
+        schema = to_arrow_schema(StructType.fromDDL(schemas.EXTRACTED))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             openers = given if given is not None else decoders.real_openers()

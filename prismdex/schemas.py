@@ -1,20 +1,18 @@
-"""Schemas of the catalogue tables; nothing is inferred."""
+"""Schemas of the catalogue tables as DDL, which needs no session to import; nothing is inferred."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-LISTING = StructType.fromDDL("path string, folder string, name string, ext string, size bigint, mtime_ns bigint")
-FILES = StructType.fromDDL("path string, folder string, name string, ext string, size bigint, mtime_ns bigint, asset_id string, state string, error string, attempts int, present boolean")
-ASSETS = StructType.fromDDL(
+LISTING = "path string, folder string, name string, ext string, size bigint, mtime_ns bigint"
+FILES = "path string, folder string, name string, ext string, size bigint, mtime_ns bigint, asset_id string, state string, error string, attempts int, present boolean"
+ASSETS = (
     "asset_id string, sha256 string, type string, ext string, mime string, size bigint, width int, height int, duration double, pages int, meta map<string,string>, status string, error string, warnings array<string>, "
     "thumb string, pipeline string, created_ts double, indexed_ts double"
 )
-VECTORS = StructType.fromDDL("vid string, asset_id string, space string, kind string, ref double, text string, thumb string, vector array<float>")
-RUNS = StructType.fromDDL("run_id bigint, started_ts double, finished_ts double, status string, summary string")
-EVAL_QUERIES = StructType.fromDDL("id string, query string, intent string, expect_types array<string>, relevant_regex string, expected_hint string")
+VECTORS = "vid string, asset_id string, space string, kind string, ref double, text string, thumb string, vector array<float>"
+RUNS = "run_id bigint, started_ts double, finished_ts double, status string, summary string"
+EVAL_QUERIES = "id string, query string, intent string, expect_types array<string>, relevant_regex string, expected_hint string"
 MANIFEST_ENTRY = "struct<title:string,kind:string,tag:string,query:string,categories:array<string>,description:string,license:string,author:string>"
-EXTRACTED = StructType.fromDDL(
+EXTRACTED = (
     "sha256 string, path string, ext string, size bigint, ok boolean, error_kind string, error string, type string, mime string, width int, height int, duration double, pages int, meta map<string,string>, warnings array<string>, "
     "visuals array<struct<kind:string,ref:double,thumb:binary,vector:array<float>>>, texts array<struct<kind:string,ref:double,text:string,vector:array<float>>>"
 )
