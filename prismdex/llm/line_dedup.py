@@ -62,7 +62,7 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     space only.  The first occurrence is that of the smallest doc_id (null first), then text hash, then place; rows that repeat
     both id and text count as one document and keep equal results.  Other columns are ignored; an empty table gives an empty one.
     """
-    spans = removed_spans(docs, size).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "spans")
+    spans = removed_spans(docs, size).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "spans").hint("merge")  # they grow with the corpus: never broadcast
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__k"))
     rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["__doc"]) & (rows["__k"] == spans["__key"]), "left")
     spans_ = F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))
