@@ -32,15 +32,21 @@ LOW = (1 << BITS) - 1
 
 
 # ---------------------------------------------------------------- fingerprints
-def block_fingerprints(raw: np.ndarray, off: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+def single_spaced(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(joined, place, lengths, first): the lower-cased words of a block, a space after each; their places, lengths and first word by text."""
     starts, ends, first = tb.word_spans(tb.SPACE[raw], off)
-    n_words = np.diff(first)
     lengths = ends - starts
     place = np.concatenate([[0], np.cumsum(lengths + 1)])  # in the text of single-spaced words
     keep = ~tb.SPACE[raw]
     joined = np.full(int(place[-1]), 0x20, np.uint8)
     within = np.arange(len(raw))[keep] + np.repeat(place[:-1] - starts, lengths)
     joined[within] = tb.LOWER[raw[keep]]
+    return joined, place, lengths, first
+
+
+def block_fingerprints(raw: np.ndarray, off: np.ndarray, shingle: int, seed: int) -> np.ndarray:
+    joined, place, lengths, first = single_spaced(raw, off)
+    n_words = np.diff(first)
     n_shingles = np.where(n_words == 0, 0, np.maximum(n_words - shingle + 1, 1))
     at = np.concatenate([[0], np.cumsum(n_shingles)])
     owner = tb.spread(at)
