@@ -136,13 +136,13 @@ def repeated_strings(cols: np.ndarray, begin: np.ndarray, n: np.ndarray, length:
     span = width - length + 1
     again = np.zeros((count, span), bool)
     order = np.arange(count)
-    prefix = np.zeros(count + 1, np.uint8)  # common prefix of each suffix with the one before it
+    prefix = np.zeros(count + 1, np.uint16)  # common prefix of each suffix with the one before it
     for j in range(width - 1, -1, -1):
         symbols = cols[j][order]  # this column's part of the transform
         moved = np.argsort(symbols, kind="stable")
         ranked = symbols[moved]
         same = np.flatnonzero(ranked[1:] == ranked[:-1])
-        fresh = np.zeros(count + 1, np.uint8)
+        fresh = np.zeros(count + 1, np.uint16)
         if len(same):
             bounds = np.column_stack([moved[same] + 1, moved[same + 1] + 1]).ravel()
             fresh[same + 1] = 1 + np.minimum.reduceat(prefix, bounds)[::2]
