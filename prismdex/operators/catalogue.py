@@ -88,11 +88,11 @@ def hydrated(hits: DataFrame, assets: DataFrame, files: DataFrame, vectors: Data
     own = own.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("path", "name", "folder"))).alias("files"))
     best = F.when(F.col("best_signal") == "clip", F.col("clip.vid")).when(F.col("best_signal") == "text", F.col("text.vid")).otherwise(F.col("kw.vid"))
     hits = hits.withColumn("best_vid", best).withColumn("text_vid", F.coalesce("text.vid", "kw.vid"))
-    look = vectors.join(F.broadcast(hits.select(F.explode(F.array("best_vid", "text_vid")).alias("vid")).distinct()), "vid", "left_semi")
-    match = look.select(F.col("vid").alias("best_vid"), F.struct("kind", "ref", "thumb", snippet(F.col("text")).alias("snippet")).alias("match"))
-    text = look.where(F.length("text") > 0).select(F.col("vid").alias("text_vid"), F.struct("kind", "ref", snippet(F.col("text")).alias("snippet")).alias("text_match"))
+    look = vectors.join(F.broadcast(hits.select("asset_id", F.explode(F.array("best_vid", "text_vid")).alias("vid")).distinct()), ["asset_id", "vid"], "left_semi")
+    match = look.select("asset_id", F.col("vid").alias("best_vid"), F.struct("kind", "ref", "thumb", snippet(F.col("text")).alias("snippet")).alias("match"))
+    text = look.where(F.length("text") > 0).select("asset_id", F.col("vid").alias("text_vid"), F.struct("kind", "ref", snippet(F.col("text")).alias("snippet")).alias("text_match"))
     evidence = F.struct(*[F.round(f"{s}.raw", 3).alias(s) for s in ("clip", "text", "kw")]).alias("evidence")
-    joined = hits.drop("type").join(assets, "asset_id", "left").join(own, "asset_id", "left").join(match, "best_vid", "left").join(text, "text_vid", "left")
+    joined = hits.drop("type").join(assets, "asset_id", "left").join(own, "asset_id", "left").join(match, ["asset_id", "best_vid"], "left").join(text, ["asset_id", "text_vid"], "left")
     joined = joined.withColumn("match", F.when(F.col("match").isNotNull(), F.col("match").withField("thumb", F.coalesce("match.thumb", "thumb"))))
     return joined.select(
         "qid", "place", "asset_id", "type", "ext", "size", "width", "height", "duration", "pages", "mime", F.try_element_at("files", F.lit(1))["name"].alias("name"), F.round("relative", 4).alias("score"),

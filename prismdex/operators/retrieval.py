@@ -1,7 +1,8 @@
 """Retrieval operators, each from DataFrames to a DataFrame, for a batch of queries at once.
 
 Tables: assets (asset_id, type, ext, size, status, pipeline, indexed_ts, ...), files (path, asset_id, present, ...), vectors (vid, asset_id,
-kind, ref, text, ...), postings (vid, asset_id, term, tf, len).  Hits: (qid, asset_id, vid, raw, rank).  Equal scores rank by vid.
+kind, ref, text, ...), postings (vid, asset_id, term, tf, len).  Hits: (qid, asset_id, vid, raw, rank).  Equal scores rank by vid,
+then by asset_id; a vid is that of one text within its asset only.
 """
 
 from __future__ import annotations
@@ -92,7 +93,7 @@ def cut_and_rank(best: DataFrame, floor: float | None = None, margin: float | No
     floor and margin: nothing if the best is below the floor, else those within the margin of the best and not below the floor.  share: those with
     that share of the best.  The best of a query is among its ``most`` best, so the cut looks at these only.
     """
-    order = Window.partitionBy("qid").orderBy(F.col("raw").desc(), F.col("vid"))
+    order = Window.partitionBy("qid").orderBy(F.col("raw").desc(), F.col("vid"), F.col("asset_id"))
     top = best.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < most)
     first = F.max("raw").over(Window.partitionBy("qid"))
     top = top.withColumn("__first", first)
@@ -110,7 +111,7 @@ def vector_hits(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, floo
 def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
     """(qid, asset_id, vid, raw): BM25 of every text with a term of the query; (qid, term) may repeat and then counts so often.
 
-    postings (vid, asset_id, term, tf) and lengths (vid, len) cover the whole index, whatever a search is restricted to: so do document counts and
+    postings (vid, asset_id, term, tf) and lengths (vid, asset_id, len; asset_id may be left out where no two assets share a vid) cover the whole index, whatever a search is restricted to: so do document counts and
     the mean length.  idf is ln((N - df + 0.5) / (df + 0.5)), and 1e-6 where that is not positive.
     """
     asked = terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
@@ -121,7 +122,8 @@ def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame
     weights = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("qid", "term", (F.col("times") * F.when(idf > 0, idf).otherwise(1e-6)).alias("idf"), "avgdl")
     k1, b = fixed.BM25_K1, fixed.BM25_B
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avgdl")))
-    return found.join(lengths, "vid").join(weights, "term").groupBy("qid", "asset_id", "vid").agg(F.sum(part).alias("raw"))
+    text = [c for c in ("vid", "asset_id") if c in lengths.columns]
+    return found.join(lengths, text).join(weights, "term").groupBy("qid", "asset_id", "vid").agg(F.sum(part).alias("raw"))
 
 
 def keyword_hits(scored: DataFrame, allowed: DataFrame, first_rows: int | None = None, digits: int = 9) -> DataFrame:
@@ -131,7 +133,7 @@ def keyword_hits(scored: DataFrame, allowed: DataFrame, first_rows: int | None =
     hits of a filtered search); None: filter first.
     """
     if first_rows is not None:
-        order = Window.partitionBy("qid").orderBy(F.round("raw", digits).desc(), F.col("vid"))
+        order = Window.partitionBy("qid").orderBy(F.round("raw", digits).desc(), F.col("vid"), F.col("asset_id"))
         scored = scored.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= first_rows).drop("__r")
     best = best_per_asset(scored.join(allowed, "asset_id", "left_semi"), digits)
     return cut_and_rank(best, share=fixed.KEYWORD_SHARE)

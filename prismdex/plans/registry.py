@@ -76,7 +76,7 @@ FROM placed p JOIN own USING (asset_id) LEFT JOIN text t ON t.qid = p.qid AND t.
 def hydrated_page(spark, d):
     """The first page with files and text matches."""
     none = lambda *cs: [F.lit(None).cast("string").alias(c) for c in cs]
-    every = sample.chunks(spark, d).select("vid", F.lit("chunk").alias("kind"), F.lit(None).cast("double").alias("ref"), "text", *none("thumb"))
+    every = sample.chunks(spark, d).select("vid", "asset_id", F.lit("chunk").alias("kind"), F.lit(None).cast("double").alias("ref"), "text", *none("thumb"))
     assets = sample.assets(spark, d).select("*", *none("width", "height", "duration", "pages", "mime", "thumb", "warnings", "meta"))
     page = retrieval.page(search.hybrid(spark, d), 24)
     rows = catalogue.hydrated(page, assets, sample.files(spark, d), every)
@@ -145,7 +145,7 @@ def bm25_stemmed(spark, d):
     words = sample.chunks(spark, d).select("vid", "asset_id", stems.stemmed_words(F.col("text")).alias("w"))
     posted = words.select("vid", "asset_id", F.explode("w").alias("term")).groupBy("vid", "asset_id", "term").agg(F.count("*").alias("tf"))
     asked = sample.queries(spark, d).select("qid", F.explode(stems.stemmed_words(F.array_join(text_.query_terms(F.col("text")), " "))).alias("term"))
-    scored = retrieval.bm25(posted, words.select("vid", F.size("w").alias("len")), asked)
+    scored = retrieval.bm25(posted, words.select("vid", "asset_id", F.size("w").alias("len")), asked)
     return _hits(retrieval.keyword_hits(scored, search.allowed(spark, d)))
 
 

@@ -15,7 +15,7 @@ from prismdex.functions.vectors import word_buckets
 
 PIPELINE = "p2"
 ENDINGS = (".jpg", ".png", ".mp4", ".pdf", ".txt")
-PER_ASSET = 1000  # vid = asset_id * PER_ASSET + chunk
+PER_ASSET = 1000  # vid = asset_id * PER_ASSET + chunk; a text of more chunks goes on into the next numbers, so a chunk is known by vid and asset_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -90,7 +90,7 @@ def postings(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(postings, lengths) of unstemmed tokens of (vid, asset_id, text)."""
     words = rows.select("vid", "asset_id", text_.tokens(F.col("text")).alias("w"))
     posted = words.select("vid", "asset_id", F.explode("w").alias("term")).groupBy("vid", "asset_id", "term").agg(F.count("*").alias("tf"))
-    return posted, words.select("vid", F.size("w").alias("len"))
+    return posted, words.select("vid", "asset_id", F.size("w").alias("len"))
 
 
 def terms(rows: DataFrame) -> DataFrame:
