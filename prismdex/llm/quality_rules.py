@@ -1,8 +1,9 @@
 """Quality rules by repetition coverage: which share of a text lies inside repeated n-grams and lines.
 
-For every n-gram length from 2 to 10 words, rolling hashes over the word hashes find windows that occur
+For every n-gram length from 2 to 10 words, rolling hashes over the words find windows that occur
 more than once in the same text; a window of n + 1 words can only repeat where both of its n-word parts
-do, so each length looks only at what the previous one left.  The characters that later occurrences
+do, so each length looks only at what the previous one left.  Words and lines are compared by their bytes, and windows of equal hash by
+the window of one word less and the last word, so unlike ones never count as equal.  The characters that later occurrences
 cover, each counted once, over the characters of all words give the coverage of that length.
 """
 
@@ -37,20 +38,25 @@ class Rules:
     line: float = 0.30
 
 
-def _repeated(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(repeated, later, group size) of each key: whether it occurs again, and whether it occurred before."""
+def _repeated(keys: np.ndarray, confirm: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(repeated, later, group size, first) of each key: whether it occurs again, whether it occurred before, where it occurs first.
+
+    confirm: rows that are equal exactly where the keys stand for the same; where equal keys have unlike rows, the rows decide.
+    """
     n = len(keys)
     order = np.argsort(keys, kind="stable")
     ranked = keys[order]
     head = np.ones(n, bool)
     head[1:] = ranked[1:] != ranked[:-1]
+    if confirm is not None and n and (confirm[order[1:]] != confirm[order[:-1]])[~head[1:]].any():
+        return _repeated(np.unique(np.column_stack([confirm, keys.view(np.int64)]), axis=0, return_inverse=True)[1].ravel())
     at = np.flatnonzero(head)
     size = np.diff(np.append(at, n))
-    repeated, later, group = np.zeros(n, bool), np.zeros(n, bool), np.zeros(n, np.int64)
+    later, group, first = np.zeros(n, bool), np.zeros(n, np.int64), np.zeros(n, np.int64)
     group[order] = np.repeat(size, size)
-    repeated[:] = group > 1
+    first[order] = np.repeat(order[at], size)
     later[order] = ~head
-    return repeated, later, group
+    return group > 1, later, group, first
 
 
 def measure(raw: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndarray]:
@@ -64,7 +70,8 @@ def measure(raw: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndar
     word_chars = tb.sums(chars, first)
     symbols = tb.sums(SYMBOLS[raw], off)
     salt = tb.mix((np.arange(texts, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
-    words = tb.span_hashes(raw, starts, ends)
+    names = tb.named(raw, starts, ends)[0].astype(np.int64)
+    words = tb.mix(names.view(np.uint64) + np.uint64(1))
     n = len(words)
     share = lambda x: x / np.maximum(word_chars, 1)
 
@@ -76,7 +83,7 @@ def measure(raw: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndar
     line_owner = tb.spread(line_first)
     in_words = np.searchsorted(starts, begin), np.searchsorted(starts, edge)
     real = in_words[1] > in_words[0]
-    keys = tb.span_hashes(raw, begin[real], edge[real]) ^ salt[line_owner[real]]
+    keys = tb.named(raw, begin[real], edge[real])[0].astype(np.int64) << 32 | line_owner[real]
     later = np.zeros(len(begin), bool)
     later[real] = _repeated(keys)[1]
     n_dup_lines = tb.sums(later, line_first)
@@ -88,6 +95,7 @@ def measure(raw: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndar
     top_ngram, dup_ngram = np.zeros(texts), np.zeros(texts)
     n_repeat, failed = np.zeros(texts, np.int64), dup_line > rules.line
     rolling, step = words.copy(), 1
+    shorter = owner * n + names  # then: where the window of one word less at this place occurs first
     at = np.flatnonzero(owner[:-1] == owner[1:]) if n > 1 else np.zeros(0, np.int64)
     base = 0xD6E8FEB86659FD93
     for size in range(2, max([3, *rules.top, *rules.dup]) + 1):
@@ -95,7 +103,8 @@ def measure(raw: np.ndarray, off: np.ndarray, rules: Rules) -> dict[str, np.ndar
         at = at[at + size <= n]
         rolling[at] = rolling[at] + words[at + size - 1] * np.uint64(step)
         keys = tb.mix(rolling[at] ^ salt[owner[at]])
-        repeated, again, group = _repeated(keys)
+        repeated, again, group, where = _repeated(keys, shorter[at] * n + names[at + size - 1])
+        shorter[at] = at[where] if len(at) else at
         if size == 3:
             n_repeat = tb.sums(tb.covered(at[repeated], 3, n), first)
         if size in rules.top:
@@ -140,7 +149,7 @@ def judge(docs: DataFrame, rules: Rules | None = None, text: str = "text", into:
     """Each row of ``docs`` with a struct column ``into`` (see ROW).
 
     No shuffle: each text is judged where it is read.  A null or empty text has no words, so it fails
-    ``min_words``; repeated rows get the same verdict; an empty table gives an empty table; other
+    ``min_words``; a very long text is measured whole, in a block of its own (about a hundred times its bytes of memory at most); repeated rows get the same verdict; an empty table gives an empty table; other
     columns pass unchanged, also one named as a field of the struct.  One named ``into`` is replaced.
     """
     return docs.withColumn(into, verdict(rules)(F.col(text)))

@@ -36,7 +36,7 @@ CHUNK = 1 << 22
 SALT, BLOCK = 50_000, 1 << 16
 NO_ID = -(1 << 63)
 
-_PIECES = "h long, d long, doc long, key long, at int, n int, anchor int"
+_PIECES = "h long, d long, e long, doc long, key long, at int, n int, anchor int"
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -49,12 +49,12 @@ def _least(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def cut_pieces(raw: np.ndarray, off: np.ndarray, length: int, digests: bool) -> dict[str, np.ndarray]:
-    """Pieces of a block: text, at (first string's start), n (strings), anchor (its place after at), h, d (hashes of anchor and piece)."""
+    """Pieces of a block: text, at (first string's start), n (strings), anchor (its place after at), h (hash of the anchor), d and e (digest of the piece)."""
     n = len(raw)
     if n < length:
-        return {k: np.zeros(0, np.int64) for k in ("text", "at", "n", "anchor", "h", "d")}
+        return {k: np.zeros(0, np.int64) for k in ("text", "at", "n", "anchor", "h", "d", "e")}
     places = np.arange(n - ANCHOR + 1)
-    hashes = tb.span_hashes(raw, places, places + ANCHOR)
+    hashes = tb.window_hashes(raw, ANCHOR)
     low = np.uint64((1 << 24) - 1)
     least = _least((hashes & ~low) | places.astype(np.uint64), length - ANCHOR + 1)
     edge = np.zeros(n + 1, np.int64)
@@ -69,8 +69,8 @@ def cut_pieces(raw: np.ndarray, off: np.ndarray, length: int, digests: bool) ->
     at, many = start[first], np.diff(np.append(first, len(start)))
     anchor = (value[first] & low).astype(np.int64)
     text = np.searchsorted(off, at, "right") - 1
-    d = tb.span_hashes(raw, at, at + many + length - 1).view(np.int64) if digests else at
-    return {"text": text, "at": at - off[text], "n": many, "anchor": anchor - at, "h": hashes[anchor].view(np.int64), "d": d}
+    d, e = tb.digests(raw, at, at + many + length - 1) if digests else (at, at)
+    return {"text": text, "at": at - off[text], "n": many, "anchor": anchor - at, "h": hashes[anchor].view(np.int64), "d": d, "e": e}
 
 
 def _all_pieces(column: pa.Array, length: int, digests: bool) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
@@ -104,8 +104,8 @@ def _pieces(length: int):
             for at, p in _all_pieces(batch.column(2), length, True):
                 text = at + p["text"]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(p["h"]), pa.array(p["d"]), pa.array(doc[text]), pa.array(key[text]), *[pa.array(p[k].astype(np.int32)) for k in ("at", "n", "anchor")]],
-                    ["h", "d", "doc", "key", "at", "n", "anchor"],
+                    [pa.array(p["h"]), pa.array(p["d"]), pa.array(p["e"]), pa.array(doc[text]), pa.array(key[text]), *[pa.array(p[k].astype(np.int32)) for k in ("at", "n", "anchor")]],
+                    ["h", "d", "e", "doc", "key", "at", "n", "anchor"],
                 )
 
     return run
@@ -121,7 +121,7 @@ def _slices(length: int):
                 at, n = want.field("at").to_numpy(), want.field("n").to_numpy()
                 cut = [text[a : a + m + length - 1] for a, m in zip(at.tolist(), n.tolist(), strict=True)]
                 same = [pa.array(np.full(len(cut), batch.column(k)[r].as_py(), np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([want.field("h"), want.field("d"), *same, *[want.field(k) for k in ("at", "n", "anchor", "salt")], pa.array(cut, pa.binary())], ["h", "d", "doc", "key", "at", "n", "anchor", "salt", "piece"])
+                yield pa.RecordBatch.from_arrays([*[want.field(k) for k in ("h", "d", "e")], *same, *[want.field(k) for k in ("at", "n", "anchor", "salt")], pa.array(cut, pa.binary())], ["h", "d", "e", "doc", "key", "at", "n", "anchor", "salt", "piece"])
 
     return run
 
@@ -165,11 +165,11 @@ _FOUND = "doc long, key long, a int, b int, x long, y long"
 def _settle(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     """Spans of repeated strings of some whole groups; for salted ones, also first occurrences with digests x and y."""
     rows = rows.combine_chunks()
-    col = {k: rows[k].to_numpy() for k in ("h", "d", "doc", "key", "at", "n", "anchor", "salt")}
+    col = {k: rows[k].to_numpy() for k in ("h", "d", "e", "doc", "key", "at", "n", "anchor", "salt")}
     order = np.lexsort((col["at"] + col["anchor"], col["key"], col["doc"]))
-    whole = np.lexsort((col["d"], col["h"]))
+    whole = np.lexsort((col["e"], col["d"], col["h"]))
     twin = np.zeros(len(order), bool)  # rows of documents that repeat
-    twin[whole[1:]] = (col["d"][whole[1:]] == col["d"][whole[:-1]]) & (col["h"][whole[1:]] == col["h"][whole[:-1]])
+    twin[whole[1:]] = np.all([col[k][whole[1:]] == col[k][whole[:-1]] for k in ("h", "d", "e")], axis=0)
     order = order[~twin[order]]
     col = {k: v[order].astype(np.int64) for k, v in col.items()}
     count, width = len(order), 2 * length - ANCHOR
@@ -196,9 +196,9 @@ def _settle(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
         i, k = np.nonzero(~again[salted] & (np.arange(again.shape[1]) < col["n"][salted][:, None]))
         i = salted[i]
         place = (total - size)[i] + k
-        x, y = (tb.span_hashes(flat, place + s, place + length - s) for s in (0, 1))
+        x, y = tb.digests(flat, place, place + length)
         at = (col["at"][i] + k).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(col["doc"][i]), pa.array(col["key"][i]), pa.array(at), pa.array(at + np.int32(length)), pa.array(x.view(np.int64)), pa.array((y + flat[place]).view(np.int64))], ["doc", "key", "a", "b", "x", "y"])
+        yield pa.RecordBatch.from_arrays([pa.array(col["doc"][i]), pa.array(col["key"][i]), pa.array(at), pa.array(at + np.int32(length)), pa.array(x), pa.array(y)], ["doc", "key", "a", "b", "x", "y"])
 
 
 def _collections(length: int):
@@ -231,11 +231,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = (text.as_py() or "").encode()
             runs: list[list[int]] = []
             if spans.is_valid:
-                a, b = spans.values.field("a").to_numpy(), spans.values.field("b").to_numpy()
-                order = np.argsort(a, kind="stable")
-                a, reach = a[order], np.maximum.accumulate(b[order])
-                head = np.flatnonzero(np.concatenate([[True], a[1:] > reach[:-1]]))
-                runs = np.column_stack([a[head], reach[np.append(head[1:], len(a)) - 1]]).tolist()
+                runs = np.column_stack(tb.merged(spans.values.field("a").to_numpy(), spans.values.field("b").to_numpy())).tolist()
             ends = [0, *[x for r in runs for x in r], len(raw)]
             out["text"].append(b"".join(raw[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True)))
             out["n_bytes"].append(len(raw))
@@ -250,11 +246,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     texts = docs.select("doc", "key", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     twice = written(texts.select("text").mapInArrow(_anchors(length), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
     found = written(texts.select("doc", "key", "text").mapInArrow(_pieces(length), _PIECES).join(twice, "h", "left_semi"), "pieces")
-    groups = written(found.groupBy("h", "d").agg(F.min(F.struct("doc", "key", "at")).alias("f"), F.max("n").alias("n"), F.max("anchor").alias("anchor"), F.count("*").alias("c")), "groups")
-    copies = found.join(groups.where("c > 1").select("h", "d", "f"), ["h", "d"]).where(F.struct("doc", "key", "at") != F.col("f")).select("doc", "key", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
+    groups = written(found.groupBy("h", "d", "e").agg(F.min(F.struct("doc", "key", "at")).alias("f"), F.max("n").alias("n"), F.max("anchor").alias("anchor"), F.count("*").alias("c")), "groups")
+    copies = found.join(groups.where("c > 1").select("h", "d", "e", "f"), ["h", "d", "e"]).where(F.struct("doc", "key", "at") != F.col("f")).select("doc", "key", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
     many = groups.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     salt = F.when(F.col("m") > SALT, F.pmod(F.col("d"), F.ceil(F.col("m") / SALT))).otherwise(-1).cast("int")
-    want = groups.join(many, "h").select("f.doc", "f.key", F.struct("h", "d", "f.at", "n", "anchor", salt.alias("salt")).alias("w")).groupBy("doc", "key").agg(F.collect_list("w").alias("want"))
+    want = groups.join(many, "h").select("f.doc", "f.key", F.struct("h", "d", "e", "f.at", "n", "anchor", salt.alias("salt")).alias("w")).groupBy("doc", "key").agg(F.collect_list("w").alias("want"))
     bytes_ = texts.join(want, ["doc", "key"]).select("doc", "key", "text", "want").mapInArrow(_slices(length), f"{_PIECES}, salt int, piece binary")
     settled = written(bytes_.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_collections(length), _FOUND), "settled")
     firsts = settled.where("x IS NOT NULL")

@@ -8,6 +8,7 @@ Where each shard starts follows from sums over shards, first within a range and
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -43,7 +44,8 @@ class Encoder:
 
     A byte-level pre-tokenizer never joins what stands before a single space or line end between two other characters with what follows, nor a
     letter or digit with the marks behind it.  So texts are cut there, each distinct piece is encoded once a block, and the ids of the first ``REMEMBERED``
-    pieces are kept (found by a 64-bit hash, confirmed by length and first bytes).  Texts with any other white space are encoded as one.
+    pieces are kept by their bytes.  Texts with any other white space are encoded as one; so are all texts where the file has a normalizer, another
+    pre-tokenizer or an added token that such a cut could split.
     """
 
     def __init__(self, path: str):
@@ -52,10 +54,11 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.levels = max(1, (self.library.get_vocab_size() - 1).bit_length())
+        self.cuts = _may_cut(json.loads(self.library.to_str()))
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = np.array(line, np.uint32)
-        # Kept pieces: sorted keys, their checks and the range of their ids; a size of -1 marks other white space.
-        self.keys, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        # Kept pieces: their number by their text, and the range of their ids; a size of -1 marks other white space.
+        self.kept: dict[str, int] = {}
         self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -104,46 +107,37 @@ class Encoder:
         return b, e, k, np.append(at, n)[first]
 
     def _distinct(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(which, sizes, ids): the distinct piece of each piece, and the ids of the distinct ones."""
-        keys = tb.span_hashes(raw, begin, end) ^ np.where(spaced, np.uint64(0x5851F42D4C957F2D), np.uint64(0))
-        words = np.lib.stride_tricks.as_strided(np.append(raw, np.zeros(8, np.uint8))[: len(raw) + 8], (len(raw) + 1, 8), (1, 1))
-        own, at, which = np.unique(keys, return_index=True, return_inverse=True)
-        b, e, s = begin[at], end[at], spaced[at]
-        head = np.ascontiguousarray(words[b]).view("<u8")[:, 0]
-        length = np.minimum(e - b, 8).astype(np.uint64)
-        head = np.where(length == 8, head, head & ((np.uint64(1) << (np.minimum(length, 7) * np.uint64(8))) - np.uint64(1)))
-        checks = tb.mix(head + (e - b).astype(np.uint64))
-        place = np.minimum(np.searchsorted(self.keys, own), max(len(self.keys) - 1, 0))
-        known = (self.keys[place] == own) & (self.checks[place] == checks) if len(self.keys) else np.zeros(len(own), bool)
+        """(which, sizes, first, ids): the distinct piece of each piece, and the ids of the distinct ones."""
+        names, distinct = tb.named(raw, begin, end)
+        own, which = np.unique(2 * names.astype(np.int64) + spaced, return_inverse=True)
+        texts = [f" {x}" if y else x for x, y in zip(distinct.take(pa.array(own >> 1)).to_pylist(), (own & 1).tolist(), strict=True)]
+        place = np.array([self.kept.get(x, -1) for x in texts], np.int64)
+        known = place >= 0
         sizes = np.zeros(len(own), np.int64)
         sizes[known] = self.size[place[known]]
         new = np.flatnonzero(~known)
-        texts = [raw[i:j].tobytes().decode("utf-8", "surrogateescape") for i, j in zip(b[new].tolist(), e[new].tolist(), strict=True)]
-        fits = np.array([x.split() == [x] for x in texts], bool)
-        found, ids = self._pieces([f" {x}" if y else x for x, y, z in zip(texts, s[new].tolist(), fits.tolist(), strict=True) if z])
+        fits = np.array([texts[k].split() == [texts[k].removeprefix(" ")] for k in new.tolist()], bool)
+        found, ids = self._pieces([texts[k] for k in new[fits].tolist()])
         sizes[new] = -1
         sizes[new[fits]] = found
         # Ids of the distinct pieces, kept and new, in one array.
         first = np.concatenate([[0], np.cumsum(np.maximum(sizes, 0))])
         flat = np.empty(first[-1], np.uint32)
-        is_new = np.zeros(len(own), bool)
-        is_new[new] = True
-        from_new = np.repeat(is_new, np.maximum(sizes, 0))
+        from_new = np.repeat(~known, np.maximum(sizes, 0))
         flat[np.flatnonzero(from_new)] = ids
         k = np.flatnonzero(known & (sizes > 0))
         flat[np.flatnonzero(~from_new)] = self.flat[_ranges(self.first[place[k]], sizes[k])]
-        if len(self.keys) < REMEMBERED and len(new):
+        if len(self.kept) < REMEMBERED and len(new):
             start = len(self.flat) + np.concatenate([[0], np.cumsum(np.maximum(sizes[new], 0))])[:-1]
-            fresh = new[(self.keys[place[new]] != own[new])] if len(self.keys) else new
-            start = start[np.isin(new, fresh)]
-            into = np.searchsorted(self.keys, own[fresh])
-            self.keys, self.checks = np.insert(self.keys, into, own[fresh]), np.insert(self.checks, into, checks[fresh])
-            self.first, self.size = np.insert(self.first, into, start), np.insert(self.size, into, sizes[fresh])
-            self.flat = np.concatenate([self.flat, ids])
+            self.kept.update(zip((texts[k] for k in new.tolist()), range(len(self.kept), len(self.kept) + len(new)), strict=True))
+            self.first, self.size, self.flat = np.concatenate([self.first, start]), np.concatenate([self.size, sizes[new]]), np.concatenate([self.flat, ids])
         return which.ravel(), sizes, first, flat
 
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of text i are ids[first[i] : first[i + 1]]."""
+        if not self.cuts:
+            ids = self._whole([raw[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)])
+            return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
         begin, end, kind, piece = self._cut(raw, off)
         which, sizes, first, flat = self._distinct(raw, begin, end, kind == 1)
         empty = np.flatnonzero(np.diff(off) == 0)
@@ -169,6 +163,19 @@ class Encoder:
         return np.concatenate(each), np.concatenate([[0], np.cumsum([len(x) for x in each])])
 
 
+def _may_cut(file: dict) -> bool:
+    """Whether pieces can be encoded apart: byte-level BPE without a normalizer, and added tokens that no cut goes through."""
+    model, before = file["model"], file["pre_tokenizer"] or {}
+    plain = model["type"] == "BPE" and not model.get("dropout") and file["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
+
+    def whole(token: dict) -> bool:
+        text = token["content"].encode()
+        cut = any(c in b" \n" for c in text) or any(ALNUM[a] and MARKS[b] for a, b in zip(text, text[1:], strict=False)) or (text[:1] and MARKS[text[0]]) or (text[-1:] and ALNUM[text[-1]])
+        return not (cut or token["lstrip"] or token["rstrip"] or token["single_word"])
+
+    return plain and all(whole(t) for t in file["added_tokens"])
+
+
 def _ranges(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[i], begin[i] + 1, ... with size[i] members, one range after another."""
     total = np.cumsum(size)
@@ -227,8 +234,8 @@ def _packer(path: str | None, end: int, shard_tokens: int):
 def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end: int = END, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes the ids of every text of ``docs`` (doc_id, text), each with the id ``end`` after it, as shards to ``path``.
 
-    tokenizer: path of a byte-level BPE file of the tokenizers library on the executors; None: byte_bpe_50k.json.  A null text is
-    empty; rows with a null doc_id come first; rows of one doc_id stand in the order of their texts' hashes; repeated rows are
+    tokenizer: path of a file of the tokenizers library on the executors; None: byte_bpe_50k.json.  A null text is
+    empty; a very long one is encoded whole and makes a shard of its own, so it must fit into a task (about ten times its bytes); rows with a null doc_id come first; rows of one doc_id stand in the order of their texts' hashes; repeated rows are
     all written; other columns are ignored; an empty table gives an empty one.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
