@@ -1,8 +1,9 @@
 """URL rules by host suffix and path prefix, matched as an equi-join on short hash prefixes.
 
-Each distinct host and path is expanded into every host suffix that begins at a label and every path prefix as long as some
-rule's path, as expressions like ``example.net/en/``.  Expressions meet rules on the first 4 bytes of their SHA-256; the full
-digests confirm a match, and the longest rule that is left decides.
+Each distinct host is expanded into every host suffix that begins at a label; suffixes meet the hosts of rules, which say how long the paths
+of their rules are.  Each distinct host and path is then expanded into those suffixes and the path prefixes of these lengths, as
+expressions like ``example.net/en/``.  Both times the join is on the first 4 bytes of a SHA-256 and the full digest confirms a match;
+the longest rule that is left decides.  No list of rules or lengths goes through the driver.
 """
 
 from __future__ import annotations
@@ -27,8 +28,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"^(?s:.*?)://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def _digest(host: Column, path: Column) -> Column:
-    return F.unhex(F.sha2(F.concat_ws("\n", host, path), 256))
+def _digest(*parts: Column) -> Column:
+    return F.unhex(F.sha2(F.concat_ws("\n", *parts), 256))
+
+
+def _meet(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """Rows with equal digests in column ``on``: an equi-join on their first 4 bytes, confirmed in full."""
+    right = right.withColumn("__right", F.col(on)).drop(on)
+    short = F.substring(left[on], 1, 4) == F.substring(right["__right"], 1, 4)
+    return left.join(right, short & (left[on] == right["__right"])).drop("__right", on)
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
@@ -41,22 +49,22 @@ def classify(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Data
     rules: (action, host, path), hosts in lower case; a rule fits its host and all subdomains where the path starts with the rule's; the longest
     host and path wins, then ``block`` before ``allow``.  Without one rule is null and the verdict is ``default``.  A null url, or
     one without ``://``, has empty host and path.  Repeated urls are matched once; repeated rows stay; other columns are ignored;
-    an empty table gives an empty one; no rules: all get the default.
+    an empty table gives an empty one; no rules: all get the default; rules with a null are none.  A very long url is matched whole: one prefix for each
+    length of a path in the rules of its host.
     """
     parsed = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rules = rules.dropDuplicates(["action", "host", "path"])
-    keyed = rules.select(
-        _digest(F.col("host"), F.col("path")).alias("rule_digest"), F.concat("host", "path").alias("rule"), "action", F.length(F.concat("host", "path")).alias("reach"), F.length("path").alias("path_length")
-    ).withColumn("rule_short", F.substring("rule_digest", 1, 4))
-    lengths = sorted(r[0] for r in rules.select(F.length("path")).distinct().limit(4096).collect())  # of paths in rules, not their number
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.filter(F.array(*[F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
+    rules = rules.select("action", "host", "path").where("action IS NOT NULL AND host IS NOT NULL AND path IS NOT NULL").distinct()
+    keyed = rules.select(_digest(F.col("host"), F.col("path")).alias("digest"), F.concat("host", "path").alias("rule"), "action", F.length(F.concat("host", "path")).alias("reach"))
+    lengths = rules.groupBy(_digest(F.col("host")).alias("digest")).agg(F.sort_array(F.collect_set(F.length("path"))).alias("lengths"))
     distinct = parsed.select("host", "path").distinct()
-    expressions = distinct.withColumn("suffix", F.explode(F.array_distinct(suffixes))).withColumn("prefix", F.explode(prefixes))
-    expressions = expressions.withColumn("digest", _digest(F.col("suffix"), F.col("prefix"))).withColumn("short", F.substring("digest", 1, 4))
-    met = expressions.join(keyed, expressions["short"] == keyed["rule_short"]).where("digest = rule_digest")
-    best = met.groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max(F.struct("reach", "action", "rule")).alias("best"))
+    labels = F.split("host", r"\.")
+    suffixes = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+    hosts = distinct.select("host").distinct().withColumn("suffix", F.explode(suffixes)).withColumn("digest", _digest(F.col("suffix")))
+    known = _meet(hosts, lengths, "digest").groupBy("host").agg(F.collect_list(F.struct("suffix", "lengths")).alias("ways"))  # as many as a host has labels
+    ways = distinct.join(known, "host").select("host", "path", F.explode("ways").alias("w"))
+    prefixes = F.transform(F.filter("w.lengths", lambda n: n <= F.length("path")), lambda n: F.substring(F.col("path"), F.lit(1), n))
+    expressions = ways.select("host", "path", "w.suffix", F.explode(prefixes).alias("prefix")).withColumn("digest", _digest(F.col("suffix"), F.col("prefix")))
+    best = _meet(expressions, keyed, "digest").groupBy(F.col("host").alias("h"), F.col("path").alias("p")).agg(F.max(F.struct("reach", "action", "rule")).alias("best"))
     found = parsed.join(best, (parsed["host"] == best["h"]) & (parsed["path"] == best["p"]), "left")
     return found.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
 
