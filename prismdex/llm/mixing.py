@@ -37,6 +37,7 @@ def _keyed(docs: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
         return docs.withColumn("__key", F.col("__draw")).drop("__draw")
     quality = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__doc")).agg(F.max("quality").alias("__quality"))
     weight = F.when(F.col("__quality") > 0, GOOD).when(F.col("__quality") <= 0, BAD).otherwise(1.0)
+    quality = quality.hint("merge")  # labels grow with the corpus: never broadcast
     return docs.join(quality, docs["doc_id"] == quality["__doc"], "left").withColumn("__key", F.col("__draw") / weight).drop("__doc", "__quality", "__draw")
 
 
@@ -57,12 +58,12 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int =
 
 
 def _plan(rows: DataFrame, cycle: tuple[int, ...], most: int) -> DataFrame:
-    """(__source, source_size, target, __epochs, __buckets, __bucket, __cut) by source, from (source, __size, __key)."""
+    """(__source, __source_size, __target, __epochs, __buckets, __bucket, __cut) by source, from (source, __size, __key)."""
     sizes = rows.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n"))
     targets = source_targets(sizes, cycle, most)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.select(
-        F.col("source").alias("__source"), "source_size", "target", epochs.alias("__epochs"), (F.col("target") - epochs * F.col("source_size")).alias("__rest"), F.ceil(F.col("n") / BUCKET).alias("__buckets")
+        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), epochs.alias("__epochs"), (F.col("target") - epochs * F.col("source_size")).alias("__rest"), F.ceil(F.col("n") / BUCKET).alias("__buckets")
     )
     plan = written(plan, "targets")
     placed = rows.join(plan, rows["source"].eqNullSafe(plan["__source"])).withColumn("__at", bucket())
@@ -75,7 +76,7 @@ def _plan(rows: DataFrame, cycle: tuple[int, ...], most: int) -> DataFrame:
     prior = F.coalesce(F.sum("s").over(Window.partitionBy("__s").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__before")
     cut = last.withColumn("prior", prior).where(F.col("prior") + F.col("s") / 2 <= F.col("__rest")).groupBy(F.col("__s").alias("__c")).agg(F.max("__key").alias("__cut"))
     plan = plan.join(ends, plan["__source"].eqNullSafe(ends["__s"]), "left")
-    return written(plan.join(cut, plan["__source"].eqNullSafe(cut["__c"]), "left").select("__source", "source_size", "target", "__epochs", "__buckets", "__bucket", "__cut"), "plan")
+    return written(plan.join(cut, plan["__source"].eqNullSafe(cut["__c"]), "left").select("__source", "__source_size", "__target", "__epochs", "__buckets", "__bucket", "__cut"), "plan")
 
 
 def bucket() -> Column:
@@ -85,7 +86,7 @@ def bucket() -> Column:
 
 def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
     sampled = (F.col("__bucket").isNull() & (F.col("__epochs") == 0)) | (F.col("__at") < F.col("__bucket")) | ((F.col("__at") == F.col("__bucket")) & (F.col("__key") <= F.col("__cut")))
-    sampled = F.coalesce(sampled, F.lit(False)) & (F.col("target") > F.col("__epochs") * F.col("source_size"))
+    sampled = F.coalesce(sampled, F.lit(False)) & (F.col("__target") > F.col("__epochs") * F.col("__source_size"))
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["__source"])).withColumn("__at", bucket())
     return joined.withColumn("__copies", F.col("__epochs") + F.when(sampled, 1).otherwise(0))
 
@@ -101,7 +102,7 @@ def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, cycle:
     """
     rows = written(_keyed(docs.select("doc_id", "source", "text"), labels, seed).select("doc_id", "source", "__size", "__key"), "keys")
     joined = _with_copies(rows, _plan(rows, cycle, most))
-    return joined.select("doc_id", "source", F.col("__size").alias("size"), "source_size", "target", F.col("__copies").alias("copies"))
+    return joined.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, cycle: tuple[int, ...] = CYCLE, most: int = MOST) -> DataFrame:
