@@ -1,11 +1,11 @@
 """SimHash near-duplicates: fingerprints linked through the anchors of a covering code.
 
-Anchors are pairs of codewords of the binary Golay code of length 23, whose covering radius is 3: the code
-covers bits 0-22 and, once more, bits 23-45 of a fingerprint.  Every fingerprint has one home anchor, within
-radius 3 in both parts.  Two fingerprints that differ at no more than ``t`` bits, t1 of them in the first
-part and t2 in the second, meet at the home of either one, because the other lies within 3 + t1 and 3 + t2
+Anchors are triples of codewords: of the binary Golay code of length 23, whose covering radius is 3, for bits 0-22 and
+again for bits 23-45 of a fingerprint, and of the Hamming code of length 15, whose covering radius is 1, for bits 46-60.  Every
+fingerprint has one home anchor, within the radius in each part.  Two fingerprints that differ at no more than ``t`` bits, t1, t2 and t3 of
+them in the parts, meet at the home of either one, because the other lies within 3 + t1, 3 + t2 and 1 + t3
 of it.  So each distinct fingerprint is replicated to every anchor within covering radius plus threshold (the
-threshold shared between the parts: about 61 of 16.8 million anchors for t = 2), and each anchor compares
+threshold shared between the parts: about 150 of 34 billion anchors for t = 2), and each anchor compares
 those at home there with those that were replicated to it.  Links join distinct fingerprints, so copies
 are counted once; components come from alternating large-star and small-star rounds over the links.
 """
@@ -27,8 +27,9 @@ from prismdex.llm.components import components
 from prismdex.llm.tables import release, table, written
 
 GOLAY = 0b101011100011  # generator polynomial of the (23, 12) code: a fixed value
-BITS, RADIUS = 23, 3
-LOW = (1 << BITS) - 1
+#: Length and covering radius of the codes, and the first bit and the code of each part.
+CODES = {"golay": (23, 3), "hamming": (15, 1)}
+PARTS = ((0, "golay"), (23, "golay"), (46, "hamming"))
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -83,52 +84,47 @@ def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
 
 
 # ---------------------------------------------------------------- anchors
-def _syndromes(words: np.ndarray) -> np.ndarray:
-    """Remainders of the words as polynomials over GF(2), divided by GOLAY."""
+def _syndromes(words: np.ndarray, code: str) -> np.ndarray:
+    """What tells the words of a coset from those of others: the remainder by GOLAY over GF(2), or the sum of the places (from 1) of set bits."""
+    if code == "hamming":
+        out = np.zeros_like(words)
+        for bit in range(CODES[code][0]):
+            out ^= np.where(words >> bit & 1, bit + 1, 0)
+        return out
     words = words.copy()
-    for bit in range(BITS - 1, 10, -1):
+    for bit in range(CODES[code][0] - 1, 10, -1):
         words ^= np.where(words >> bit & 1, GOLAY << (bit - 11), 0)
     return words
 
 
 @cache
-def _steps(threshold: int) -> tuple[np.ndarray, ...]:
-    """For each pair of allowances (a, b) with a + b = threshold: steps to anchors by syndrome, as (first, step, excess)."""
-    patterns = np.array([sum(1 << b for b in c) for k in range(RADIUS + threshold + 1) for c in combinations(range(BITS), k)], np.int64)
+def _steps(code: str, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ways from a word to the codewords around it as padded tables [syndrome, k]: step and excess over the radius (threshold + 1: none)."""
+    length, radius = CODES[code]
+    patterns = np.array([sum(1 << b for b in c) for k in range(radius + threshold + 1) for c in combinations(range(length), k)], np.int64)
     weight = np.bitwise_count(patterns).astype(np.int64)
-    syndrome = _syndromes(patterns)
+    syndrome = _syndromes(patterns, code)
     order = np.lexsort((patterns, weight, syndrome))
-    first = np.searchsorted(syndrome[order], np.arange(2049))
-    return first, patterns[order], np.maximum(weight[order] - RADIUS, 0)
-
-
-@cache
-def _both(threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The steps of one part as padded tables [syndrome, k]: step and excess over the radius (threshold + 1: none)."""
-    first, step, excess = _steps(threshold)
-    width = int(np.diff(first).max())
-    place = first[:-1, None] + np.arange(width)
+    first = np.searchsorted(syndrome[order], np.arange(syndrome.max() + 2))
+    place = first[:-1, None] + np.arange(np.diff(first).max())
     there = place < first[1:, None]
-    place = np.minimum(place, len(step) - 1)
-    return np.where(there, step[place], 0), np.where(there, excess[place], threshold + 1), first
+    place = np.minimum(place, len(order) - 1)
+    return np.where(there, patterns[order][place], 0), np.where(there, np.maximum(weight[order][place] - radius, 0), threshold + 1)
 
 
 def anchors(prints: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, anchor, at_home) for every anchor within covering radius plus threshold of each fingerprint."""
-    step, excess, _ = _both(threshold)
-    low, high = (prints & np.uint64(LOW)).astype(np.int64), (prints >> np.uint64(BITS) & np.uint64(LOW)).astype(np.int64)
-    s1, s2 = _syndromes(low), _syndromes(high)
-    rows, found, home = [], [], []
-    for t1 in range(threshold + 1):  # the first part exceeds its radius by t1 exactly, the second by the rest at most
-        r1, k1 = np.nonzero(excess[s1] == t1)
-        a1 = low[r1] ^ step[s1[r1], k1]
-        fits = excess[s2[r1]] <= threshold - t1
-        r2, k2 = np.nonzero(fits)
-        r = r1[r2]
-        rows.append(r)
-        found.append(a1[r2] << BITS | (high[r] ^ step[s2[r], k2]))
-        home.append((excess[s1[r1], k1][r2] == 0) & (excess[s2[r], k2] == 0))
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(home)
+    row, anchor, left = np.arange(len(prints)), np.zeros(len(prints), np.int64), np.full(len(prints), threshold)
+    for begin, code in PARTS:
+        step, excess = _steps(code, threshold)
+        length = CODES[code][0]
+        own = (prints >> np.uint64(begin) & np.uint64((1 << length) - 1)).astype(np.int64)
+        kind = _syndromes(own, code)[row]
+        at, k = np.nonzero(excess[kind] <= left[:, None])  # what the parts before have left of the threshold
+        left = left[at] - excess[kind[at], k]
+        anchor = anchor[at] << length | (own[row[at]] ^ step[kind[at], k])
+        row = row[at]
+    return row, anchor, left == threshold
 
 
 def _replicate(threshold: int):
@@ -145,7 +141,7 @@ def _replicate(threshold: int):
 def linked_prints(prints: DataFrame, threshold: int = 2) -> DataFrame:
     """(a, b) with a < b, written: every pair of the distinct longs in column ``print`` that differ at ``threshold`` bits or fewer."""
     if not 0 <= threshold <= 2:
-        raise ValueError("threshold must be 0, 1 or 2: beyond it the Golay parts need too many anchors")
+        raise ValueError("threshold must be 0, 1 or 2: beyond it the parts need too many anchors")
     spread = written(prints.select("print").mapInArrow(_replicate(threshold), "anchor long, print long, home boolean"), "anchors")
     at_home = spread.where("home").select("anchor", F.col("print").alias("a"))
     visits = spread.select("anchor", F.col("print").alias("b"))
@@ -161,7 +157,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, seed:
 
     component_id is the smallest doc_id reachable over links; null only where every doc_id of the component is
     null.  Equal texts share their fingerprint and so their component; rows without words are linked like any other
-    (fingerprint 0).  Repeated rows stay repeated; other columns are not looked at; an empty table gives none.
+    (fingerprint 0).  Repeated rows stay repeated; other columns are not looked at; an empty table gives none.  A very long text is
+    hashed whole, in a block of its own (about fifty times its bytes of memory).
     """
     prints = written(docs.select("doc_id", fingerprint(F.col("text"), shingle, seed).alias("print")), "prints")
     distinct = written(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "distinct")
@@ -175,10 +172,18 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, seed:
 
 
 def keep_one(docs: DataFrame, threshold: int = 2) -> DataFrame:
-    """One document of each component: that of its smallest doc_id.  Of rows with that doc_id one stays; so do all rows without doc_id."""
-    kept = near_duplicates(docs.where("doc_id IS NOT NULL"), threshold).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """The rows of one text of each component: that of its smallest doc_id, of texts that share this id the one of the smallest hash.
+
+    A row is known by doc_id and text, so unlike texts of one doc_id are judged each for itself; rows that repeat both all stay, and so do all rows
+    without doc_id.  An empty table gives an empty one; columns pass unchanged.
+    """
+    named = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    rows = written(named.where("doc_id IS NOT NULL").select("doc_id", "__key", fingerprint(F.col("text")).alias("print")), "prints")
+    roots = components(linked_prints(rows.select("print").distinct(), threshold))
+    rooted = rows.join(roots, rows["print"] == roots["node"], "left").select("doc_id", "__key", F.coalesce("root", "print").alias("root"))
+    best = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "__key")).alias("b")).select(F.col("b.doc_id").alias("__doc"), F.col("b.__key").alias("__best"))
+    kept = named.join(best, (named["doc_id"] == best["__doc"]) & (named["__key"] == best["__best"]), "left_semi")
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
 
 
 def op1_simhash(spark, sf_dir) -> DataFrame:
