@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from prismdex.llm.tables import release, table, written
 
 WINDOW = 3
+WHITE = " \t\r\v\f"
 
 
 def _lines(text: Column) -> Column:
@@ -25,7 +26,7 @@ def _hash(lines: Column, i: Column, size: int) -> Column:
 
 
 def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, text_key, at, digest) of every window; texts of fewer lines have none, and windows without a letter or mark neither."""
+    """(doc_id, text_key, at, digest) of every window; texts of fewer lines have none, and windows of white space (\\x20, \\x09, \\x0B-\\x0D) neither."""
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _lines(F.col("text")).alias("lines"))
     lines = lines.where(F.size("lines") >= size)
     every = F.transform(F.sequence(F.lit(0), F.size("lines") - size), lambda i: F.struct(i.alias("at"), _hash(F.col("lines"), i, size).alias("digest"), _blank(i, size).alias("blank")))
@@ -33,7 +34,7 @@ def windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
 
 def _blank(i: Column, size: int) -> Column:
-    return F.concat(*[F.trim(F.get(F.col("lines"), i + k)) for k in range(size)]) == ""
+    return F.concat(*[F.trim(F.get(F.col("lines"), i + k), F.lit(WHITE)) for k in range(size)]) == ""
 
 
 def removed_spans(docs: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -60,13 +61,17 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
 
     Lines end at \\n.  Null texts stay null (0 lines); an empty text is one line; texts of fewer than ``size`` lines stay whole, and so do windows of white
     space only.  The first occurrence is that of the smallest doc_id (null first), then text hash, then place; rows that repeat
-    both id and text count as one document and keep equal results.  Other columns are ignored; an empty table gives an empty one.
+    both id and text count as one document and keep equal results.  Other columns are ignored; an empty table gives an empty one.  A very long text is split
+    into lines within its row.
     """
     spans = removed_spans(docs, size).select(F.col("doc_id").alias("__doc"), F.col("text_key").alias("__key"), "spans").hint("merge")  # they grow with the corpus: never broadcast
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("__k"))
     rows = rows.join(spans, rows["doc_id"].eqNullSafe(spans["__doc"]) & (rows["__k"] == spans["__key"]), "left")
     spans_ = F.coalesce("spans", F.array().cast("array<struct<a:int,b:int>>"))
-    kept = F.filter(_lines(F.col("text")), lambda x, i: ~F.exists(spans_, lambda s: (i >= s["a"]) & (i < s["b"])))
+    lines = _lines(F.col("text"))
+    ends = F.transform(spans_, lambda s, k: F.struct(F.coalesce(F.get(spans_, k - 1)["b"], F.lit(0)).alias("a"), s["a"].alias("b")))  # what stays before each span
+    stays = F.concat(ends, F.array(F.struct(F.element_at(spans_, -1)["b"].alias("a"), F.size(lines).alias("b"))))
+    kept = F.flatten(F.transform(stays, lambda s: F.slice(lines, s["a"] + 1, s["b"] - s["a"])))
     text = F.when(F.size(spans_) == 0, F.col("text")).otherwise(F.array_join(kept, "\n"))
     return rows.select("doc_id", text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines"), spans_.alias("spans"))
 
@@ -81,7 +86,7 @@ OP5_SQL = r"""
 WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents),
 w AS (
   SELECT doc_id, i, array_to_string(x[i : i + 2], chr(10)) AS g FROM l, LATERAL (SELECT unnest(range(1, len(x) - 1)) AS i)
-  WHERE trim(x[i]) || trim(x[i + 1]) || trim(x[i + 2]) <> ''),
+  WHERE trim(x[i] || x[i + 1] || x[i + 2], ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM w) WHERE k > 1),
 c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS p FROM r),
 s AS (SELECT doc_id, count(*) AS n_removed, count(*) FILTER (gap) AS n_spans FROM (
