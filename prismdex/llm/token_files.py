@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismdex.llm import textblocks as tb
-from prismdex.llm.tables import shared_folder, table
+from prismdex.llm.tables import new_path, table
 from prismdex.llm.wavelet import Shard, pack
 
 SHARD_TOKENS = 1 << 20
@@ -271,9 +271,7 @@ def read_shards(spark, path: str) -> DataFrame:
 
 def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """Writes the shards of ``docs`` to a new place in the shared folder and reads them back."""
-    import uuid
-
-    path = f"{shared_folder(docs.sparkSession)}/prismdex/shards-{uuid.uuid4().hex}"
+    path = new_path(docs.sparkSession, "shards")
     write_shards(docs, path, tokenizer)
     return read_shards(docs.sparkSession, path)
 

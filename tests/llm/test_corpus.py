@@ -61,7 +61,7 @@ def folder(spark, tmp_path, **tables):
 def odd(spark):
     """Nulls in every column, repeated rows, and columns with clashing names."""
     rows = [(None, None, None, None, None), (None, "a b c d e f g h i j k", None, None, 1), (5, "some text here", None, "s", 2), (5, "some text here", None, "s", 2), (5, "other text here", None, "s", 2), (6, "", "en", None, 0)]
-    return spark.createDataFrame(rows, COLUMNS).withColumns({"h": F.lit(1), "size": F.lit("x"), "quality": F.lit(3), "spans": F.lit("y"), "doc": F.lit(0), "key": F.lit(1)})
+    return spark.createDataFrame(rows, COLUMNS).withColumns({"h": F.lit(1), "size": F.lit("x"), "quality": F.lit(3), "spans": F.lit("y"), "doc": F.lit(0), "key": F.lit(1), "target": F.lit(1.5), "source_size": F.lit("z"), "n": F.lit(2), "root": F.lit(7)})
 
 
 # ---------------------------------------------------------------- 3 quality
@@ -160,7 +160,7 @@ def test_keep_one(spark, docs):
     ids = {r.doc_id for r in kept.collect()}
     assert kept.columns == docs.columns and 0 in ids and 60 not in ids and 62 in ids and not ids & {63, 64}
     rows = odd(spark)
-    assert sorted(str(r.doc_id) for r in simhash.keep_one(rows).collect()) == ["5", "6", "None", "None"]
+    assert sorted(f"{r.doc_id} {r.text}" for r in simhash.keep_one(rows).collect()) == ["5 other text here", "5 some text here", "5 some text here", "6 ", "None None", "None a b c d e f g h i j k"]
     assert simhash.near_duplicates(rows).count() == 6 and simhash.near_duplicates(rows.limit(0)).count() == 0
 
 
@@ -356,6 +356,10 @@ def test_url_filters(spark):
     got = sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filters.classify(pages, url_filters.rule_table(spark)).collect())
     assert got == sorted((i, *url_by_hand(u, url_filters.RULES)) for i, u in [*enumerate(URLS), (0, URLS[0])])
     none = url_filters.classify(pages, url_filters.rule_table(spark).limit(0))
+    many = [("block", "net", "/" + "a" * k) for k in range(5000)] + [("allow", "h.net", "/aa"), ("block", "org", "/b"), (None, "org", "/"), ("block", "org", "/b")]
+    more = spark.createDataFrame([(1, "http://x.net/" + "a" * 4321), (2, "http://h.net/aa"), (3, "http://h.net/aaa/" + "b" * 9000), (4, "http://a.b.org/bcd"), (5, "http://org/")], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filters.classify(more, url_filters.rule_table(spark, many)).collect()}
+    assert got == {1: ("net/" + "a" * 4321, "block"), 2: ("h.net/aa", "allow"), 3: ("net/aaa", "block") if len("net/aaa") > len("h.net/aa") else ("h.net/aa", "allow"), 4: ("org/b", "block"), 5: (None, "allow")}
     assert {r.verdict for r in none.collect()} == {"allow"} and url_filters.classify(pages.limit(0), url_filters.rule_table(spark)).count() == 0
 
 
@@ -366,7 +370,7 @@ def lines_by_hand(rows):
         lines, gone = (text or "").split("\n"), set()
         for k in range(len(lines) - 2):
             window = tuple(lines[k : k + 3])
-            if "".join(x.strip(" ") for x in window) == "":
+            if "".join(x.strip(" \t\r\v\f") for x in window) == "":
                 continue
             if window in seen:
                 gone |= {k, k + 1, k + 2}
@@ -376,7 +380,7 @@ def lines_by_hand(rows):
 
 
 def test_line_dedup(spark, texts):
-    rows = [*texts.items(), (100, texts[4]), (101, "head\n" + texts[4] + "\nfoot"), (102, "\n\n\n\n")]
+    rows = [*texts.items(), (100, texts[4]), (101, "head\n" + texts[4] + "\nfoot"), (102, "\n\n\n\n"), (103, "\t\n \r\n\v\f\n"), (104, "\t\n \r\n\v\f\nend"), (105, "\n".join(["a", "b", "c"] * 4)), (106, "\n".join(f"{k % 7} {k % 3}" for k in range(20000)))]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit(1))
     got = {r.doc_id: (r.text, sum(s.b - s.a for s in r.spans)) for r in line_dedup.dedup_lines(docs).collect()}
     assert got == lines_by_hand(rows)
