@@ -388,18 +388,66 @@ def test_line_dedup(spark, texts):
 
 
 # ---------------------------------------------------------------- 8 warc
-def test_warc_audit(spark):
-    pages = spark.createDataFrame([(i, f"http://h/{i}", "é" * (i % 50)) for i in range(9000)] + [(7, "http://h/7", "é" * 7), (None, None, None)], "page_id long, url string, html string").withColumn("seq", F.lit(1))
-    rows = written(warc_audit.lay_out(warc_audit.page_records(pages), ["page_id", "digest"]), "replica")
-    assert rows.count() == 9001 and rows.where("page_id = 7").first().copies == 2
-    ends = rows.selectExpr("file", "seq", "offset", "offset + n_bytes AS end").collect()
-    after = {(r.file, r.seq): r.offset for r in ends}
-    assert all(after.get((r.file, r.seq + 1), r.end) == r.end for r in ends)
-    assert warc_audit.audit(rows, rows).count() == 0 and warc_audit.audit(rows.limit(0), rows.limit(0)).count() == 0
-    other = rows.where("coalesce(page_id, 0) <> 4000").withColumn("digest", F.when(F.col("page_id").isin(3, 8999), "bad").when(F.col("page_id") == 55, None).otherwise(F.col("digest")))
-    found = warc_audit.audit(rows, other).join(rows.select("file", "seq", "page_id"), ["file", "seq"]).collect()
-    assert {(r.page_id, r.kind) for r in found} == {(3, "changed"), (8999, "changed"), (55, "changed"), (4000, "missing")}
-    assert {r.kind for r in warc_audit.audit(other, rows).collect()} == {"changed", "extra"}
+def audit_by_hand(one, two):
+    """Kinds of records {(file, id): (place, bytes)}."""
+    out = {}
+    for key in one.keys() | two.keys():
+        a, b = one.get(key), two.get(key)
+        kind = "missing" if b is None else "extra" if a is None else "changed" if a[1] != b[1] else "moved" if a[0] != b[0] else None
+        if kind:
+            out[key] = kind
+    return out
+
+
+def places(rows, digits):
+    out, at = {}, Counter()
+    for i, text in sorted(rows):
+        raw = text.encode()
+        out[i[:digits], i] = (at[i[:digits]], raw)
+        at[i[:digits]] += len(raw)
+    return out
+
+
+@pytest.mark.parametrize("digits", [0, 1])
+def test_warc_audit(spark, digits):
+    pages = spark.createDataFrame([(i, f"http://h/{i}\r\n\r\nWARC/1.1\r\n", "é\r\n\r\nWARC/1.1\r\n" * (i % 9)) for i in range(3000)] + [(7, "http://h/7", "é" * 7)] * 2 + [(None, None, None)] * 2, "page_id long, url string, html string").withColumn("id", F.lit(1))
+    rows = warc_audit.page_records(pages)
+    assert rows.count() == 3002 and sorted(r.copies for r in rows.collect())[-3:] == [1, 2, 2]
+    one = [(r.id, r.record) for r in rows.collect()]
+    first = warc_audit.read_files(warc_audit.write_files(rows, digits))
+    assert {(r.file, r.id): (r.begin, r.end - r.begin) for r in first.where("level = 0").collect()} == {k: (at, len(raw)) for k, (at, raw) in places(one, digits).items()}
+    assert warc_audit.audit(first, first).count() == 0 and warc_audit.audit(first.limit(0), first.limit(0)).count() == 0
+    for seed, share in ((1, 0.002), (2, 0.2)):
+        rng, two = random.Random(seed), []
+        for i, text in one:
+            x = rng.random() / share
+            if x < 0.3:
+                two.append((i, text.replace("response", "Response")))
+            elif x > 0.6:
+                two.append((i, text))
+            if 0.5 < x < 0.9:
+                name = hashlib.sha256(i.encode()).hexdigest()
+                two.append((name, text.replace(i, name)))
+        second = warc_audit.read_files(warc_audit.write_files(spark.createDataFrame(two, "id string, record string"), digits))
+        found = warc_audit.audit(first, second)
+        got = {(r.file, r.id): r.kind for r in warc_audit.single_records(found, first, second).collect()}
+        assert got == audit_by_hand(places(one, digits), places(two, digits)) and set(got.values()) == {"missing", "extra", "changed", "moved"}
+        if seed == 1 and not digits:
+            assert found.count() < len(got) / 3 and found.where("level > 0").count()  # runs that moved are reported as one
+    lost = warc_audit.read_files(warc_audit.write_files(rows, digits).where("file = 'none'"))
+    assert {r.kind for r in warc_audit.audit(first, lost).collect()} == {"missing"} and warc_audit.audit(lost, first).count() == 3002
+
+
+def test_damaged_headers_and_repeated_records(spark):
+    record = lambda i, body: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:sha256:{i}>\r\nContent-Length: {len(body)}\r\nWARC-Target-URI: u\r\n\r\n{body}\r\n\r\n".encode()
+    good = [record(k, "b" * k) for k in range(20)]
+    bad = [*good[:5], good[5].replace(b"WARC/1.1", b"WARC/?.1"), good[6].replace(b"Content-Length: 6", b"Content-Length: 9999"), *good[7:19], good[3]]
+    assert [i for i, _, _ in warc_audit.parsed(b"".join(bad))] == ["0", "1", "2", "3", "4", None, None, *map(str, range(7, 19)), "3"]
+    assert [i for i, _, _ in warc_audit.parsed(b"junk")] == [None] and not list(warc_audit.parsed(b""))
+    files = lambda x: warc_audit.read_files(spark.createDataFrame([("f", b"".join(x)), (None, None)], "file string, content binary"))
+    first, second = files(good), files(bad)
+    got = Counter((r.id, r.kind) for r in warc_audit.single_records(warc_audit.audit(first, second), first, second).collect())
+    assert got == Counter({("5", "missing"): 1, ("6", "missing"): 1, (None, "extra"): 2, ("19", "missing"): 1, ("3", "extra"): 1} | {(str(k), "moved"): 1 for k in range(7, 19)})
 
 
 # ---------------------------------------------------------------- 9 licences
