@@ -42,33 +42,42 @@ def record_id(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def digits_for(records: DataFrame) -> int:
-    """How many hexadecimal digits of the id name a file, for files of about ``FILE_BYTES``."""
-    total = records.agg(F.coalesce(F.sum(F.octet_length("record").cast("long")), F.lit(0)).alias("n")).first().n
+def digits_for(total: int) -> int:
+    """How many hexadecimal digits of the id name a file, for files of about ``FILE_BYTES`` out of so many bytes."""
     return next(k for k in range(64) if FILE_BYTES * 16**k >= total)
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each (file, id) of a task once: copies are dropped before the shuffle."""
+    seen: set[str] = set()
+    for batch in batches:
+        fresh = [not (i in seen or seen.add(i)) for i in batch.column(1).to_pylist()]
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    name, held = None, []
+    name = last = None
+    held: list[bytes] = []
     for batch in batches:
-        for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for file, id_, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if file != name and held:
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], ["file", "content"])
-                held = []
-            name = file
-            held.append(content)
+                held, last = [], None
+            if id_ != last:
+                held.append(content)
+            name, last = file, id_
     if held:
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], ["file", "content"])
 
 
 def write_files(records: DataFrame, digits: int) -> DataFrame:
-    """The WARC files of ``records`` (id, record), written: a file for each prefix of so many digits, records in order of their ids.
+    """The WARC files of ``records`` (id, record), written: a file for each prefix of so many digits, records in order of their ids, each id once.
 
-    The file of a record follows from its id, so replicas agree about it however many records one of them has lost.  Records that repeat an id are all
-    written; an id or record that is null is empty; an empty table gives no files.  A file is put together in one task and must stay below 2 GB: so must a very long record.
+    The file of a record follows from its id, so replicas agree about it however many records one of them has lost.  An id or record that is null is
+    empty; an empty table gives no files.  A file is put together in one task and must stay below 2 GB: so must a very long record.
     """
     rows = records.select(F.substring(F.coalesce("id", F.lit("")), 1, digits).alias("file"), F.coalesce("id", F.lit("")).alias("id"), F.coalesce("record", F.lit("")).cast("binary").alias("record"))
-    rows = rows.repartition("file").sortWithinPartitions("file", "id", "record").select("file", "record")
+    rows = rows.mapInArrow(_once, rows.schema).repartition("file").sortWithinPartitions("file", "id")
     return written(rows.mapInArrow(_packed, _FILES), "warc")
 
 
@@ -168,25 +177,28 @@ def single_records(found: DataFrame, first: DataFrame, second: DataFrame) -> Dat
 
 
 def page_records(pages: DataFrame) -> DataFrame:
-    """One record per distinct (page_id, url, html), null as empty: page_id, id, record, copies."""
-    rows = pages.groupBy("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html")).agg(F.count("*").alias("copies"))
+    """The record of each row of ``pages`` (page_id, url, html), null as empty: page_id, id, record; equal rows have equal ids."""
+    rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("id", record_id(F.col("page_id"), F.col("url"), F.col("html")))
-    return rows.select("page_id", "id", record(F.col("id"), F.col("url"), F.col("html")).alias("record"), "copies")
+    return rows.select("page_id", "id", record(F.col("id"), F.col("url"), F.col("html")).alias("record"))
 
 
 def op8_warc_audit(spark, sf_dir) -> DataFrame:
     """The WARC files of all pages against a replica in which every 97th page_id is damaged, every 211th lost and every 307th written once more under another url."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     every = lambda n, k: F.coalesce(F.pmod("page_id", F.lit(n)) == k, F.lit(False))
-    rows = written(page_records(pages), "pages")
-    again = written(page_records(pages.where(every(307, 11)).withColumn("url", F.concat(F.coalesce("url", F.lit("")), F.lit("#again")))), "again")
+    rows = page_records(pages)
+    again = page_records(pages.where(every(307, 11)).withColumn("url", F.concat(F.coalesce("url", F.lit("")), F.lit("#again"))))
     other = rows.where(~every(211, 5)).withColumn("record", F.when(every(97, 13), F.overlay("record", F.lit("R"), F.lit(22))).otherwise(F.col("record"))).unionByName(again)
-    digits = digits_for(rows)
-    replicas = [write_files(x, digits) for x in (rows, other)]
-    first, second = map(read_files, replicas)
-    release(*replicas)
-    names = rows.unionByName(again).select("id", "page_id", "copies")
-    found = single_records(audit(first, second), first, second).join(names, "id")
+    counted = lambda x, k: x.groupBy("page_id", "id", F.octet_length("record").cast("long").alias("n")).agg(F.count("*").alias("copies")).withColumn("again", F.lit(k))
+    names = written(counted(rows, False).unionByName(counted(again, True)), "names")
+    digits = digits_for(names.where("NOT again").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
+    trees = []
+    for x in (rows, other):
+        files = write_files(x, digits)
+        trees.append(read_files(files))
+        release(files)
+    found = single_records(audit(*trees), *trees).join(names.select("id", "page_id", "copies"), "id")
     return found.select("page_id", "n_bytes", "kind", "copies")
 
 
