@@ -27,7 +27,7 @@ from prismdex.llm.tables import release, table, written
 WINDOW = 10
 #: Positions between two documents of a segment; slop is below it.
 GAP = 64
-SEGMENT_WORDS = 1 << 20
+SEGMENT_WORDS = 1 << 19
 PIECE = 1000
 CANDIDATES = 1 << 20
 
@@ -75,7 +75,7 @@ def _segment(name: int, docs: list, keys: list, sizes: list, blocks: list) -> pa
     rank[by_hash] = np.arange(len(words))
     rank = rank[t]
     order = np.argsort(rank << 32 | np.arange(len(rank)))  # all different, so any sort keeps places in order
-    lines = b"".join(f"{w}\n".encode() for w in words.take(pa.array(by_hash)).to_pylist())
+    lines = "\n".join([*words.take(pa.array(by_hash)).to_pylist(), ""]).encode()
     binary = [lines, hashes[by_hash].astype("<i8").tobytes(), np.bincount(rank, minlength=len(words)).astype("<i4").tobytes(), p[order].astype("<i4").tobytes()]
     lists = [pa.concat_arrays(docs), pa.concat_arrays(keys), pa.array(np.concatenate(sizes), pa.int64())]
     arrays = [pa.array([name], pa.int64()), *[pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists], *[pa.array([x], pa.binary()) for x in binary]]
