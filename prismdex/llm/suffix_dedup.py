@@ -33,7 +33,7 @@ LENGTH, ANCHOR = 100, 32
 #: Bytes of a text whose strings are looked at together; a longer text is taken in parts that overlap by a string.
 CHUNK = 1 << 22
 #: Pieces of one anchor, and of all anchors, that are sorted together.
-SALT, BLOCK = 50_000, 1 << 16
+SALT, BLOCK = 2048, 1 << 16
 NO_ID = -(1 << 63)
 
 _PIECES = "h long, d long, e long, doc long, key long, at int, n int, anchor int"
@@ -224,6 +224,22 @@ def _collections(length: int):
     return run
 
 
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans (doc, key, a, b) in order as maximal runs: only the last one is held."""
+    held = np.zeros((0, 4), np.int64)
+    for batch in batches:
+        rows = np.concatenate([held, np.column_stack([c.to_numpy() for c in batch.columns]).astype(np.int64)])
+        if not len(rows):
+            continue
+        text = np.concatenate([[0], np.cumsum((rows[1:, :2] != rows[:-1, :2]).any(1))])
+        reach = np.maximum.accumulate(text << 40 | rows[:, 3]) & ((1 << 40) - 1)  # ends so far in the same text
+        head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (rows[1:, 2] > reach[:-1])]))
+        runs = np.column_stack([rows[head, :3], reach[np.append(head[1:], len(rows)) - 1]])
+        held = runs[-1:]
+        yield pa.RecordBatch.from_arrays([pa.array(runs[:-1, k]) for k in range(4)], ["doc", "key", "a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(4)], ["doc", "key", "a", "b"])
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out: dict[str, list] = {k: [] for k in ("text", "n_bytes", "spans")}
@@ -242,7 +258,7 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, key, spans) of the texts of ``docs`` (doc, key, text) in which a string of ``length`` bytes occurred before; spans may overlap."""
+    """(doc, key, spans) of the texts of ``docs`` (doc, key, text) in which a string of ``length`` bytes occurred before; spans are maximal runs, in any order."""
     texts = docs.select("doc", "key", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") >= length)
     twice = written(texts.select("text").mapInArrow(_anchors(length), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
     found = written(texts.select("doc", "key", "text").mapInArrow(_pieces(length), _PIECES).join(twice, "h", "left_semi"), "pieces")
@@ -257,7 +273,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     least = firsts.groupBy("x", "y").agg(F.min(F.struct("doc", "key", "a")).alias("f"), F.count("*").alias("c")).where("c > 1").select("x", "y", "f")
     across = firsts.join(least, ["x", "y"]).where(F.struct("doc", "key", "a") != F.col("f")).select("doc", "key", "a", "b")
     spans = copies.union(settled.where("x IS NULL").select("doc", "key", "a", "b")).union(across)
-    return spans.groupBy("doc", "key").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    runs = spans.repartition("doc", "key").sortWithinPartitions("doc", "key", "a").mapInArrow(_merged, "doc long, key long, a long, b long")
+    return runs.groupBy("doc", "key").agg(F.collect_list(F.struct(F.col("a").cast("int").alias("a"), F.col("b").cast("int").alias("b"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
