@@ -41,3 +41,10 @@ def test_remove_repeats_of_great_lengths(spark, length):
     docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: sum(s.b - s.a for s in r.spans) for r in suffix_dedup.remove_repeats(docs, length).collect()}
     assert [got[i] for i in range(len(texts))] == removed_by_hand([t.encode() for t in texts], length)
+
+
+def test_a_long_periodic_text(spark):
+    text = "abc" * 300_000
+    rows = spark.createDataFrame([(1, text), (2, "x" * 70 + text[:500]), (3, None)], "doc_id long, text string")
+    got = {r.doc_id: (bytes(r.kept), [(s.a, s.b) for s in r.spans]) for r in suffix_dedup.remove_repeats(rows).collect()}
+    assert got == {1: (b"abc", [(3, 900_000)]), 2: (b"x" * 70, [(70, 570)]), 3: (b"", [])}
