@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -85,34 +86,27 @@ def porter(word: str) -> str:
     return word
 
 
-def words(text: str) -> list[str]:
-    """Runs of letters, digits and private-use characters, case folded, Latin letters without their marks."""
-    out, own = [], []
-    for ch in text:
-        kind = unicodedata.category(ch)
-        if kind[0] in "LN" or kind == "Co":
-            own.append(unicodedata.normalize("NFKD", ch)[0] if ord(ch) > 127 and unicodedata.decomposition(ch)[:1] not in ("", "<") else ch)
-        elif kind == "Mn" and own:
-            continue
-        elif own:
-            out.append("".join(own).lower())
-            own = []
-    return [*out, "".join(own).lower()] if own else out
+#: Runs of letters, digits and private-use characters, with the marks among them.
+WORD = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{Mn}]*"
+
+
+def folded(word: str) -> str:
+    """In lower case, Latin letters without their marks."""
+    if word.isascii():
+        return word.lower()
+    bare = (unicodedata.normalize("NFKD", ch)[0] if unicodedata.decomposition(ch)[:1] not in ("", "<") else ch for ch in word if unicodedata.category(ch) != "Mn")
+    return "".join(bare).lower()
+
+
+def _stems(column: pa.Array) -> pa.Array:
+    """Stems of lists of words; each distinct word of a batch is folded and stemmed once."""
+    lists = column.fill_null([]) if column.null_count else column
+    coded = lists.flatten().dictionary_encode()
+    own = pa.array([porter(folded(w)) for w in coded.dictionary.to_pylist()], pa.string())
+    bounds = pa.array([0], pa.int32()) if not len(lists) else pa.concat_arrays([pa.array([0], pa.int32()), pc.cumulative_sum(pc.list_value_length(lists)).cast(pa.int32())])
+    return pa.ListArray.from_arrays(bounds, own.take(coded.indices))
 
 
 def stemmed_words(text: Column) -> Column:
-    """Stems of a text in order, repeats included (Python on Arrow batches; each distinct word of a batch is stemmed once)."""
-
-    @F.arrow_udf("array<string>")
-    def run(column: pa.Array) -> pa.Array:
-        known: dict[str, str] = {}
-        rows = []
-        for x in column.to_pylist():
-            found = words(x or "")
-            for w in found:
-                if w not in known:
-                    known[w] = porter(w)
-            rows.append([known[w] for w in found])
-        return pa.array(rows, pa.list_(pa.string()))
-
-    return run(text)
+    """Stems of a text in order, repeats included; words are found by a built-in expression and only stems in Python, on Arrow batches."""
+    return F.arrow_udf(_stems, "array<string>")(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from prismdex.functions import fixed
+from prismdex.functions.chunks import chunk_lists
 
 
 def let(value: Column, body) -> Column:
@@ -41,33 +42,11 @@ def intents(text: Column) -> Column:
 
 
 def chunks(text: Column, size: int = fixed.CHUNK_SIZE, overlap: int = fixed.CHUNK_OVERLAP, least: int = fixed.CHUNK_LEAST) -> Column:
-    """Overlapping chunks of the collapsed text, each ending after the last sentence end in its second half if there is one.
+    """Overlapping chunks of the collapsed text (see ``functions.chunks``).
 
-    A text of ``size`` characters or fewer is one chunk; chunks shorter than ``least`` are dropped.  A fold over a bound on the number
-    of steps (each moves on by more than half a chunk less the overlap); steps after the end do nothing.
+    Python on Arrow batches: an expression would read the text from its start again for each chunk.
     """
-    return let(collapsed(text), lambda whole: _chunks(whole, size, overlap, least))
-
-
-def _chunks(whole: Column, size: int, overlap: int, least: int) -> Column:
-    n, half = F.length(whole), size // 2
-
-    def step(acc: Column, _: Column) -> Column:
-        i = acc["i"]
-        second = F.substring(whole, i + half + 1, size - half)  # where a sentence end is looked for
-        back = F.instr(F.reverse(second), " .")
-        j = F.when(i + size >= n, n).when(back > 0, i + size - back).otherwise(i + size)
-
-        def cut(end: Column) -> Column:
-            own = F.trim(F.substring(whole, i + 1, end - i))
-            return F.struct(F.when(end >= n, F.lit(-1)).otherwise(F.greatest(end - overlap, i + 1)).cast("int").alias("i"), F.concat(acc["out"], F.array(own)).alias("out"))
-
-        return F.when(i < 0, acc).otherwise(let(j, cut))
-
-    start = F.struct(F.lit(0).alias("i"), F.array().cast("array<string>").alias("out"))
-    steps = F.sequence(F.lit(1), (n / max(half - overlap, 1)).cast("int") + 1)
-    long_ = F.aggregate(steps, start, step, lambda acc: acc["out"])
-    return F.filter(F.when(n <= size, F.array(whole)).otherwise(long_), lambda c: F.length(c) >= least)
+    return F.arrow_udf(chunk_lists(size, overlap, least), "array<string>")(collapsed(text))
 
 
 def snippet(text: Column, size: int = fixed.SNIPPET) -> Column:

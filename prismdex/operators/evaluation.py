@@ -64,5 +64,8 @@ def dataset_summary(listing: DataFrame) -> DataFrame:
 
 def numbered_cases(cases: DataFrame) -> DataFrame:
     """Report cases (section_no, position, query, ...) with a running ``case_no``; placeholders keep their number and are marked."""
-    order = Window.orderBy("section_no", "position")  # a report's few cases
-    return cases.withColumn("case_no", F.row_number().over(order)).withColumn("placeholder", F.startswith("query", F.lit("<<<")))
+    sizes = cases.groupBy(F.col("section_no").alias("__section")).agg(F.count("*").alias("n"))  # one row a section
+    before = sizes.select("__section", F.coalesce(F.sum("n").over(Window.orderBy("__section").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    own = F.row_number().over(Window.partitionBy("section_no").orderBy("position"))
+    rows = cases.join(before, cases["section_no"].eqNullSafe(before["__section"])).withColumn("case_no", (F.col("__before") + own).cast("int"))
+    return rows.drop("__section", "__before").withColumn("placeholder", F.startswith("query", F.lit("<<<")))

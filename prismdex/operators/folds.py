@@ -1,30 +1,42 @@
-"""Order-dependent folds, whose state depends on what was kept: not a lag, and no Python either."""
+"""Order-dependent folds, whose state depends on what was kept: not a lag.
+
+Rows are dealt by group and sorted within the partitions, and each task streams over its batches with the state of the open group only: the last kept
+vector or the open buffer.  No group is ever gathered.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from prismdex.functions import fixed
-from prismdex.functions.vectors import dot
 
 
 def distinct_frames(frames: DataFrame, group: str, order: str, vector: str, threshold: float) -> DataFrame:
     """The rows that stay when each frame is dropped that is as similar as ``threshold`` to the last frame kept before it.
 
-    A group is one video, whose frames are few (24 by default); it is the only thing that is gathered.  Ties in ``order`` must not occur.
+    Ties in ``order`` must not occur; rows without a vector are dropped.
     """
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(vector).alias("v"))))
+    own, by = frames.columns.index(vector), frames.columns.index(group)
 
-    def step(acc: Column, x: Column) -> Column:
-        near = acc["last"].isNotNull() & (dot(x["v"], acc["last"]) >= threshold)
-        kept = F.struct(F.concat(acc["keep"], F.array(x["o"])).alias("keep"), x["v"].alias("last"))
-        return F.when(near, acc).otherwise(kept)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, open_ = None, object()
+        for batch in batches:
+            keep = []
+            for name, v in zip(batch.column(by).to_pylist(), batch.column(own), strict=True):
+                v = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
+                last = last if name == open_ else None
+                keep.append(last is None or float(v @ last) < threshold)
+                last, open_ = v if keep[-1] else last, name
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    kinds = dict(frames.dtypes)
-    start = F.struct(F.array().cast(f"array<{kinds[order]}>").alias("keep"), F.lit(None).cast(kinds[vector]).alias("last"))
-    keep = frames.groupBy(group).agg(items.alias("items")).select(group, F.explode(F.aggregate("items", start, step, lambda acc: acc["keep"])).alias(order))
-    return frames.join(keep, [group, order], "left_semi")
+    rows = frames.where(F.col(vector).isNotNull()).repartition(group).sortWithinPartitions(group, order)
+    return rows.mapInArrow(run, frames.schema)
 
 
 def transcript_buffers(segments: DataFrame, group: str, order: str, start: str, text: str, over: int = fixed.TRANSCRIPT_OVER) -> DataFrame:
@@ -32,23 +44,34 @@ def transcript_buffers(segments: DataFrame, group: str, order: str, start: str,
 
     Blank segments are skipped; each adds a space and itself; ref is the start of the first, to one decimal; a rest is a buffer too.
     """
-    said = segments.where(F.trim(text) != "")
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(start).cast("double").alias("t"), F.trim(text).alias("x"))))
-    out_type = "array<struct<ref:double,text:string>>"
-
-    def flush(acc: Column) -> Column:
-        return F.concat(acc["out"], F.array(F.struct(F.round(acc["t"], 1).alias("ref"), F.trim(acc["buf"]).alias("text"))))
-
-    def step(acc: Column, x: Column) -> Column:
-        t = F.when(acc["buf"] == "", x["t"]).otherwise(acc["t"])
-        grown = F.struct(F.concat(acc["buf"], F.lit(" "), x["x"]).alias("buf"), t.alias("t"), acc["out"].alias("out"))
-        emptied = F.struct(F.lit("").alias("buf"), t.alias("t"), flush(grown).alias("out"))
-        return F.when(F.length(grown["buf"]) > over, emptied).otherwise(grown)
-
-    zero = F.struct(F.lit("").alias("buf"), F.lit(0.0).alias("t"), F.array().cast(out_type).alias("out"))
-    end = lambda acc: F.when(F.trim(acc["buf"]) != "", flush(acc)).otherwise(acc["out"])
-    folded = said.groupBy(group).agg(F.aggregate(items, zero, step, end).alias("b"))
-    return folded.select(group, F.posexplode("b").alias("ordinal", "x")).select(group, "ordinal", "x.ref", "x.text")
+    said = segments.select(group, order, F.col(start).cast("double").alias("ref"), F.trim(text).alias("text")).where("text <> ''")
+    rows = said.repartition(group).sortWithinPartitions(group, order).select(group, "ref", "text")
+    kind = dict(rows.dtypes)[group]
+    names, first = [group, "ordinal", "ref", "text"], to_arrow_schema(rows.select(group).schema).field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_, number, begin, held, size = object(), 0, 0.0, [], 0
+        for batch in batches:
+            out = []
+            for name, ref, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != open_:
+                    if held:
+                        out.append((open_, number, begin, " ".join(held)))
+                    open_, number, held, size = name, 0, [], 0
+                begin = begin if held else ref
+                held.append(x)
+                size += len(x) + 1
+                if size > over:
+                    out.append((name, number, begin, " ".join(held)))
+                    number, held, size = number + 1, [], 0
+            yield _batch(out)
+        yield _batch([(open_, number, begin, " ".join(held))] if held else [])
+
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((first, pa.int32(), pa.float64(), pa.string()))], names)
+
+    found = rows.mapInArrow(run, f"`{group}` {kind}, ordinal int, ref double, text string")
+    return found.withColumn("ref", F.round("ref", 1))
 
 
 def drop_blank_frames(frames: DataFrame, group: str, deviation: str, over: float = 2.0) -> DataFrame:

@@ -7,17 +7,24 @@ then by asset_id; a vid is that of one text within its asset only.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prismdex.functions import fixed
-from prismdex.functions.vectors import dot
 
-#: Queries whose vectors are sent to every task: their number is checked, more go by a join on blocks of queries.
-MOST_QUERIES = 10_000
+#: Queries that are sent to every task together, on average; more go in several passes over the texts or vectors.
+QUERY_BLOCK = 1000
+#: Scores that a task holds at once.
+CELLS = 1 << 22
 
 
 @dataclass(frozen=True)
@@ -58,26 +65,102 @@ def allowed_assets(assets: DataFrame, files: DataFrame, pipeline: str, filters:
     return assets.where(keep).select("asset_id").join(there.select("asset_id"), "asset_id", "left_semi")
 
 
-def similarities(vectors: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """(qid, asset_id, vid, raw): exact dot products of every vector with every query (qid, vector); filtered vectors are never scored."""
+Matrix = Callable[[pa.Array], np.ndarray]
+
+
+def dense(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows; a null one is zero."""
+    values, n = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64), len(column)
+    if not column.null_count:
+        return values.reshape(n, -1) if n else np.zeros((0, 0))
+    there = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+    out = np.zeros((n, len(values) // max(len(there), 1)))
+    out[there] = values.reshape(len(there), -1)
+    return out
+
+
+def hashed(column: pa.Array) -> np.ndarray:
+    """Unit vectors of counts from lists of buckets; an empty list is zero."""
+    lists = column.fill_null([]) if column.null_count else column
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    counts = np.bincount(owner * fixed.BUCKETS + lists.flatten().to_numpy(zero_copy_only=False), minlength=len(lists) * fixed.BUCKETS).reshape(len(lists), fixed.BUCKETS).astype(np.float64)
+    return counts / np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1e-300)
+
+
+def _best(scores: np.ndarray, rows: pa.Table, qids: pa.Array, most: int, per_asset: bool, positive: bool) -> pa.Table:
+    """(qid, asset_id, vid, raw) of the ``most`` best rows of each query (a column of scores), equals of the last among them; per_asset: only the best of each asset, the smallest vid of equals."""
+    n = rows.num_rows
+    at = np.broadcast_to(np.arange(n)[:, None], scores.shape)
+    if per_asset and n:
+        order = pc.sort_indices(rows, [("asset_id", "ascending"), ("vid", "ascending")]).to_numpy()
+        rows, scores = rows.take(pa.array(order)), scores[order]
+        asset = rows["asset_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        heads = np.flatnonzero(np.concatenate([[True], asset[1:] != asset[:-1]]))
+        best = np.maximum.reduceat(scores, heads, axis=0)
+        same = scores == np.repeat(best, np.diff(np.append(heads, n)), axis=0)
+        at = np.minimum.reduceat(np.where(same, at, n), heads, axis=0)
+        scores = best
+    keep = np.ones(scores.shape, bool)
+    if len(scores) > most:
+        keep = scores >= np.partition(scores, len(scores) - most, axis=0)[len(scores) - most]
+    if positive:
+        keep &= scores > 0
+    i, q = np.nonzero(keep)
+    found = rows.take(pa.array(at[i, q]))
+    return pa.table([qids.take(pa.array(q)), found["asset_id"], found["vid"], pa.array(scores[i, q])], names=["qid", "asset_id", "vid", "raw"])
+
+
+def _searched(rows: DataFrame, payload: str, queries: DataFrame, prepare: Callable, most: int, per_asset: bool, positive: bool, digits: int | None) -> DataFrame:
+    """Candidates (qid, asset_id, vid, raw) among ``rows`` (vid, asset_id, payload): the best of each batch, so that few rows are shuffled.
+
+    prepare: from a block of queries as an Arrow table to (ids, scorer), the scorer (sent to the tasks) from a payload column to scores [row, query].  Queries go to the tasks in blocks of about
+    ``QUERY_BLOCK``, at any number of them.
+    """
+    spark, kinds = rows.sparkSession, {f.name: f.dataType for f in [*rows.schema.fields, *queries.schema.fields]}
+    schema = StructType([*[StructField(c, kinds[c]) for c in ("qid", "asset_id", "vid")], StructField("raw", DoubleType())])
+
+    def tasks(sent):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, scorer = sent.value
+            step = max(1, CELLS // max(len(qids), 1))
+            for batch in batches:
+                for k in range(0, batch.num_rows, step):
+                    part = batch.slice(k, step)
+                    scores = scorer(part.column(2))
+                    scores = scores if digits is None else np.round(scores, digits)
+                    yield from _best(scores, pa.Table.from_batches([part]), qids, most, per_asset, positive).combine_chunks().to_batches()
+
+        return run
+
+    number = queries.select("qid").distinct().count()
+    blocks = max(1, math.ceil(number / QUERY_BLOCK))
+    out = spark.createDataFrame([], schema)
+    for k in range(blocks):
+        own = queries.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == k).toArrow().combine_chunks()
+        if own.num_rows:
+            found = rows.select("vid", "asset_id", payload).mapInArrow(tasks(spark.sparkContext.broadcast(prepare(own))), schema)
+            out = found if blocks == 1 else out.union(found)
+    return out
+
+
+def _products(asked: np.ndarray, matrix: Matrix, column: pa.Array) -> np.ndarray:
+    rows = matrix(column)
+    return rows @ asked if rows.size else np.zeros((len(column), asked.shape[1]))
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, allowed: DataFrame | None = None, most: int = fixed.CANDIDATES, per_asset: bool = True, digits: int | None = 9, matrix: Matrix = dense) -> DataFrame:
+    """(qid, asset_id, vid, raw): for every query at least the ``most`` rows of highest dot product, by exact matrix products of batches; filtered vectors are never scored.
+
+    vectors (vid, asset_id, vector), queries (qid, vector), turned into numbers by ``matrix``: ``dense``, or ``hashed`` for lists of word buckets (where rows without a common
+    bucket are left out).  per_asset: one row of each asset and batch.  More rows than asked for come back: ``cut_and_rank`` settles them.
+    """
     own = vectors.select("vid", "asset_id", "vector")
     own = own if allowed is None else own.join(allowed, "asset_id", "left_semi")
-    asked = queries.select("qid", F.col("vector").alias("__q"))
-    if asked.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES:
-        pairs = own.crossJoin(F.broadcast(asked))
-    else:  # in blocks: each vector goes to every block of queries
-        blocks = 64
-        asked = asked.withColumn("__b", F.pmod(F.xxhash64("qid"), F.lit(blocks)))
-        pairs = own.withColumn("__b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long")).join(asked, "__b").drop("__b")
-    return pairs.select("qid", "asset_id", "vid", dot(F.col("vector"), F.col("__q")).alias("raw"))
-
-
-def sparse_similarities(buckets: DataFrame, queries: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
-    """The same for unit vectors given by their non-zero parts: buckets (vid, asset_id, bucket, weight), queries (qid, bucket, weight)."""
-    own = buckets.select("vid", "asset_id", "bucket", F.col("weight").alias("w"))
-    own = own if allowed is None else own.join(allowed, "asset_id", "left_semi")
-    pairs = own.join(queries.select("qid", "bucket", F.col("weight").alias("q")), "bucket")
-    return pairs.groupBy("qid", "asset_id", "vid").agg(F.sum(F.col("w") * F.col("q")).alias("raw"))
+
+    def prepare(block: pa.Table):
+        return block["qid"].combine_chunks(), partial(_products, matrix(block["vector"].combine_chunks()).T, matrix)
+
+    return _searched(own, "vector", queries.select("qid", "vector"), prepare, most, per_asset, matrix is hashed, digits)
 
 
 def best_per_asset(scored: DataFrame, digits: int | None = None) -> DataFrame:
@@ -105,7 +188,50 @@ def cut_and_rank(best: DataFrame, floor: float | None = None, margin: float | No
 
 
 def vector_hits(vectors: DataFrame, queries: DataFrame, allowed: DataFrame, floor: float, margin: float) -> DataFrame:
-    return cut_and_rank(best_per_asset(similarities(vectors, queries, allowed)), floor, margin)
+    return cut_and_rank(best_per_asset(nearest(vectors, queries, allowed), 9), floor, margin)
+
+
+def _bm25_scores(vocabulary: pa.Array, first: np.ndarray, query: np.ndarray, weight: np.ndarray, queries: int, mean: float, column: pa.Array) -> np.ndarray:
+    """Scores [text, query] of lists of words; term t of the vocabulary is in the queries first[t]:first[t + 1] with these weights."""
+    k1, b = fixed.BM25_K1, fixed.BM25_B
+    length = pc.list_value_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = column.flatten().dictionary_encode()
+    known = pc.index_in(words.dictionary, value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    t = known[words.indices.to_numpy()]
+    pairs, tf = np.unique((np.repeat(np.arange(len(column)), length) * len(vocabulary) + t)[t >= 0], return_counts=True)
+    row, t = np.divmod(pairs, max(len(vocabulary), 1))
+    part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[row] / mean))
+    many = first[t + 1] - first[t]
+    at = np.repeat(first[t] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    return np.bincount(np.repeat(row, many) * queries + query[at], np.repeat(part, many) * weight[at], len(column) * queries).reshape(len(column), queries)
+
+
+def bm25_best(texts: DataFrame, terms: DataFrame, allowed: DataFrame | None = None, most: int = fixed.CANDIDATES, per_asset: bool = True, digits: int = 9) -> DataFrame:
+    """Candidates (qid, asset_id, vid, raw) by BM25 for many queries at once: at least the ``most`` best of each, rounded so that sums in any order rank alike.
+
+    texts (vid, asset_id, words: array of terms with repeats), terms (qid, term; repeats count).  One pass counts documents and lengths over all texts, the next scores
+    those of allowed assets, each batch as a sparse product of its term counts with the weights of the queries.  idf as in ``bm25``.
+    """
+    asked = terms.groupBy("qid", "term").agg(F.count("*").alias("times"))
+    every = F.explode(F.concat(F.array_distinct("words"), F.array(F.lit("")))).alias("term")  # "" stands for the text itself
+    wanted = asked.select("term").union(texts.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    counts = texts.select(F.size("words").alias("len"), every).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"), F.avg("len").alias("avgdl")).persist()
+    stats = counts.where("term = ''").select(F.col("df").alias("n"), "avgdl").first()
+    if stats is None:  # no texts
+        return texts.join(terms.select("qid"), F.lit(False)).select("qid", "asset_id", "vid", F.lit(0.0).alias("raw"))
+    df = counts.where("term <> ''").select("term", "df")
+    idf = F.log((F.lit(stats.n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = asked.join(df, "term").select("qid", "term", (F.col("times") * F.when(idf > 0, idf).otherwise(1e-6)).alias("weight"))
+
+    def prepare(block: pa.Table):
+        qid, term = (block[c].combine_chunks().dictionary_encode() for c in ("qid", "term"))
+        order = np.argsort(term.indices.to_numpy(), kind="stable")
+        query, weight = qid.indices.to_numpy()[order].astype(np.int64), block["weight"].to_numpy()[order]
+        first = np.searchsorted(term.indices.to_numpy()[order], np.arange(len(term.dictionary) + 1))
+        return qid.dictionary, partial(_bm25_scores, term.dictionary, first, query, weight, len(qid.dictionary), stats.avgdl)
+
+    own = texts if allowed is None else texts.join(allowed, "asset_id", "left_semi")
+    return _searched(own, "words", weights, prepare, most, per_asset, True, digits)
 
 
 def bm25(postings: DataFrame, lengths: DataFrame, terms: DataFrame) -> DataFrame:
@@ -135,8 +261,12 @@ def keyword_hits(scored: DataFrame, allowed: DataFrame, first_rows: int | None =
     if first_rows is not None:
         order = Window.partitionBy("qid").orderBy(F.round("raw", digits).desc(), F.col("vid"), F.col("asset_id"))
         scored = scored.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= first_rows).drop("__r")
-    best = best_per_asset(scored.join(allowed, "asset_id", "left_semi"), digits)
-    return cut_and_rank(best, share=fixed.KEYWORD_SHARE)
+    return keyword_cut(scored.join(allowed, "asset_id", "left_semi"), digits)
+
+
+def keyword_cut(scored: DataFrame, digits: int = 9) -> DataFrame:
+    """Hits: the best text of each asset, those with half the score of the best."""
+    return cut_and_rank(best_per_asset(scored, digits), share=fixed.KEYWORD_SHARE)
 
 
 def confidence(signal: str, raw: Column, low: float = 0.0, high: float = 1.0) -> Column:

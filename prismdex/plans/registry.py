@@ -86,33 +86,33 @@ def hydrated_page(spark, d):
 @query(_hits_sql(f"{o.LABELLED}, {o.SIMS}, {o.hits('sims', 'h', 'true')}", "h") + " WHERE rank < 10")
 def vector_topk(spark, d):
     """The ten nearest of all embeddings for every hundredth one."""
-    sims = retrieval.similarities(sample.labelled(spark, d), sample.picture_queries(spark, d))
+    sims = retrieval.nearest(sample.labelled(spark, d), sample.picture_queries(spark, d), most=10, per_asset=False, digits=None)
     return _hits(retrieval.cut_and_rank(sims, most=10))
 
 
 @query(_hits_sql(f"{o.LABELLED}, {o.SIMS}, {o.best('sims', 'b')}, {o.hits('b', 'h', 'true')}", "h"))
 def vector_best_per_asset(spark, d):
-    sims = retrieval.similarities(sample.labelled(spark, d), sample.picture_queries(spark, d))
+    sims = retrieval.nearest(sample.labelled(spark, d), sample.picture_queries(spark, d))
     return _hits(retrieval.cut_and_rank(retrieval.best_per_asset(sims, 9)))
 
 
 @query(_hits_sql(f"{o.ALLOWED}, {o.PICTURES}, {o.ASKED}, {o.SIMS}, s AS (SELECT * FROM sims SEMI JOIN allowed USING (asset_id)), {o.best('s', 'b')}, {o.hits('b', 'h', o.near(0.15, 0.2))}", "h"))
 def vector_floor_margin(spark, d):
-    sims = retrieval.similarities(sample.pictures(spark, d), sample.queries(spark, d), search.allowed(spark, d))
+    sims = retrieval.nearest(sample.pictures(spark, d), sample.queries(spark, d), search.allowed(spark, d))
     return _hits(retrieval.cut_and_rank(retrieval.best_per_asset(sims, 9), 0.15, 0.2))
 
 
 @query(f"WITH {o.DOCS}, {o.PICTURES}, {o.ASKED}, {o.SIMS} SELECT qid, 'clip' AS signal, round(max(raw), 6) AS top FROM sims GROUP BY qid")
 def raw_top(spark, d):
-    sims = retrieval.similarities(sample.pictures(spark, d), sample.queries(spark, d))
+    sims = retrieval.nearest(sample.pictures(spark, d), sample.queries(spark, d), most=1, per_asset=False, digits=None)
     return retrieval.raw_tops({"clip": sims}).withColumn("top", F.round("top", 6))
 
 
 @query(f"WITH RECURSIVE {o.DOCS}, {o.CHUNKS}, {o.ASKED}, {o.buckets('chunks', 'vid, asset_id', 'cb')}, {o.buckets('asked', 'qid', 'qb')}, tsims AS (SELECT qid, asset_id, vid, sum(cb.weight * qb.weight) AS raw FROM cb JOIN qb USING (bucket) GROUP BY qid, asset_id, vid), {o.best('tsims', 'b')}, {o.hits('b', 'h', o.near(0.15, 0.6))} SELECT qid, asset_id, vid, round(raw, 6) AS raw, rank FROM h")
 def text_vector_hits(spark, d):
-    """Hashed word vectors of all chunks against those of the queries, by their non-zero parts."""
-    own, asked = sample.weighted_buckets(sample.chunks(spark, d), ["vid", "asset_id"]), sample.weighted_buckets(sample.queries(spark, d).select("qid", "text"), ["qid"])
-    return _hits(retrieval.cut_and_rank(retrieval.best_per_asset(retrieval.sparse_similarities(own, asked), 9), 0.15, 0.6))
+    """Hashed word vectors of all chunks against those of the queries."""
+    found = retrieval.nearest(sample.bucketed(sample.chunks(spark, d), "vid", "asset_id"), sample.bucketed(sample.queries(spark, d), "qid"), matrix=retrieval.hashed)
+    return _hits(retrieval.cut_and_rank(retrieval.best_per_asset(found, 9), 0.15, 0.6))
 
 
 _BM = f"{o.ALLOWED}, {o.CHUNKS}, {o.ASKED}, {o.TERMS}, {o.POSTINGS}, {o.BM25}"
@@ -121,13 +121,18 @@ _BM = f"{o.ALLOWED}, {o.CHUNKS}, {o.ASKED}, {o.TERMS}, {o.POSTINGS}, {o.BM25}"
 @query(f"WITH RECURSIVE {_BM} SELECT qid, vid, round(raw, 6) AS raw FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, vid) <= 50")
 def bm25_scores(spark, d):
     """The fifty best chunks of each query."""
-    posted, lengths = sample.postings(sample.chunks(spark, d))
-    scored = retrieval.bm25(posted, lengths, sample.terms(sample.queries(spark, d))).withColumn("raw", F.round("raw", 9))
+    scored = retrieval.bm25_best(sample.worded(sample.chunks(spark, d)), sample.terms(sample.queries(spark, d)), most=50, per_asset=False)
     return retrieval.cut_and_rank(scored, most=50).select("qid", "vid", F.round("raw", 6).alias("raw"))
 
 
 @query(f"WITH RECURSIVE {_BM}, s AS (SELECT * FROM bm SEMI JOIN allowed USING (asset_id)), {o.best('s', 'b')}, {o.hits('b', 'h', 'raw >= 0.5 * first')} SELECT qid, asset_id, vid, round(raw, 6) AS raw, rank FROM h")
 def bm25_keyword(spark, d):
+    return _hits(retrieval.keyword_cut(retrieval.bm25_best(sample.worded(sample.chunks(spark, d)), sample.terms(sample.queries(spark, d)), search.allowed(spark, d))))
+
+
+@query(ORACLES["bm25_keyword"])
+def bm25_postings(spark, d):
+    """The same over a table of postings, as the engine keeps one."""
     posted, lengths = sample.postings(sample.chunks(spark, d))
     return _hits(retrieval.keyword_hits(retrieval.bm25(posted, lengths, sample.terms(sample.queries(spark, d))), search.allowed(spark, d)))
 
@@ -135,18 +140,16 @@ def bm25_keyword(spark, d):
 @query(f"WITH RECURSIVE {_BM}, firsts AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, vid) <= 600), s AS (SELECT * FROM firsts SEMI JOIN allowed USING (asset_id)), {o.best('s', 'b')}, {o.hits('b', 'h', 'raw >= 0.5 * first')} SELECT qid, asset_id, vid, round(raw, 6) AS raw, rank FROM h")
 def bm25_limit_first(spark, d):
     """The original order of steps: 600 rows first, the filter after."""
-    posted, lengths = sample.postings(sample.chunks(spark, d))
-    return _hits(retrieval.keyword_hits(retrieval.bm25(posted, lengths, sample.terms(sample.queries(spark, d))), search.allowed(spark, d), 600))
+    scored = retrieval.bm25_best(sample.worded(sample.chunks(spark, d)), sample.terms(sample.queries(spark, d)), most=600, per_asset=False)
+    return _hits(retrieval.keyword_hits(scored, search.allowed(spark, d), 600))
 
 
 @query()
 def bm25_stemmed(spark, d):
     """BM25 over Porter stems of Unicode words; the tests compare it with an independent full-text engine."""
-    words = sample.chunks(spark, d).select("vid", "asset_id", stems.stemmed_words(F.col("text")).alias("w"))
-    posted = words.select("vid", "asset_id", F.explode("w").alias("term")).groupBy("vid", "asset_id", "term").agg(F.count("*").alias("tf"))
+    words = sample.chunks(spark, d).select("vid", "asset_id", stems.stemmed_words(F.col("text")).alias("words"))
     asked = sample.queries(spark, d).select("qid", F.explode(stems.stemmed_words(F.array_join(text_.query_terms(F.col("text")), " "))).alias("term"))
-    scored = retrieval.bm25(posted, words.select("vid", "asset_id", F.size("w").alias("len")), asked)
-    return _hits(retrieval.keyword_hits(scored, search.allowed(spark, d)))
+    return _hits(retrieval.keyword_cut(retrieval.bm25_best(words, asked, search.allowed(spark, d))))
 
 
 @query(f"WITH {o.ASSETS} SELECT asset_id FROM assets a WHERE status = 'ready' AND pipeline = 'p2' AND type IN ('pdf', 'image') AND ext IN ('.jpg', '.pdf') AND size BETWEEN 200 AND 5000 AND indexed_ts BETWEEN 1700010000 AND 1702000000 AND EXISTS (SELECT 1 FROM files f WHERE f.asset_id = a.asset_id AND present AND contains(translate(path, {o.UPPER}, {o.LOWER}), 'src1'))")
@@ -453,7 +456,7 @@ def weak_labels(spark, d):
 
 @query(f"WITH {o.DOCS}, {o.PICTURES}, {o.ASKED}, {o.SIMS}, t AS (SELECT qid, qid % 4 = 3 AS negative, max(raw) * CASE WHEN qid % 4 = 3 THEN 0.5 ELSE 1 + qid % 2 * -0.7 END AS top FROM sims GROUP BY qid), n AS (SELECT max(top) FILTER (negative) AS hi, count(*) FILTER (NOT negative) AS n_positive FROM t) SELECT 'clip' AS signal, round(hi + 0.01, 6) AS floor, round(hi, 6) AS highest_negative, n_positive, (SELECT count(*) FROM t WHERE NOT negative AND top < hi + 0.01) AS n_weak FROM n")
 def calibration_floor(spark, d):
-    tops = retrieval.raw_tops({"clip": retrieval.similarities(sample.pictures(spark, d), sample.queries(spark, d))})
+    tops = retrieval.raw_tops({"clip": retrieval.nearest(sample.pictures(spark, d), sample.queries(spark, d), most=1, per_asset=False, digits=None)})
     factor = F.when(F.col("qid") % 4 == 3, 0.5).otherwise(1 + F.col("qid") % 2 * -0.7)
     rows = evaluation.calibration(tops.select("qid", "signal", (F.col("top") * factor).alias("top"), (F.col("qid") % 4 == 3).alias("negative")))
     return rows.select("signal", F.round("floor", 6).alias("floor"), F.round("highest_negative", 6).alias("highest_negative"), "n_positive", F.size("weak").cast("long").alias("n_weak"))

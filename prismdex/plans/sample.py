@@ -53,8 +53,21 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(vid, asset_id, text) of the chunks of every asset."""
-    docs = documents(spark, sf_dir).where("doc_id = asset_id").select("asset_id", F.posexplode(text_.chunks(F.col("text"))).alias("n", "text"))
-    return docs.select((F.col("asset_id") * PER_ASSET + F.col("n")).alias("vid"), "asset_id", "text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    first = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("asset_id"))
+    first = first.hint("merge")  # it grows with the corpus: never broadcast
+    own = docs.join(first, docs.doc_id == first.asset_id).select("asset_id", F.posexplode(text_.chunks(F.col("text"))).alias("n", "text"))
+    return own.select((F.col("asset_id") * PER_ASSET + F.col("n")).alias("vid"), "asset_id", "text")
+
+
+def bucketed(rows: DataFrame, *key: str) -> DataFrame:
+    """(key..., vector): the buckets of the words of ``text``."""
+    return rows.select(*key, word_buckets(F.col("text")).alias("vector"))
+
+
+def worded(rows: DataFrame) -> DataFrame:
+    """(vid, asset_id, words): unstemmed tokens of ``text``."""
+    return rows.select("vid", "asset_id", text_.tokens(F.col("text")).alias("words"))
 
 
 def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:

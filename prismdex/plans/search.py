@@ -21,13 +21,14 @@ def allowed(spark: SparkSession, sf_dir: str, filters: retrieval.Filters = retri
 def signals(spark: SparkSession, sf_dir: str, filters: retrieval.Filters = retrieval.Filters()) -> dict[str, DataFrame]:
     """Hits of the three signals for every query."""
     asked, ok, chunks = sample.queries(spark, sf_dir), allowed(spark, sf_dir, filters), sample.chunks(spark, sf_dir)
-    clip = retrieval.best_per_asset(retrieval.similarities(sample.pictures(spark, sf_dir), asked, ok), 9)
-    text = retrieval.best_per_asset(retrieval.sparse_similarities(sample.weighted_buckets(chunks, ["vid", "asset_id"]), sample.weighted_buckets(asked.select("qid", "text"), ["qid"]), ok), 9)
-    posted, lengths = sample.postings(chunks)
+    clip = retrieval.nearest(sample.pictures(spark, sf_dir), asked, ok)
+    text = retrieval.nearest(sample.bucketed(chunks, "vid", "asset_id"), sample.bucketed(asked, "qid"), ok, matrix=retrieval.hashed)
+    words = retrieval.bm25_best(sample.worded(chunks), sample.terms(asked), ok)
     return {
-        "clip": retrieval.cut_and_rank(clip, FLOORS["clip"], MARGINS["clip"]), "text": retrieval.cut_and_rank(text, FLOORS["text"], MARGINS["text"]),
-        "kw": retrieval.keyword_hits(retrieval.bm25(posted, lengths, sample.terms(asked)), ok),
-    }
+        "clip": retrieval.cut_and_rank(retrieval.best_per_asset(clip, 9), FLOORS["clip"], MARGINS["clip"]),
+        "text": retrieval.cut_and_rank(retrieval.best_per_asset(text, 9), FLOORS["text"], MARGINS["text"]),
+        "kw": retrieval.keyword_cut(words),
+    }
 
 
 def hybrid(spark: SparkSession, sf_dir: str, filters: retrieval.Filters = retrieval.Filters()) -> DataFrame:

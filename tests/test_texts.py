@@ -7,15 +7,24 @@ import sqlite3
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from prismdex.functions import text as text_
-from prismdex.functions.stems import porter, stemmed_words, words
+from prismdex.functions.chunks import chunked
+from prismdex.functions.stems import WORD, folded, porter, stemmed_words
 from prismdex.operators import folds, retrieval
 from prismdex.settings import Settings
 from prismdex.sources import decoders, documents
 
+UNICODE_WORD = regex.compile(WORD)
+
+
+def words(text):
+    return [folded(w) for w in UNICODE_WORD.findall(text)]
+
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -49,6 +58,9 @@ def test_bm25_equals_that_of_a_full_text_engine(spark, texts, full_text):
     queries = ["panel panels", "café", "the licence of this software", texts[3].split()[0] + " " + texts[5].split()[-1], "nothingatall"]
     asked = spark.createDataFrame([(q, porter(w)) for q, text in enumerate(queries) for w in words(text)], "qid int, term string")
     got = {(r.qid, r.vid): r.raw for r in retrieval.bm25(posted, own.select("vid", F.size("w").alias("len")), asked).collect()}
+    best = retrieval.bm25_best(own.withColumnRenamed("w", "words"), asked, per_asset=False, digits=12)
+    assert {(r.qid, r.vid): r.raw for r in best.collect()} == pytest.approx(got, rel=1e-9)
+    assert retrieval.bm25_best(own.withColumnRenamed("w", "words").limit(0), asked).count() == 0
     wanted = {}
     for q, text in enumerate(queries):
         phrase = " OR ".join(f'"{w}"' for w in words(text))
@@ -72,14 +84,14 @@ def test_chunks_follow_the_rule(text, size):
             if j >= len(flat):
                 break
             i = max(j - 10, i + 1)
-    assert decoders.chunked(text, size, 10, 5) == [c for c in out if len(c) >= 5]
+    assert chunked(flat, size, 10, 5) == [c for c in out if len(c) >= 5]
 
 
 def test_chunks_and_transcripts_as_expressions(spark, texts):
     rng = random.Random(4)
     own = texts + ["", "short", "x" * 2000, *["".join(rng.choice("abc. \n") for _ in range(rng.randint(0, 4000))) for _ in range(40)]]
     rows = spark.createDataFrame(list(enumerate(own)), "i int, text string").select("i", text_.chunks(F.col("text")).alias("c")).collect()
-    assert {r.i: r.c for r in rows} == {i: decoders.chunked(t) for i, t in enumerate(own)}
+    assert {r.i: r.c for r in rows} == {i: chunked(" ".join(t.split())) for i, t in enumerate(own)}
     said = [(g, k, float(k) * 1.5, rng.choice(["", "  ", "word " * rng.randint(1, 60)])) for g in range(6) for k in range(40)]
     found: dict[int, list] = {}
     for r in sorted(folds.transcript_buffers(spark.createDataFrame(said, "g int, k int, t double, x string"), "g", "k", "t", "x").collect(), key=lambda r: (r.g, r.ordinal)):
@@ -117,3 +129,23 @@ def test_settings(tmp_path):
     (tmp_path / ".env").write_text("# note\nWORKERS=7\nCLIP_MARGIN='0.2'\nENABLE_ASR=true\nTHUMB_SIZE=1\n")
     found = Settings.from_env({"WORKERS": "9"}, tmp_path / ".env")
     assert (found.workers, found.clip_margin, found.enable_asr, found.thumb_size) == (9, 0.2, True, 320)
+
+
+def test_nearest_in_blocks_equals_all_products(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    v, q = rng.integers(-3, 4, (500, 6)) / 2.0, rng.integers(-3, 4, (40, 6)) / 2.0
+    rows = spark.createDataFrame([(i, i % 37, [float(x) for x in v[i]]) for i in range(500)], "vid int, asset_id int, vector array<float>").repartition(3)
+    asked = spark.createDataFrame([(k, [float(x) for x in q[k]]) for k in range(40)], "qid int, vector array<float>")
+    raw = v @ q.T
+    want = set()
+    for k in range(40):
+        best = sorted((-max(raw[i, k] for i in range(a, 500, 37)), min((i for i in range(a, 500, 37)), key=lambda i: (-raw[i, k], i)), a) for a in range(37))
+        want |= {(k, a, vid, -score, rank) for rank, (score, vid, a) in enumerate(best[:5])}
+    for block, cells in ((1000, 1 << 22), (7, 300)):
+        monkeypatch.setattr(retrieval, "QUERY_BLOCK", block)
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        found = retrieval.cut_and_rank(retrieval.best_per_asset(retrieval.nearest(rows, asked, most=5), 9), most=5)
+        assert {(r.qid, r.asset_id, r.vid, r.raw, r["rank"]) for r in found.collect()} == want
+    plain = retrieval.cut_and_rank(retrieval.nearest(rows, asked, most=4, per_asset=False), most=4)
+    assert sorted(r.raw for r in plain.collect()) == sorted(np.sort(raw, axis=0)[-4:].ravel().tolist())
+    assert retrieval.nearest(rows.limit(0), asked).count() == 0 and retrieval.nearest(rows, asked.limit(0)).count() == 0
