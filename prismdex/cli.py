@@ -1,4 +1,4 @@
-"""Command line: index, search, stats, files, duplicates, summary."""
+"""Command line: index, search, stats, files, duplicates, summary, evaluate, calibrate, report."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from prismdex.operators.evaluation import dataset_summary
 from prismdex.operators.retrieval import Filters
+from prismdex.plans import runners
 from prismdex.plans.engine import Engine
 from prismdex.settings import Settings
 from prismdex.sources.documents import markdown_table
@@ -39,6 +40,11 @@ def main(argv: list[str] | None = None) -> int:
         one.add_argument(f"--{name}", type=float)
     for name in ("stats", "files", "duplicates", "summary"):
         sub.add_parser(name)
+    for name, files in (("evaluate", ("queries", "manifest")), ("calibrate", ("queries",)), ("report", ("cases",))):
+        one = sub.add_parser(name)
+        for file in files:
+            one.add_argument(file)
+        one.add_argument("-k", type=int, default=10)
     args, settings = parser.parse_args(argv), Settings.from_env()
     spark = SparkSession.builder.appName("prismdex").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     engine = Engine(spark, settings.index_dir, settings)
@@ -47,6 +53,16 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "search":
         size = lambda mb: None if mb is None else mb * 1024**2
         out = engine.search(args.query, Filters(_list(args.types), _list(args.ext), size(args.min_size_mb), size(args.max_size_mb), args.folder, args.after, args.before), args.n, args.offset)
+    elif args.command == "evaluate":
+        for rows in runners.evaluate(engine, args.queries, args.manifest, args.k):
+            print(markdown_table(rows))
+        return 0
+    elif args.command == "calibrate":
+        print(markdown_table(runners.calibrate(engine, args.queries)))
+        return 0
+    elif args.command == "report":
+        print(runners.report(engine, args.cases, args.k))
+        return 0
     elif args.command == "summary":
         rows = listing(spark, settings.media_dir).withColumn("folder", F.substring("folder", len(settings.media_dir.rstrip("/")) + 2, 1 << 20))
         print(markdown_table(dataset_summary(rows).orderBy("section", "name")))

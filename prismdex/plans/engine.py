@@ -75,7 +75,7 @@ def analysed(row: dict, settings: Settings, openers: dict[str, Callable], embedd
 
 
 def thumbnail(picture, side: int) -> bytes | None:
-    """JPEG of an image object; None for plain arrays."""
+    """JPEG of an image object; None for plain arrays, which have no thumbnail."""
     if not hasattr(picture, "thumbnail"):
         return None
     import io
@@ -110,8 +110,8 @@ class Engine:
 
         pending = listing_.hashed(files.where("present AND state = 'pending'").drop("asset_id", "change").select("path", "ext", "size")).persist()
         reused, work = ingest.split_reuse(pending.where("sha256 IS NOT NULL"), assets.limit(0) if reanalyse else assets, pipeline)
-        found = self._analyse(work.orderBy("priority", "size").select("sha256", "path", "ext", "size")).persist()
-        new_assets, new_vectors = self._stored(found, began)
+        found = self._analyse(work.select("sha256", "path", "ext", "size", "priority")).persist()
+        new_assets, new_vectors, new_thumbs = self._stored(found, began)
         outcome = pending.select("path", "sha256").join(reused.select("path", "reused_asset"), "path", "left").join(found.select("sha256", F.col("path").alias("analysed"), "ok", "error_kind", "error"), "sha256", "left")
         state = ingest.error_state(F.col("error_kind"), F.col("error"))
         done = F.col("reused_asset").isNotNull() | F.coalesce("ok", F.lit(False))
@@ -127,6 +127,7 @@ class Engine:
         assets = ingest.merged_assets(assets, new_assets)
         vectors = ingest.replaced_children(vectors, new_vectors, new_assets.where("status = 'ready'"))
         assets, vectors = catalogue.without_orphans(assets, files, vectors)
+        thumbs = ingest.replaced_children(self.store.read("thumbs"), new_thumbs, new_assets.where("status = 'ready'")).join(assets.select("asset_id"), "asset_id", "left_semi")
         by = {r.new_state: r for r in outcome.groupBy("new_state").agg(F.count("*").alias("n"), F.count_if("was_reused").alias("r")).collect()}
         fail = by["failed"].n if "failed" in by else 0
         reuse = sum(r.r for r in by.values())
@@ -134,7 +135,7 @@ class Engine:
         summary["unsupported"] += by["unsupported"].n if "unsupported" in by else 0
         run = self.spark.createDataFrame([(int(began * 1000), began, time.time(), "finished", json.dumps(summary))], schemas.RUNS)
         postings, lengths = self.text_index(vectors)
-        self.store.commit({"files": files, "assets": assets, "vectors": vectors, "postings": postings, "lengths": lengths, "runs": self.store.read("runs").unionByName(run)})
+        self.store.commit({"files": files, "assets": assets, "vectors": vectors, "thumbs": thumbs.select("path", "asset_id", "jpeg"), "postings": postings, "lengths": lengths, "runs": self.store.read("runs").unionByName(run)})
         for x in (pending, found, outcome):
             x.unpersist()
         return summary
@@ -149,24 +150,28 @@ class Engine:
                 for row in batch.to_pylist():
                     yield pa.RecordBatch.from_pylist([analysed(row, settings, openers, embedder, pause)], schema)
 
-        return work.repartition(max(self.settings.workers, self.spark.sparkContext.defaultParallelism)).mapInArrow(run, schemas.EXTRACTED)
+        dealt = work.repartition(max(self.settings.workers, self.spark.sparkContext.defaultParallelism), "sha256")
+        return dealt.sortWithinPartitions("priority", "size").mapInArrow(run, schemas.EXTRACTED)  # pictures first, small files before large ones
 
-    def _stored(self, found: DataFrame, now: float) -> tuple[DataFrame, DataFrame]:
+    def _stored(self, found: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """New rows of assets, vectors and thumbs."""
         good = found.where("ok OR error_kind = 'embedder'")
-        thumb = F.when(F.size("visuals") > 0, F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), F.lit("_0.jpg")))
+        thumb = F.when(F.get("visuals", F.lit(0))["thumb"].isNotNull(), F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), F.lit("_0.jpg")))
         assets = good.select(
             F.col("sha256").alias("asset_id"), "sha256", "type", "ext", mime_type(F.col("ext")).alias("mime"), "size", "width", "height", "duration", "pages", "meta", F.when(F.col("ok"), "ready").otherwise("failed").alias("status"),
             F.when(~F.col("ok"), ingest.error_state(F.col("error_kind"), F.col("error"))["error"]).alias("error"), "warnings", thumb.alias("thumb"), F.lit(self.embedder.pipeline).alias("pipeline"), F.lit(now).alias("created_ts"), F.lit(now).alias("indexed_ts"),
         )
         vid = lambda space: F.format_string(f"%s:{space}:%06d", "sha256", "n")
         path = F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), F.lit("_"), F.col("n").cast("string"), F.lit(".jpg"))
-        visual = found.where("ok").select("sha256", F.posexplode("visuals").alias("n", "x")).select(
-            vid("clip").alias("vid"), F.col("sha256").alias("asset_id"), F.lit("clip").alias("space"), "x.kind", "x.ref", F.lit(None).cast("string").alias("text"), path.alias("thumb"), "x.vector"
+        shown = found.where("ok").select("sha256", F.posexplode("visuals").alias("n", "x"))
+        visual = shown.select(
+            vid("clip").alias("vid"), F.col("sha256").alias("asset_id"), F.lit("clip").alias("space"), "x.kind", "x.ref", F.lit(None).cast("string").alias("text"), F.when(F.col("x.thumb").isNotNull(), path).alias("thumb"), "x.vector"
         )
+        thumbs = shown.where("x.thumb IS NOT NULL").select(path.alias("path"), F.col("sha256").alias("asset_id"), F.col("x.thumb").alias("jpeg"))
         text = found.where("ok").select("sha256", F.posexplode("texts").alias("n", "x")).select(
             vid("text").alias("vid"), F.col("sha256").alias("asset_id"), F.lit("text").alias("space"), "x.kind", "x.ref", "x.text", F.lit(None).cast("string").alias("thumb"), "x.vector"
         )
-        return assets, visual.unionByName(text)
+        return assets, visual.unionByName(text), thumbs
 
     @staticmethod
     def text_index(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -176,11 +181,21 @@ class Engine:
         return postings, stems.select("vid", F.size("w").alias("len"))
 
     # ------------------------------------------------------------ queries
-    def _spaces(self, query: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    def thumbnail(self, path: str) -> bytes | None:
+        """The JPEG that a result names as its ``thumb``."""
+        found = self.store.read("thumbs").where(F.col("path") == path).select("jpeg").first()
+        return found and bytes(found.jpeg)
+
+    def _cuts(self, signal: str) -> tuple[float, float]:
+        """Floor and margin of a signal: those of the settings, else of the embedder."""
+        floor, margin = getattr(self.settings, f"{signal}_min_score"), getattr(self.settings, f"{signal}_margin")
+        return self.embedder.floors[signal] if floor is None else floor, self.embedder.margins[signal] if margin is None else margin
+
+    def _spaces(self, *queries: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
         assets, vectors = self.store.read("assets"), self.store.read("vectors")
         current = catalogue.current_vectors(vectors, assets, self.embedder.pipeline)
-        encoded = {"clip": self.embedder.visual_query([query])[0].tolist(), "text": self.embedder.text([query])[0].tolist()}
-        asked = {s: self.spark.createDataFrame([(0, v)], "qid int, vector array<float>") for s, v in encoded.items()}
+        encoded = {"clip": self.embedder.visual_query(list(queries)), "text": self.embedder.text(list(queries))}
+        asked = {s: self.spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "qid int, vector array<float>") for s, v in encoded.items()}
         return {s: current.where(F.col("space") == s) for s in asked}, asked
 
     def search(self, query: str, filters: retrieval.Filters = retrieval.Filters(), limit: int = 24, offset: int = 0) -> dict:
@@ -195,7 +210,7 @@ class Engine:
         if allowed.limit(1).count():
             for s in ("clip", "text"):
                 if spaces[s].limit(1).count():
-                    hits[s] = retrieval.vector_hits(spaces[s], asked[s], allowed, self.embedder.floors[s], self.embedder.margins[s]).persist()
+                    hits[s] = retrieval.vector_hits(spaces[s], asked[s], allowed, *self._cuts(s)).persist()
             one = self.spark.createDataFrame([(0, query)], "qid int, text string")
             terms = [porter(t) for t in one.select(text_.query_terms(F.col("text")).alias("t")).first().t]
             if terms and self.store.versions():
@@ -212,9 +227,13 @@ class Engine:
         allowed.unpersist()
         return out | {"took_ms": round((time.perf_counter() - began) * 1000, 1)}
 
+    def raw_tops(self, queries: list[str]) -> DataFrame:
+        """(qid: place in the list, signal, top): the highest similarity of each, without floor or filter."""
+        spaces, asked = self._spaces(*queries)
+        return retrieval.raw_tops({s: retrieval.nearest(spaces[s], asked[s], most=1, per_asset=False, digits=None) for s in spaces})
+
     def raw_top(self, query: str) -> dict[str, float]:
-        spaces, asked = self._spaces(query)
-        return {r.signal: r.top for r in retrieval.raw_tops({s: retrieval.similarities(spaces[s], asked[s]) for s in spaces}).collect()}
+        return {r.signal: r.top for r in self.raw_tops([query]).collect()}
 
     def stats(self) -> dict:
         assets, files, vectors = (self.store.read(n) for n in ("assets", "files", "vectors"))

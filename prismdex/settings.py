@@ -32,10 +32,11 @@ class Settings:
     max_image_pixels: int = 120_000_000
     enable_asr: bool = False
     asr_model: str = "tiny.en"
-    clip_min_score: float = 0.20
-    text_min_score: float = 0.30
-    clip_margin: float = 0.05
-    text_margin: float = 0.10
+    #: Floors and margins of a search; None: those of the embedder.
+    clip_min_score: float | None = None
+    text_min_score: float | None = None
+    clip_margin: float | None = None
+    text_margin: float | None = None
 
     @classmethod
     def from_env(cls, env: Mapping[str, str] | None = None, dotenv: str | Path | None = ".env") -> Settings:
@@ -45,7 +46,7 @@ class Settings:
         for f in fields(cls):
             text = values.get(f.name.upper())
             if text is not None and text != "" and f.name not in CONSTANT:
-                kind = type(f.default)
+                kind = float if f.default is None else type(f.default)
                 found[f.name] = text.strip().lower() in TRUE if kind is bool else kind(text)
         return cls(**found)
 

@@ -114,4 +114,17 @@ class PdfReader:
         return Image.frombytes("RGB", (drawn.width, drawn.height), drawn.samples)
 
 
+_speech: dict[str, object] = {}
+
+
+def open_speech(path: str, settings: Settings) -> list[tuple[float, str]]:
+    """Segments (start, text) of what is said in a file; the model is loaded once in a worker."""
+    from faster_whisper import WhisperModel
+
+    if settings.asr_model not in _speech:
+        _speech[settings.asr_model] = WhisperModel(settings.asr_model, device="cpu", compute_type="int8")
+    segments, _ = _speech[settings.asr_model].transcribe(path)
+    return [(s.start, s.text) for s in segments]
+
+
 open_image, open_video, open_pdf = ImageReader, VideoReader, PdfReader

@@ -29,6 +29,8 @@ class Snapshots:
         if not found:
             return self.spark.createDataFrame([], EMPTY[name])
         path = f"{self.root}/v{found[-1] if version is None else version}/{name}"
+        if name in EMPTY and not self._files.exists(self._path(path)):  # a version from before the table
+            return self.spark.createDataFrame([], EMPTY[name])
         return self.spark.read.parquet(path)
 
     def commit(self, tables: dict[str, DataFrame], keep: int = 3) -> int:

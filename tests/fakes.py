@@ -29,6 +29,33 @@ class Picture:
         return solid(self.rgb)
 
 
+class Image:
+    """What a thumbnail needs of an image object."""
+
+    def __init__(self, pixels, side=0):
+        self.pixels, self.side = pixels, side
+
+    def __array__(self, dtype=None, copy=None):
+        return np.asarray(self.pixels, dtype)
+
+    def copy(self):
+        return Image(self.pixels)
+
+    def thumbnail(self, size):
+        self.side = size[0]
+
+    def convert(self, mode):
+        return self
+
+    def save(self, out, kind, quality):
+        out.write(f"{kind} of {self.side}".encode())
+
+
+class Shown(Picture):
+    def pixels(self, side):
+        return Image(super().pixels(side))
+
+
 class Video:
     """One colour a second at ten frames a second."""
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 import pytest
-from fakes import OPENERS
+from fakes import OPENERS, Shown
 from pyspark.sql import functions as F
 
 from prismdex.operators import ingest
 from prismdex.operators.retrieval import Filters
+from prismdex.plans import runners
 from prismdex.plans.engine import Engine
 from prismdex.settings import Settings
 from prismdex.sources.embedders import PlainEmbedder
@@ -128,6 +130,47 @@ def test_margin_cuts_the_tail(make, media):
     assert engine.search("red")["total"] == 1
 
 
+def test_settings_change_the_cuts_of_a_search(spark, media, tmp_path):
+    folder = media({"a/red.png": "IMG\n250 5 5", "a/nearly.png": "IMG\n240 40 40", "a/clip.mp4": FILES["a/clip.mp4"]})
+    run = lambda **env: Engine(spark, str(tmp_path / "index"), Settings.from_env({"VIDEO_MIN_INTERVAL": "1", **env}, None), PlainEmbedder(), OPENERS, pause=0.0)
+    assert run().index(str(folder))["indexed"] == 3
+    assert run().search("red")["total"] == 3 and run(CLIP_MARGIN="0.01").search("red")["total"] == 2 and run(CLIP_MIN_SCORE="1.01").search("red")["total"] == 0
+
+
+def test_thumbnails_and_speech(spark, media, tmp_path):
+    folder = media({"a/red.png": "IMG\n250 5 5", "b/red.png": "IMG\n250 5 5", "a/clip.mp4": FILES["a/clip.mp4"]})
+    openers = OPENERS | {"image": Shown, "speech": lambda path, settings: [(1.26, "a talk about gardens"), (3.0, "  ")]}
+    engine = lambda openers: Engine(spark, str(tmp_path / "index"), Settings(enable_asr=True, thumb_size=7), PlainEmbedder(), openers, pause=0.0)
+    assert engine(openers).index(str(folder))["indexed"] == 2
+    top = engine(openers).search("red picture")["results"][0]
+    assert engine(openers).thumbnail(top["thumb"]) == b"JPEG of 7" and engine(openers).thumbnail("none") is None
+    talk = engine(openers).search("gardens")["results"][0]
+    assert talk["type"] == "video" and talk["thumb"] is None and talk["text_match"]["kind"] == "transcript" and talk["text_match"]["ref"] == 1.3
+    (folder / "a/red.png").unlink(), (folder / "b/red.png").unlink()
+    media({"a/clip.mp4": FILES["a/clip.mp4"] + "\n0 250 0"})
+    engine(OPENERS).index(str(folder))
+    warnings = [w for r in engine(OPENERS).store.read("assets").where("type = 'video'").collect() for w in r.warnings]
+    assert warnings == ["speech recognition is not available - video is indexed by its frames only"]
+
+
+def test_evaluation_calibration_and_report(make, media, tmp_path):
+    engine, folder = make(), media(FILES)
+    engine.settings = Settings(media_dir=str(folder))
+    engine.index(str(folder))
+    queries = [{"id": "1", "query": "a red picture", "expect_types": ["image"], "relevant_regex": "red.*square"}, {"id": "2", "query": "zzz nothing", "expect_types": [], "relevant_regex": "x"}, {"id": "3", "query": "solar panel", "expect_types": ["pdf"], "relevant_regex": "sun"}]
+    (tmp_path / "q.json").write_text(json.dumps(queries))
+    (tmp_path / "m.json").write_text(json.dumps({"b/red_copy.png": {"title": "A RED", "categories": ["square"], "description": ""}, "a/solar.pdf": {"title": "The sun", "categories": [], "description": "y"}}))
+    (tmp_path / "c.json").write_text(json.dumps({"One": ["a red picture", "<<< later >>>"], "Two": [{"query": "solar panel", "types": ["pdf"]}, {"query": "solar", "types": ["video"]}]}))
+    each, means = runners.evaluate(engine, str(tmp_path / "q.json"), str(tmp_path / "m.json"))
+    rows = {r.qid: (r.p_at_5, r.recall, r.first_rank, r.negative) for r in each.collect()}
+    assert rows == {"1": (0.2, 1.0, 1, False), "2": (0.0, None, None, True), "3": (0.2, 1.0, 1, False)} and means.first().mrr == 1.0
+    found = {r.signal: r for r in runners.calibrate(engine, str(tmp_path / "q.json"), ("magenta", "underwater")).collect()}
+    assert found["clip"].n_positive == 2 and 0 < found["clip"].highest_negative < found["clip"].floor
+    text = runners.report(engine, str(tmp_path / "c.json")).split("\n")
+    assert [x for x in text if x.startswith("#")] == ["## One", "### 1. a red picture", "### 2. <<< later >>>", "## Two", "### 3. solar panel", "### 4. solar"]
+    assert any(x.startswith("1. **red") and "2 copies" in x for x in text) and any(x.startswith("1. **solar.pdf**") and "2 pages" in x for x in text) and "No results." in text
+
+
 def test_recovery_and_new_pipeline(spark):
     files = spark.createDataFrame([("p", "processing", "x", 3, True), ("q", "done", "x", 1, True), ("r", "done", "y", 1, True), ("s", "done", "x", 1, False)], "path string, state string, asset_id string, attempts int, present boolean")
     assert {r.path: r.state for r in ingest.recovered(files).collect()}["p"] == "pending"
