@@ -24,6 +24,8 @@ from prismdex.llm.tables import release, table, written
 LEVELS = 3
 #: Files are so many bytes or fewer on average, and over a sixteenth of it; one record of more makes a longer one.
 FILE_BYTES = 1 << 22
+#: Bytes of files that one task puts together, on average.
+TASK_BYTES = 1 << 23
 ID, LENGTH = re.compile(rb"\r\nWARC-Record-ID: <urn:sha256:([^>\r\n]*)>"), re.compile(rb"\r\nContent-Length: (\d+)")
 BEGIN, BREAK = b"WARC/1.1\r\n", b"\r\n\r\n"
 
@@ -70,14 +72,16 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([b"".join(held)], pa.binary())], ["file", "content"])
 
 
-def write_files(records: DataFrame, digits: int) -> DataFrame:
+def write_files(records: DataFrame, digits: int, total: int = 0) -> DataFrame:
     """The WARC files of ``records`` (id, record), written: a file for each prefix of so many digits, records in order of their ids, each id once.
 
     The file of a record follows from its id, so replicas agree about it however many records one of them has lost.  An id or record that is null is
-    empty; an empty table gives no files.  A file is put together in one task and must stay below 2 GB: so must a very long record.
+    empty; an empty table gives no files.  A file is put together in one task and must stay below 2 GB: so must a very long record.  total: bytes of all
+    records, for tasks of about ``TASK_BYTES``, or as many as the session shuffles into if that is more.
     """
+    tasks = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // TASK_BYTES)
     rows = records.select(F.substring(F.coalesce("id", F.lit("")), 1, digits).alias("file"), F.coalesce("id", F.lit("")).alias("id"), F.coalesce("record", F.lit("")).cast("binary").alias("record"))
-    rows = rows.mapInArrow(_once, rows.schema).repartition("file").sortWithinPartitions("file", "id")
+    rows = rows.mapInArrow(_once, rows.schema).repartition(tasks, "file").sortWithinPartitions("file", "id")
     return written(rows.mapInArrow(_packed, _FILES), "warc")
 
 
@@ -192,10 +196,10 @@ def op8_warc_audit(spark, sf_dir) -> DataFrame:
     other = rows.where(~every(211, 5)).withColumn("record", F.when(every(97, 13), F.overlay("record", F.lit("R"), F.lit(22))).otherwise(F.col("record"))).unionByName(again)
     counted = lambda x, k: x.groupBy("page_id", "id", F.octet_length("record").cast("long").alias("n")).agg(F.count("*").alias("copies")).withColumn("again", F.lit(k))
     names = written(counted(rows, False).unionByName(counted(again, True)), "names")
-    digits = digits_for(names.where("NOT again").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n)
+    total = names.where("NOT again").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     trees = []
     for x in (rows, other):
-        files = write_files(x, digits)
+        files = write_files(x, digits_for(total), total)
         trees.append(read_files(files))
         release(files)
     found = single_records(audit(*trees), *trees).join(names.select("id", "page_id", "copies"), "id")
