@@ -10,8 +10,8 @@ The strings of ``length`` bytes are found in three steps, so that no task ever s
    column to the first, one symbol of each piece is put before its suffix: the symbols in the order of the suffixes are that column's
    part of the Burrows-Wheeler transform, sorting them stably gives the next order, and the common prefixes of neighbours follow
    from the least common prefix between equal symbols.  Neighbours with a common prefix of ``length`` or more hold the same string,
-   and all but the first occurrence of it repeat.  Columns are read and orders written in sequence, block by block; the
-   files between rounds of the method are Spark's sorted shuffle files here.
+   and all but the first occurrence of it repeat.  A block of pieces and its transform fit in memory, so the external files
+   that the method keeps between rounds are left out.
 
 An anchor with very many distinct pieces is split into salted blocks; each hands on the first occurrence of its strings, and equal ones of
 different blocks are settled by a grouped minimum.
@@ -263,7 +263,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     twice = written(texts.select("text").mapInArrow(_anchors(length), "h long").groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "anchors")
     found = written(texts.select("doc", "key", "text").mapInArrow(_pieces(length), _PIECES).join(twice, "h", "left_semi"), "pieces")
     groups = written(found.groupBy("h", "d", "e").agg(F.min(F.struct("doc", "key", "at")).alias("f"), F.max("n").alias("n"), F.max("anchor").alias("anchor"), F.count("*").alias("c")), "groups")
-    copies = found.join(groups.where("c > 1").select("h", "d", "e", "f"), ["h", "d", "e"]).where(F.struct("doc", "key", "at") != F.col("f")).select("doc", "key", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
+    firsts_ = groups.select("f.doc", "f.key", "f.at").hint("merge")
+    later = found.select("doc", "key", "at", "n").join(firsts_, ["doc", "key", "at"], "left_anti")  # by place, so copies of one piece are spread
+    copies = later.select("doc", "key", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
     many = groups.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     salt = F.when(F.col("m") > SALT, F.pmod(F.col("d"), F.ceil(F.col("m") / SALT))).otherwise(-1).cast("int")
     want = groups.join(many, "h").select("f.doc", "f.key", F.struct("h", "d", "e", "f.at", "n", "anchor", salt.alias("salt")).alias("w")).groupBy("doc", "key").agg(F.collect_list("w").alias("want"))
