@@ -30,6 +30,8 @@ GAP = 64
 SEGMENT_WORDS = 1 << 19
 PIECE = 1000
 CANDIDATES = 1 << 20
+#: Row groups of a few segments, so that writer and reader hold no more of them.
+ROW_GROUPS = {"parquet.block.size": str(1 << 23), "parquet.page.size.row.check.min": "1"}
 
 #: lexicon: the words, a line end after each; hashes and sizes (of postings) as int64 and int32, positions as int32, all little-endian.
 _INDEX = "segment long, doc_ids array<bigint>, text_keys array<bigint>, n_words array<bigint>, lexicon binary, hashes binary, sizes binary, positions binary"
@@ -108,7 +110,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def build_index(docs: DataFrame) -> DataFrame:
     """The positional index of ``docs`` (doc_id, text): segments of postings, written to the shared folder; ``matches`` reads it as often as wanted."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
-    return written(rows.mapInArrow(_indexed, _INDEX), "postings")
+    return written(rows.mapInArrow(_indexed, _INDEX), "postings", **ROW_GROUPS)
 
 
 class Windows:

@@ -35,11 +35,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read back: a later loss of executors doesn't recompute them."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read back: a later loss of executors doesn't recompute them.  options: of the writer."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
