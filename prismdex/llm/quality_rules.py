@@ -136,7 +136,7 @@ def verdict(rules: Rules | None = None):
 
     @F.arrow_udf(ROW)
     def judged(text: pa.Array) -> pa.Array:
-        parts = [measure(raw, off, rules) for raw, off in tb.blocks(text)]
+        parts = [measure(raw, off, rules) for raw, off in tb.blocks(text, tb.SMALL)]
         names = [x.split()[0] for x in ROW.split(", ")]
         if not parts:
             parts = [measure(np.zeros(0, np.uint8), np.zeros(1, np.int64), rules)]

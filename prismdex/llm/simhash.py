@@ -77,7 +77,7 @@ def fingerprint(text: Column, shingle: int = 3, seed: int = 42) -> Column:
 
     @F.arrow_udf("long")
     def hashed(column: pa.Array) -> pa.Array:
-        parts = [block_fingerprints(raw, off, shingle, seed) for raw, off in tb.blocks(column)]
+        parts = [block_fingerprints(raw, off, shingle, seed) for raw, off in tb.blocks(column, tb.SMALL)]
         return pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
 
     return hashed(text)

@@ -13,6 +13,8 @@ import pyarrow as pa
 import xxhash
 
 BLOCK = 1 << 21
+#: The same for kernels that hold many arrays of the size of a block.
+SMALL = 1 << 19
 #: Spans of more bytes are hashed one by one.
 LONG = 512
 
