@@ -27,7 +27,7 @@ from prismdex.llm.tables import release, table, written
 WINDOW = 10
 #: Positions between two documents of a segment; slop is below it.
 GAP = 64
-SEGMENT_WORDS = 1 << 19
+SEGMENT_WORDS = 1 << 18
 PIECE = 1000
 CANDIDATES = 1 << 20
 #: Row groups of a few segments, so that writer and reader hold no more of them.
