@@ -424,14 +424,13 @@ def _eval(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     relevant = files.join(good, "doc_id").select("path", "doc_id")
     asked = sample.queries(spark, d).select("qid", (F.col("qid") % 8 == 7).alias("negative"))
     relevant = relevant.withColumn("qid", F.pmod("doc_id", F.lit(8))).join(asked.select("qid"), "qid").select("qid", "path")
-    hits = search.signals(spark, d)["text"]
-    results = hits.select("qid", F.col("rank").alias("place"), "asset_id").join(files.select("asset_id", "path"), "asset_id")
+    results = search.hybrid(spark, d).select("qid", "place", "asset_id").join(files.select("asset_id", "path"), "asset_id")
     return results, relevant, asked
 
 
-_EVAL = f"""WITH RECURSIVE {o.SIGNALS}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), rel AS (SELECT doc_id % 8 AS qid, path FROM files SEMI JOIN good USING (doc_id) WHERE present AND doc_id % 8 IN (SELECT qid FROM asked)),
-h AS (SELECT t.qid, t.rank, max(CASE WHEN r.path IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM text t JOIN files f ON f.asset_id = t.asset_id AND f.present LEFT JOIN rel r ON r.qid = t.qid AND r.path = f.path WHERE t.rank < 10 GROUP BY ALL),
-m AS (SELECT a.qid, a.qid % 8 = 7 AS negative, coalesce(sum(CASE WHEN h.rank < 5 THEN hit END), 0) / 5 AS p_at_5, coalesce(sum(hit), 0) / 10 AS p_at_k, coalesce(sum(hit), 0) / (SELECT nullif(count(*), 0) FROM rel r WHERE r.qid = a.qid) AS recall, min(CASE WHEN hit = 1 THEN h.rank + 1 END) AS first_rank FROM asked a LEFT JOIN h ON h.qid = a.qid GROUP BY a.qid)"""
+_EVAL = f"""WITH RECURSIVE {o.FUSED}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), rel AS (SELECT doc_id % 8 AS qid, path FROM files SEMI JOIN good USING (doc_id) WHERE present AND doc_id % 8 IN (SELECT qid FROM asked)),
+h AS (SELECT t.qid, t.place, max(CASE WHEN r.path IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM placed t JOIN files f ON f.asset_id = t.asset_id AND f.present LEFT JOIN rel r ON r.qid = t.qid AND r.path = f.path WHERE t.place < 10 GROUP BY ALL),
+m AS (SELECT a.qid, a.qid % 8 = 7 AS negative, coalesce(sum(CASE WHEN h.place < 5 THEN hit END), 0) / 5 AS p_at_5, coalesce(sum(hit), 0) / 10 AS p_at_k, coalesce(sum(hit), 0) / (SELECT nullif(count(*), 0) FROM rel r WHERE r.qid = a.qid) AS recall, min(CASE WHEN hit = 1 THEN h.place + 1 END) AS first_rank FROM asked a LEFT JOIN h ON h.qid = a.qid GROUP BY a.qid)"""
 
 
 @query(f"{_EVAL} SELECT qid, negative, p_at_5, p_at_k, round(recall, 9) AS recall, CAST(first_rank AS INT) AS first_rank, round(coalesce(1 / first_rank, 0), 9) AS mrr FROM m")
