@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from prismdex.llm.conversations import op11_conversations
 from prismdex.llm.decontaminate import OP7_SQL, op7_decontaminate
 from prismdex.llm.licenses import OP9_SQL, op9_licenses
 from prismdex.llm.line_dedup import OP5_SQL, op5_line_dedup
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_warc_audit": op8_warc_audit,
     "op9_licenses": op9_licenses,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_conversations": op11_conversations,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
