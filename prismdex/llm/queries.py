@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from prismdex.llm.conversations import op11_conversations
 from prismdex.llm.decontaminate import OP7_SQL, op7_decontaminate
+from prismdex.llm.fill_middle import OP12_SQL, op12_fill_middle
 from prismdex.llm.licenses import OP9_SQL, op9_licenses
 from prismdex.llm.line_dedup import OP5_SQL, op5_line_dedup
 from prismdex.llm.mixing import op6_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_licenses": op9_licenses,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversations": op11_conversations,
+    "op12_fill_middle": op12_fill_middle,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -35,6 +37,7 @@ ORACLES = {
     "op7_decontaminate": OP7_SQL,
     "op8_warc_audit": OP8_SQL,
     "op9_licenses": OP9_SQL,
+    "op12_fill_middle": OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
