@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from prismdex.llm.classifier import op13_classifier
 from prismdex.llm.conversations import op11_conversations
 from prismdex.llm.decontaminate import OP7_SQL, op7_decontaminate
 from prismdex.llm.fill_middle import OP12_SQL, op12_fill_middle
@@ -29,6 +30,7 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_conversations": op11_conversations,
     "op12_fill_middle": op12_fill_middle,
+    "op13_classifier": op13_classifier,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
