@@ -21,14 +21,14 @@ from pyspark.sql import functions as F
 from prismdex.llm import textblocks as tb
 from prismdex.llm.tables import release, table, written
 
-BITS = 17
+BITS = 16
 BUCKETS = 1 << BITS
 #: Lengths of character n-grams, in code points.
-GRAMS = (2, 3, 4, 5)
+GRAMS = (3, 4)
 #: Documents that are learned from at most: those of the least hashes of their ids.
-SAMPLE = 8000
+SAMPLE = 4000
 #: Documents that are trained from in one task.
-SHARD = 1000
+SHARD = 500
 #: A label, buckets, and how often each occurs.
 Row = tuple[int, np.ndarray, np.ndarray]
 _STEP, _ODD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x9E3779B97F4A7C15)
