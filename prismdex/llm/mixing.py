@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prismdex.llm.tables import table, written
+from prismdex.llm.tables import boxed, table, unboxed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Weights of the sources in code point order, repeating.
@@ -23,22 +23,24 @@ MOST = 3
 BUCKET = 4096
 #: Quality label to sampling weight; documents without a label weigh 1.
 GOOD, BAD = 2.0, 0.5
+WEIGHTS = (GOOD, 1.0, BAD)
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _keyed(docs: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
-    """``docs`` with __size and __key: the exponential key, smaller for better documents, equal only for equal ids and texts."""
+def _keyed(rows: DataFrame, labels: DataFrame | None, seed: int) -> DataFrame:
+    """``rows`` (doc_id, text, source and maybe row) with size, weight and key instead of the text: the exponential key is smaller for better documents, equal only for equal ids and texts."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text")), 11) + 0.5) / float(1 << 53)
-    docs = docs.withColumns({"__size": n_words(F.col("text")), "__draw": -F.log(u)})
+    rows = rows.withColumns({"size": n_words(F.col("text")), "draw": -F.log(u)}).drop("text")
     if labels is None:
-        return docs.withColumn("__key", F.col("__draw")).drop("__draw")
-    quality = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("__doc")).agg(F.max("quality").alias("__quality"))
-    weight = F.when(F.col("__quality") > 0, GOOD).when(F.col("__quality") <= 0, BAD).otherwise(1.0)
+        return rows.withColumns({"weight": F.lit(1.0), "key": F.col("draw")}).drop("draw")
+    quality = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("known")).agg(F.max("quality").alias("quality"))
     quality = quality.hint("merge")  # labels grow with the corpus: never broadcast
-    return docs.join(quality, docs["doc_id"] == quality["__doc"], "left").withColumn("__key", F.col("__draw") / weight).drop("__doc", "__quality", "__draw")
+    weight = F.when(F.col("quality") > 0, GOOD).when(F.col("quality") <= 0, BAD).otherwise(1.0)
+    joined = rows.join(quality, rows["doc_id"] == quality["known"], "left").withColumn("weight", weight)
+    return joined.withColumn("key", F.col("draw") / F.col("weight")).drop("known", "quality", "draw")
 
 
 def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int = MOST) -> DataFrame:
@@ -58,59 +60,58 @@ def source_targets(sizes: DataFrame, cycle: tuple[int, ...] = CYCLE, most: int =
 
 
 def _plan(rows: DataFrame, cycle: tuple[int, ...], most: int) -> DataFrame:
-    """(__source, __source_size, __target, __epochs, __buckets, __bucket, __cut) by source, from (source, __size, __key)."""
-    sizes = rows.groupBy("source").agg(F.sum("__size").alias("source_size"), F.count("*").alias("n"))
-    targets = source_targets(sizes, cycle, most)
+    """(of, source_size, target, epochs, shares, buckets, bucket, cut) by source ``of``, from (source, size, weight, key)."""
+    counts = [F.count_if(F.col("weight") == w).alias(f"n{k}") for k, w in enumerate(WEIGHTS)]
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"), *counts)
+    sizes = written(sizes.select("source", "source_size", "n", F.array(*[F.col(f"n{k}") / F.col("n") for k in range(len(WEIGHTS))]).alias("shares")), "sources")
+    targets = source_targets(sizes.drop("shares"), cycle, most).join(sizes.select(F.col("source").alias("s"), "shares"), F.col("source").eqNullSafe(F.col("s")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plan = targets.select(
-        F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), epochs.alias("__epochs"), (F.col("target") - epochs * F.col("source_size")).alias("__rest"), F.ceil(F.col("n") / BUCKET).alias("__buckets")
-    )
+    plan = targets.select(F.col("source").alias("of"), "source_size", "target", epochs.alias("epochs"), (F.col("target") - epochs * F.col("source_size")).alias("rest"), "shares", F.ceil(F.col("n") / BUCKET).alias("buckets"))
     plan = written(plan, "targets")
-    placed = rows.join(plan, rows["source"].eqNullSafe(plan["__source"])).withColumn("__at", bucket())
-    sums = placed.groupBy("__source", "__rest", "__at").agg(F.sum("__size").alias("s"))
-    upto = F.sum("s").over(Window.partitionBy("__source").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ends = sums.withColumn("upto", upto).where("upto > __rest").groupBy("__source").agg(F.min_by(F.struct("__at", (F.col("upto") - F.col("s")).alias("before")), "__at").alias("e"))
-    ends = written(ends.select(F.col("__source").alias("__s"), F.col("e.__at").alias("__bucket"), F.col("e.before").alias("__before")), "ends")
-    last = placed.join(ends, placed["__source"].eqNullSafe(ends["__s"]) & (placed["__at"] == ends["__bucket"]))
-    last = last.groupBy("__s", "__rest", "__before", "__key").agg(F.sum("__size").alias("s"))
-    prior = F.coalesce(F.sum("s").over(Window.partitionBy("__s").orderBy("__key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("__before")
-    cut = last.withColumn("prior", prior).where(F.col("prior") + F.col("s") / 2 <= F.col("__rest")).groupBy(F.col("__s").alias("__c")).agg(F.max("__key").alias("__cut"))
-    plan = plan.join(ends, plan["__source"].eqNullSafe(ends["__s"]), "left")
-    return written(plan.join(cut, plan["__source"].eqNullSafe(cut["__c"]), "left").select("__source", "__source_size", "__target", "__epochs", "__buckets", "__bucket", "__cut"), "plan")
+    placed = rows.join(plan, rows["source"].eqNullSafe(plan["of"])).withColumn("at", bucket())
+    sums = placed.groupBy("of", "rest", "at").agg(F.sum("size").alias("s"))
+    upto = F.sum("s").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = sums.withColumn("upto", upto).where("upto > rest").groupBy("of").agg(F.min_by(F.struct("at", (F.col("upto") - F.col("s")).alias("before")), "at").alias("e"))
+    ends = written(ends.select(F.col("of").alias("s"), F.col("e.at").alias("bucket"), F.col("e.before").alias("before")), "ends")
+    last = placed.join(ends, placed["of"].eqNullSafe(ends["s"]) & (placed["at"] == ends["bucket"]))
+    last = last.groupBy(ends["s"].alias("c"), "rest", "before", "key").agg(F.sum("size").alias("words"))
+    prior = F.coalesce(F.sum("words").over(Window.partitionBy("c").orderBy("key").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("before")
+    cut = last.withColumn("prior", prior).where(F.col("prior") + F.col("words") / 2 <= F.col("rest")).groupBy("c").agg(F.max("key").alias("cut"))
+    plan = plan.join(ends, plan["of"].eqNullSafe(ends["s"]), "left")
+    return written(plan.join(cut, plan["of"].eqNullSafe(cut["c"]), "left").select("of", "source_size", "target", "epochs", "shares", "buckets", "bucket", "cut"), "plan")
 
 
 def bucket() -> Column:
-    """Buckets in key order, about even for documents of weight 1."""
-    return F.floor((1 - F.exp(-F.col("__key"))) * F.col("__buckets")).cast("long")
+    """Buckets in key order, even in the mean: the distribution of the keys follows from the shares of the weights in the source."""
+    below = [F.get("shares", F.lit(k)) * (1 - F.exp(-w * F.col("key"))) for k, w in enumerate(WEIGHTS)]
+    return F.floor(sum(below[1:], below[0]) * F.col("buckets")).cast("long")
 
 
 def _with_copies(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    sampled = (F.col("__bucket").isNull() & (F.col("__epochs") == 0)) | (F.col("__at") < F.col("__bucket")) | ((F.col("__at") == F.col("__bucket")) & (F.col("__key") <= F.col("__cut")))
-    sampled = F.coalesce(sampled, F.lit(False)) & (F.col("__target") > F.col("__epochs") * F.col("__source_size"))
-    joined = rows.join(plan, rows["source"].eqNullSafe(plan["__source"])).withColumn("__at", bucket())
-    return joined.withColumn("__copies", F.col("__epochs") + F.when(sampled, 1).otherwise(0))
+    sampled = (F.col("bucket").isNull() & (F.col("epochs") == 0)) | (F.col("at") < F.col("bucket")) | ((F.col("at") == F.col("bucket")) & (F.col("key") <= F.col("cut")))
+    sampled = F.coalesce(sampled, F.lit(False)) & (F.col("target") > F.col("epochs") * F.col("source_size"))
+    joined = rows.join(plan, rows["source"].eqNullSafe(plan["of"])).withColumn("at", bucket())
+    return joined.withColumn("copies", F.col("epochs") + F.when(sampled, 1).otherwise(0))
 
 
 def mix(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, cycle: tuple[int, ...] = CYCLE, most: int = MOST) -> DataFrame:
     """One row (doc_id, source, size, source_size, target, copies) per row of ``docs`` (doc_id, text, source).
 
     size: words of the text (null: 0).  copies: how often the mix takes the document: the complete epochs of its source and
-    1 more if sampled, ``most`` at most.  Within its source the sample stops where its words are nearest to the budget, so
-    taken words miss the target by half of one document at most.  Equal rows (same id and text) share one key and go
-    together.  Null sources are one source, after all others; a source without words has target 0; labels may repeat (the best
+    1 more if sampled, ``most`` at most.  Within its source the sample stops where its words are nearest to the budget.  Equal rows (same id and text) share one
+    key and go together, so taken words miss the target by half of one document and its equal rows at most.  Null sources are one source, after all others; a source without words has target 0; labels may repeat (the best
     counts) or be None (all weigh 1); other columns are ignored; an empty table gives an empty one.
     """
-    rows = written(_keyed(docs.select("doc_id", "source", "text"), labels, seed).select("doc_id", "source", "__size", "__key"), "keys")
-    joined = _with_copies(rows, _plan(rows, cycle, most))
-    return joined.select("doc_id", "source", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__copies").alias("copies"))
+    rows = written(_keyed(docs.select("doc_id", "source", "text"), labels, seed), "keys")
+    return _with_copies(rows, _plan(rows, cycle, most)).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mixed(docs: DataFrame, labels: DataFrame | None = None, seed: int = 7, cycle: tuple[int, ...] = CYCLE, most: int = MOST) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, with their columns."""
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = _keyed(docs, labels, seed)
-    plan = _plan(written(rows.select("source", "__size", "__key"), "keys"), cycle, most)
-    return _with_copies(rows, plan).where("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*columns)
+    """The rows of ``docs`` as often as the mix takes them, with their columns, whatever the names of these."""
+    rows = _keyed(boxed(docs, doc_id=F.col("doc_id"), source=F.col("source"), text=F.col("text")), labels, seed)
+    plan = _plan(written(rows.select("source", "size", "weight", "key"), "keys"), cycle, most)
+    taken = _with_copies(rows, plan).where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return unboxed(taken)
 
 
 def op6_mixing(spark, sf_dir) -> DataFrame:

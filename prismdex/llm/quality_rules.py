@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prismdex.llm import textblocks as tb
+from prismdex.llm.tables import boxed, table, unboxed
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -156,11 +157,9 @@ def judge(docs: DataFrame, rules: Rules | None = None, text: str = "text", into:
 
 
 def keep_good(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """The rows of ``docs`` that pass the rules, with their columns."""
-    return docs.withColumn("__quality", verdict(rules)(F.col("text"))).where("__quality.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass the rules, with their columns, whatever the names of these."""
+    return unboxed(boxed(docs, quality=verdict(rules)(F.col("text"))).where("quality.kept"))
 
 
 def op3_quality_rules(spark, sf_dir) -> DataFrame:
-    from prismdex.llm.tables import table
-
     return judge(table(spark, sf_dir, "documents").select("doc_id", "text"), into="q").select("doc_id", "q.*")

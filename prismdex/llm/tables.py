@@ -7,7 +7,8 @@ import tempfile
 import uuid
 from weakref import WeakKeyDictionary
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Paths that each session has written and not removed.
 _left: WeakKeyDictionary[SparkSession, set[str]] = WeakKeyDictionary()
@@ -17,6 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def boxed(df: DataFrame, **beside: Column) -> DataFrame:
+    """The rows as one struct column ``row`` beside columns made from them: no name of theirs can clash with one of a plan."""
+    return df.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in df.columns]).alias("row"), *[c.alias(k) for k, c in beside.items()])
+
+
+def unboxed(df: DataFrame) -> DataFrame:
+    """The rows that ``boxed`` took, with their columns."""
+    return df.select("row.*")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset and the master is local (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
