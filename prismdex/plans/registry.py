@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from prismdex.functions import media, stems, text as text_, vectors
 from prismdex.operators import catalogue, evaluation, folds, ingest, retrieval
 from prismdex.plans import oracles as o
+from prismdex.operators.vector_store import VectorStore
 from prismdex.plans import sample, search
+from prismdex.sources import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +104,21 @@ def vector_floor_margin(spark, d):
     return _hits(retrieval.cut_and_rank(retrieval.best_per_asset(sims, 9), 0.15, 0.2))
 
 
+@query(ORACLES["vector_topk"])
+def vector_store_topk(spark, d):
+    """The same rows from packed blocks, of which those that cannot matter are not read."""
+    store = VectorStore.opened(sample.labelled(spark, d), scratch.new_path(spark, "vectors"), "embeddings")
+    return _hits(retrieval.cut_and_rank(store.nearest(sample.picture_queries(spark, d), most=10, per_asset=False, digits=None)[0], most=10))
+
+
+@query(ORACLES["vector_floor_margin"])
+def vector_store_hits(spark, d):
+    """Filtered hits from packed blocks."""
+    store = VectorStore.opened(sample.pictures(spark, d), scratch.new_path(spark, "vectors"), "pictures")
+    found, _ = store.nearest(sample.queries(spark, d), search.allowed(spark, d))
+    return _hits(retrieval.cut_and_rank(retrieval.best_per_asset(found), 0.15, 0.2))
+
+
 @query(f"WITH {o.DOCS}, {o.PICTURES}, {o.ASKED}, {o.SIMS} SELECT qid, 'clip' AS signal, round(max(raw), 6) AS top FROM sims GROUP BY qid")
 def raw_top(spark, d):
     sims = retrieval.nearest(sample.pictures(spark, d), sample.queries(spark, d), most=1, per_asset=False, digits=None)
