@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prismdex.functions import media, stems, text as text_, vectors
-from prismdex.operators import catalogue, evaluation, folds, ingest, retrieval
+from prismdex.operators import catalogue, evaluation, folds, ingest, retrieval, text_index
 from prismdex.plans import oracles as o
 from prismdex.operators.vector_store import VectorStore
 from prismdex.plans import sample, search
@@ -154,6 +154,25 @@ def bm25_postings(spark, d):
     return _hits(retrieval.keyword_hits(retrieval.bm25(posted, lengths, sample.terms(sample.queries(spark, d))), search.allowed(spark, d)))
 
 
+@query(ORACLES["bm25_keyword"])
+def text_index_keyword(spark, d):
+    """The same from an index of blocks with bounds."""
+    index = scratch.written(text_index.built(sample.worded(sample.chunks(spark, d))), "text-index")
+    return _hits(retrieval.keyword_cut(text_index.search(index, sample.terms(sample.queries(spark, d)), search.allowed(spark, d))))
+
+
+@query(ORACLES["bm25_keyword"])
+def text_index_deltas(spark, d):
+    """The same from an index that was built from two thirds of the assets, some with other texts, and brought up to date by withdrawing and adding."""
+    texts = scratch.written(sample.worded(sample.chunks(spark, d)), "words")
+    other = F.when(F.col("asset_id") % 5 == 0, F.concat("words", F.array(F.lit("outdated"), F.lit("the")))).otherwise(F.col("words"))
+    old = texts.where("asset_id % 3 <> 0").withColumn("words", other)
+    first = scratch.written(text_index.built(old, 1), "text-index")
+    places, counts = (scratch.written(x, "withdrawn") for x in text_index.withdrawn(first, old.where("asset_id % 5 = 0")))
+    index = first.union(scratch.written(text_index.built(texts.where("asset_id % 3 = 0 OR asset_id % 5 = 0"), 2), "text-index"))
+    return _hits(retrieval.keyword_cut(text_index.search(index, sample.terms(sample.queries(spark, d)), search.allowed(spark, d), places, counts)))
+
+
 @query(f"WITH RECURSIVE {_BM}, firsts AS (SELECT * FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, vid) <= 600), s AS (SELECT * FROM firsts SEMI JOIN allowed USING (asset_id)), {o.best('s', 'b')}, {o.hits('b', 'h', 'raw >= 0.5 * first')} SELECT qid, asset_id, vid, round(raw, 6) AS raw, rank FROM h")
 def bm25_limit_first(spark, d):
     """The original order of steps: 600 rows first, the filter after."""
