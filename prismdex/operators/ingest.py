@@ -69,13 +69,26 @@ def mark_missing(files: DataFrame) -> DataFrame:
     return files.withColumn("present", F.when(F.col("change") == "unseen", False).otherwise(F.col("present")))
 
 
-def run_counters(files: DataFrame) -> DataFrame:
-    """One row of counts over classified files."""
+def counters() -> list[Column]:
+    """Counts over classified files, for an aggregation or an observation."""
     n = lambda *kinds: F.count_if(F.col("change").isin(*kinds))
-    return files.agg(
+    return [
         n("new", "new_unsupported", "changed", "redone", "unsupported", "unchanged").alias("scanned"), n("new", "new_unsupported").alias("new"), n("changed").alias("changed"),
         n("unchanged").alias("unchanged"), n("new", "changed", "redone").alias("queued"), n("unsupported", "new_unsupported").alias("unsupported"),
-    )
+    ]
+
+
+def outcome_counters() -> list[Column]:
+    """Counts over the outcome of queued files (new_state, was_reused)."""
+    is_ = lambda state: F.col("new_state") == state
+    return [
+        F.count("*").alias("processed"), F.count_if("was_reused").alias("reused"), F.count_if(is_("done") & ~F.col("was_reused")).alias("indexed"), F.count_if(is_("failed")).alias("failed"), F.count_if(is_("unsupported")).alias("refused"),
+    ]
+
+
+def run_counters(files: DataFrame) -> DataFrame:
+    """One row of counts over classified files."""
+    return files.agg(*counters())
 
 
 def priority(ext: Column) -> Column:
@@ -105,12 +118,17 @@ def error_state(kind: Column, message: Column) -> Column:
     return F.struct(F.when(kind == "unsupported", "unsupported").otherwise("failed").alias("state"), error.alias("error"))
 
 
+def updated_assets(old: DataFrame, new: DataFrame) -> DataFrame:
+    """New rows, with the asset_id and created_ts of the old row of their content if there is one."""
+    before = old.select("sha256", F.col("asset_id").alias("id"), F.col("created_ts").alias("created"))
+    both = new.alias("n").join(before.alias("b"), F.col("n.sha256") == F.col("b.sha256"), "left")
+    own = {"asset_id": F.coalesce("b.id", "n.asset_id"), "created_ts": F.coalesce("b.created", "n.created_ts")}
+    return both.select(*[own.get(c, F.col(f"n.{c}")).alias(c) for c in old.columns])
+
+
 def merged_assets(old: DataFrame, new: DataFrame) -> DataFrame:
     """Upsert by content hash: new rows replace old ones but keep their asset_id and created_ts."""
-    kept = old.join(new.select("sha256"), "sha256", "left_anti")
-    before = old.select("sha256", F.col("asset_id").alias("__id"), F.col("created_ts").alias("__created"))
-    updated = new.join(before, "sha256", "left").withColumns({"asset_id": F.coalesce("__id", "asset_id"), "created_ts": F.coalesce("__created", "created_ts")})
-    return kept.select(*old.columns).unionByName(updated.select(*old.columns))
+    return old.join(new.select("sha256"), "sha256", "left_anti").select(*old.columns).unionByName(updated_assets(old, new))
 
 
 def replaced_children(old: DataFrame, new: DataFrame, assets: DataFrame) -> DataFrame:

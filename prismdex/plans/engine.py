@@ -2,183 +2,109 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
 from prismdex import schemas
 from prismdex.functions import text as text_
-from prismdex.functions.media import mime_type
 from prismdex.functions.stems import porter, stemmed_words
-from prismdex.operators import catalogue, ingest, retrieval
+from prismdex.operators import catalogue, ingest, retrieval, text_index
+from prismdex.operators.vector_store import VectorStore
+from prismdex.plans import analysis
 from prismdex.settings import Settings
-from prismdex.sources import decoders, listing as listing_
-from prismdex.sources.embedders import Embedder, embedder as make_embedder
-from prismdex.sources.snapshots import Snapshots
+from prismdex.sources import listing as listing_
+from prismdex.sources import scratch
+from prismdex.sources.decoders import PAUSE
+from prismdex.sources.embedders import Embedder
+from prismdex.sources.embedders import embedder as make_embedder
+from prismdex.sources.snapshots import Claim, Delta, Snapshots
 
-TRIES, PAUSE = 3, 1.5
-
-
-def retried(run: Callable, tries: int = TRIES, pause: float = PAUSE):
-    """The result of ``run``, tried again after a growing pause when the embedder fails."""
-    for k in range(tries):
-        try:
-            return run()
-        except decoders.EmbedderFailure:
-            if k == tries - 1:
-                raise
-            time.sleep(pause * (k + 1))
-
-
-def _kept(vectors: np.ndarray, threshold: float) -> list[int]:
-    kept: list[int] = []
-    for i, v in enumerate(vectors):
-        if not kept or float(v @ vectors[kept[-1]]) < threshold:
-            kept.append(i)
-    return kept
-
-
-def analysed(row: dict, settings: Settings, openers: dict[str, Callable], embedder: Embedder, pause: float = PAUSE) -> dict:
-    """One file as a row of schemas.EXTRACTED; any failure becomes its error."""
-    out = {k: row[k] for k in ("sha256", "path", "ext", "size")} | {"ok": False, "visuals": [], "texts": [], "warnings": []}
-    try:
-        if not row["size"]:
-            return out | {"error_kind": "empty", "error": ""}
-        found = decoders.decode(row["path"], row["ext"], settings, openers)
-        out |= {k: getattr(found, k) for k in ("type", "width", "height", "duration", "pages", "meta", "warnings")}
-        if not found.visuals and not found.texts:
-            raise decoders.Corrupt("nothing to index")
-        if found.visuals:
-            vectors = retried(lambda: embedder.pictures([v.value for v in found.visuals]), pause=pause)
-            keep = _kept(vectors, settings.video_dedupe_threshold) if found.type == "video" else range(len(vectors))
-            out["visuals"] = [{"kind": v.kind, "ref": v.ref, "thumb": thumbnail(v.value, settings.thumb_size), "vector": vectors[i].tolist()} for i in keep for v in [found.visuals[i]]]
-        if found.texts:
-            vectors = retried(lambda: embedder.text([t.value for t in found.texts]), pause=pause)
-            out["texts"] = [{"kind": t.kind, "ref": t.ref, "text": t.value, "vector": v.tolist()} for t, v in zip(found.texts, vectors, strict=True)]
-        return out | {"ok": True}
-    except decoders.Unsupported as e:
-        kind, message = "unsupported", str(e)
-    except decoders.Corrupt as e:
-        kind, message = "corrupt", str(e)
-    except decoders.EmbedderFailure as e:
-        kind, message = "embedder", str(e)
-    except Exception as e:
-        kind, message = "other", f"{type(e).__name__}: {e}"
-    return out | {"error_kind": kind, "error": message, "visuals": [], "texts": []}
-
-
-def thumbnail(picture, side: int) -> bytes | None:
-    """JPEG of an image object; None for plain arrays, which have no thumbnail."""
-    if not hasattr(picture, "thumbnail"):
-        return None
-    import io
-
-    small, out = picture.copy(), io.BytesIO()
-    small.thumbnail((side, side))
-    small.convert("RGB").save(out, "JPEG", quality=78)
-    return out.getvalue()
+#: Contents that are analysed between two commits; share of withdrawn texts from which the text index is built anew.
+BATCH, WORN = 50_000, 0.3
+#: Bytes of vectors from which searches go through packed blocks; fewer are scanned.
+PACKED = 64 << 20
 
 
 class Engine:
-    """``openers`` and ``embedder`` are sent to the executors; by default those of the libraries found there."""
+    """``openers`` and ``embedder`` are sent to the executors; by default those of the libraries found there.
 
-    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder: Embedder | None = None, openers: dict[str, Callable] | None = None, pause: float = PAUSE):
+    One run at a time writes to ``root``: a second one is refused (``snapshots.Busy``), whichever process it is in.  A run commits after every ``batch`` contents, so a
+    run that is cancelled or dies leaves what it has done, and the next one does the rest.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, settings: Settings | None = None, embedder: Embedder | None = None, openers: dict[str, Callable] | None = None, pause: float = PAUSE, batch: int = BATCH, packed: int = PACKED):
         self.spark, self.settings, self.store = spark, settings or Settings(), Snapshots(spark, root)
-        self.embedder, self.openers, self.pause = embedder or make_embedder(self.settings.model_backend), openers, pause
+        self.embedder, self.openers, self.pause, self.batch, self.packed = embedder or make_embedder(self.settings.model_backend), openers, pause, batch, packed
+        self._stop, self._tag, self._progress = threading.Event(), None, {}
 
     # ------------------------------------------------------------ indexing
     def index(self, media_dir: str | None = None, retry_failed: bool = False, force: bool = False, reanalyse: bool = False) -> dict:
         return self.apply(listing_.listing(self.spark, media_dir or self.settings.media_dir), retry_failed, force, reanalyse)
 
     def apply(self, listing: DataFrame, retry_failed: bool = False, force: bool = False, reanalyse: bool = False) -> dict:
-        """One run over a listing: classify, hash, reuse, analyse, store, collect garbage.
+        """One run over a listing: classify, hash, reuse, analyse, store, collect garbage; returns its counters and status.
 
         force queues every supported file, but content that is ready is linked and not analysed again unless ``reanalyse`` is set too.
         """
-        began, pipeline = time.time(), self.embedder.pipeline
-        files, assets, vectors = (self.store.read(n) for n in ("files", "assets", "vectors"))
-        files = ingest.requeue_stale(ingest.recovered(files), assets, pipeline)
-        files = ingest.mark_missing(ingest.classified(files, listing, retry_failed, force).persist())
-        counters = ingest.run_counters(files).first().asDict()
-
-        pending = listing_.hashed(files.where("present AND state = 'pending'").drop("asset_id", "change").select("path", "ext", "size")).persist()
-        reused, work = ingest.split_reuse(pending.where("sha256 IS NOT NULL"), assets.limit(0) if reanalyse else assets, pipeline)
-        found = self._analyse(work.select("sha256", "path", "ext", "size", "priority")).persist()
-        new_assets, new_vectors, new_thumbs = self._stored(found, began)
-        outcome = pending.select("path", "sha256").join(reused.select("path", "reused_asset"), "path", "left").join(found.select("sha256", F.col("path").alias("analysed"), "ok", "error_kind", "error"), "sha256", "left")
-        state = ingest.error_state(F.col("error_kind"), F.col("error"))
-        done = F.col("reused_asset").isNotNull() | F.coalesce("ok", F.lit(False))
-        outcome = outcome.select(
-            "path", F.when(done | (F.col("error_kind") == "embedder"), F.coalesce("reused_asset", "sha256")).alias("new_asset"), (F.col("reused_asset").isNotNull() | (done & (F.col("path") != F.col("analysed")))).alias("was_reused"),
-            F.when(done, "done").when(F.col("sha256").isNull(), "failed").otherwise(state["state"]).alias("new_state"), F.when(F.col("sha256").isNull(), "file has vanished").when(~done, state["error"]).alias("new_error"), F.col("sha256").isNull().alias("gone"),
-        ).persist()
-        touched = F.col("new_state").isNotNull()
-        files = files.join(outcome, "path", "left").select(
-            "path", "folder", "name", "ext", "size", "mtime_ns", F.coalesce("new_asset", "asset_id").alias("asset_id"), F.coalesce("new_state", "state").alias("state"), F.when(touched, F.col("new_error")).otherwise(F.col("error")).alias("error"),
-            F.when(touched, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"), F.when(F.col("gone"), False).otherwise(F.col("present")).alias("present"),
-        )
-        assets = ingest.merged_assets(assets, new_assets)
-        vectors = ingest.replaced_children(vectors, new_vectors, new_assets.where("status = 'ready'"))
-        assets, vectors = catalogue.without_orphans(assets, files, vectors)
-        thumbs = ingest.replaced_children(self.store.read("thumbs"), new_thumbs, new_assets.where("status = 'ready'")).join(assets.select("asset_id"), "asset_id", "left_semi")
-        by = {r.new_state: r for r in outcome.groupBy("new_state").agg(F.count("*").alias("n"), F.count_if("was_reused").alias("r")).collect()}
-        fail = by["failed"].n if "failed" in by else 0
-        reuse = sum(r.r for r in by.values())
-        summary = counters | {"processed": sum(r.n for r in by.values()), "reused": reuse, "indexed": (by["done"].n if "done" in by else 0) - reuse, "failed": fail}
-        summary["unsupported"] += by["unsupported"].n if "unsupported" in by else 0
-        run = self.spark.createDataFrame([(int(began * 1000), began, time.time(), "finished", json.dumps(summary))], schemas.RUNS)
-        postings, lengths = self.text_index(vectors)
-        self.store.commit({"files": files, "assets": assets, "vectors": vectors, "thumbs": thumbs.select("path", "asset_id", "jpeg"), "postings": postings, "lengths": lengths, "runs": self.store.read("runs").unionByName(run)})
-        for x in (pending, found, outcome):
-            x.unpersist()
-        return summary
-
-    def _analyse(self, work: DataFrame) -> DataFrame:
-        settings, embedder, given, pause = self.settings, self.embedder, self.openers, self.pause
-        schema = to_arrow_schema(StructType.fromDDL(schemas.EXTRACTED))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            openers = given if given is not None else decoders.real_openers()
-            for batch in batches:
-                for row in batch.to_pylist():
-                    yield pa.RecordBatch.from_pylist([analysed(row, settings, openers, embedder, pause)], schema)
-
-        dealt = work.repartition(max(self.settings.workers, self.spark.sparkContext.defaultParallelism), "sha256")
-        return dealt.sortWithinPartitions("priority", "size").mapInArrow(run, schemas.EXTRACTED)  # pictures first, small files before large ones
-
-    def _stored(self, found: DataFrame, now: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """New rows of assets, vectors and thumbs."""
-        good = found.where("ok OR error_kind = 'embedder'")
-        thumb = F.when(F.get("visuals", F.lit(0))["thumb"].isNotNull(), F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), F.lit("_0.jpg")))
-        assets = good.select(
-            F.col("sha256").alias("asset_id"), "sha256", "type", "ext", mime_type(F.col("ext")).alias("mime"), "size", "width", "height", "duration", "pages", "meta", F.when(F.col("ok"), "ready").otherwise("failed").alias("status"),
-            F.when(~F.col("ok"), ingest.error_state(F.col("error_kind"), F.col("error"))["error"]).alias("error"), "warnings", thumb.alias("thumb"), F.lit(self.embedder.pipeline).alias("pipeline"), F.lit(now).alias("created_ts"), F.lit(now).alias("indexed_ts"),
-        )
-        vid = lambda space: F.format_string(f"%s:{space}:%06d", "sha256", "n")
-        path = F.concat(F.substring("sha256", 1, 2), F.lit("/"), F.col("sha256"), F.lit("_"), F.col("n").cast("string"), F.lit(".jpg"))
-        shown = found.where("ok").select("sha256", F.posexplode("visuals").alias("n", "x"))
-        visual = shown.select(
-            vid("clip").alias("vid"), F.col("sha256").alias("asset_id"), F.lit("clip").alias("space"), "x.kind", "x.ref", F.lit(None).cast("string").alias("text"), F.when(F.col("x.thumb").isNotNull(), path).alias("thumb"), "x.vector"
-        )
-        thumbs = shown.where("x.thumb IS NOT NULL").select(path.alias("path"), F.col("sha256").alias("asset_id"), F.col("x.thumb").alias("jpeg"))
-        text = found.where("ok").select("sha256", F.posexplode("texts").alias("n", "x")).select(
-            vid("text").alias("vid"), F.col("sha256").alias("asset_id"), F.lit("text").alias("space"), "x.kind", "x.ref", "x.text", F.lit(None).cast("string").alias("thumb"), "x.vector"
-        )
-        return assets, visual.unionByName(text), thumbs
+        run = _Run(self, self.store.claim())
+        context = self.spark.sparkContext
+        self._stop.clear()
+        self._tag, self._progress = f"prismdex-{run.claim.owner}", {"began": run.began, "total": None, "done": 0}
+        context.addJobTag(self._tag)
+        try:
+            run.classify(listing, retry_failed, force, reanalyse)
+            for part in run.parts():
+                if self._stop.is_set():
+                    break
+                run.batch(part)
+            return run.finish("cancelled" if self._stop.is_set() else "finished")
+        except Exception:
+            if self._stop.is_set():  # a job was cut off; what was committed stays
+                context.removeJobTag(self._tag)
+                return run.finish("cancelled")
+            self.store.release(run.claim)
+            raise
+        finally:
+            if self._tag in context.getJobTags():
+                context.removeJobTag(self._tag)
+            self._tag = None
+
+    def cancel(self) -> bool:
+        """Ends the run of this engine, from another thread: its jobs are cut off, and nothing after the last commit is kept.  Whether there was one."""
+        tag = self._tag
+        if tag is None:
+            return False
+        self._stop.set()
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+        return True
+
+    def status(self) -> dict:
+        """running (here or elsewhere), since (epoch seconds), and of a run of this engine: done and total contents, rate (a second) and eta (seconds)."""
+        claimed = self.store.claimed()
+        out = {"running": claimed is not None, "since": claimed and claimed["began"], "done": None, "total": None, "rate": None, "eta": None}
+        if self._tag and self._progress.get("total") is not None:
+            p = self._progress
+            done = p["done"] + p.get("batch", 0) * self._share_of_tasks()
+            rate = done / max(time.time() - p["analysing"], 1e-3)
+            out |= {"done": int(done), "total": p["total"], "rate": rate, "eta": (p["total"] - done) / rate if rate else None}
+        return out
+
+    def _share_of_tasks(self) -> float:
+        """Tasks that have ended, of the stages that are running."""
+        tracker = self.spark.sparkContext.statusTracker()
+        stages = [x for k in tracker.getActiveStageIds() if (x := tracker.getStageInfo(k))]
+        return sum(x.numCompletedTasks for x in stages) / max(sum(x.numTasks for x in stages), 1)
 
     @staticmethod
-    def text_index(vectors: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(postings, lengths) of stemmed words of all texts."""
-        stems = vectors.where("space = 'text' AND text IS NOT NULL").select("vid", "asset_id", stemmed_words(F.col("text")).alias("w"))
-        postings = stems.select("vid", "asset_id", F.explode("w").alias("term")).groupBy("vid", "asset_id", "term").agg(F.count("*").alias("tf"))
-        return postings, stems.select("vid", F.size("w").alias("len"))
+    def stemmed(vectors: DataFrame) -> DataFrame:
+        """(vid, asset_id, words) of the texts among vectors."""
+        return vectors.where("space = 'text' AND text IS NOT NULL").select("vid", "asset_id", stemmed_words(F.col("text")).alias("words"))
 
     # ------------------------------------------------------------ queries
     def thumbnail(self, path: str) -> bytes | None:
@@ -194,10 +120,19 @@ class Engine:
     def _spaces(self, *queries: str) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
         assets, vectors = self.store.read("assets"), self.store.read("vectors")
         current = catalogue.current_vectors(vectors, assets, self.embedder.pipeline)
-        encoded = {"clip": self.embedder.visual_query(list(queries)), "text": self.embedder.text(list(queries))}
-        asked = {s: self.spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "qid int, vector array<float>") for s, v in encoded.items()}
+        rows = self.spark.createDataFrame(list(enumerate(queries)), "qid int, text string")
+        asked = {s: rows.select("qid", x["vector"].alias("vector")) for s, x in (("clip", self.embedder.visual_query(F.col("text"))), ("text", self.embedder.text(F.col("text"))))}
         return {s: current.where(F.col("space") == s) for s in asked}, asked
 
+    def _nearest(self, signal: str, vectors: DataFrame, asked: DataFrame, allowed: DataFrame) -> DataFrame:
+        """Candidates of a signal: by a scan where vectors are few, else from packed blocks, which are made once for a version of the vectors."""
+        layers = self.store.manifest()
+        if sum(x["bytes"] for x in layers["vectors"]) < self.packed:
+            return retrieval.nearest(vectors, asked, allowed)
+        depends = json.dumps([signal, self.embedder.pipeline, layers["vectors"], layers["assets"]])
+        store = VectorStore.opened(vectors.select("vid", "asset_id", "vector"), f"{self.store.root}/packed", hashlib.sha256(depends.encode()).hexdigest()[:32])
+        return store.nearest(asked, allowed)[0]
+
     def search(self, query: str, filters: retrieval.Filters = retrieval.Filters(), limit: int = 24, offset: int = 0) -> dict:
         """The envelope of a search: query, total, offset, limit, intent, facets, signals, took_ms and results."""
         query, began = (query or "").strip(), time.perf_counter()
@@ -209,13 +144,14 @@ class Engine:
         hits = {}
         if allowed.limit(1).count():
             for s in ("clip", "text"):
-                if spaces[s].limit(1).count():
-                    hits[s] = retrieval.vector_hits(spaces[s], asked[s], allowed, *self._cuts(s)).persist()
+                if not spaces[s].isEmpty():
+                    hits[s] = retrieval.cut_and_rank(retrieval.best_per_asset(self._nearest(s, spaces[s], asked[s], allowed), 9), *self._cuts(s)).persist()
             one = self.spark.createDataFrame([(0, query)], "qid int, text string")
             terms = [porter(t) for t in one.select(text_.query_terms(F.col("text")).alias("t")).first().t]
             if terms and self.store.versions():
-                scored = retrieval.bm25(self.store.read("postings"), self.store.read("lengths"), self.spark.createDataFrame([(0, t) for t in terms], "qid int, term string"))
-                hits["kw"] = retrieval.keyword_hits(scored, allowed).persist()
+                asked_terms = self.spark.createDataFrame([(0, t) for t in terms], "qid int, term string")
+                scored = text_index.search(self.store.read("text_index"), asked_terms, allowed, self.store.read("text_places"), self.store.read("text_counts"))
+                hits["kw"] = retrieval.keyword_cut(scored).persist()
         intents = self.spark.createDataFrame([(0, query)], "qid int, text string").select("qid", text_.intents(F.col("text")).alias("intents"))
         out = {"query": query, "total": 0, "offset": offset, "limit": limit, "intent": [] if filters.types else intents.first().intents, "facets": {}, "signals": {}, "results": []}
         if hits:
@@ -247,3 +183,103 @@ class Engine:
 
     def duplicates(self) -> list[dict]:
         return [r.asDict() for r in catalogue.duplicate_groups(self.store.read("files")).orderBy(F.col("n").desc(), "asset_id").collect()]
+
+
+class _Run:
+    """The steps of a run, which hold its claim, counters and tables."""
+
+    def __init__(self, engine: Engine, claim: Claim):
+        self.engine, self.store, self.claim, self.began = engine, engine.store, claim, time.time()
+        self.spark, self.counters, self.first = engine.spark, {}, True
+
+    def classify(self, listing: DataFrame, retry_failed: bool, force: bool, reanalyse: bool) -> None:
+        """What has changed, and which contents are to be analysed; counted while it is written."""
+        self.pipeline = self.engine.embedder.pipeline
+        self.old, self.assets = self.store.read("files"), self.store.read("assets")
+        files = ingest.requeue_stale(ingest.recovered(self.old), self.assets, self.pipeline)
+        seen, found = Observation(), Observation()
+        classified = scratch.written(ingest.classified(files, listing, retry_failed, force).observe(seen, *ingest.counters()), "classified")
+        self.counters |= seen.get
+        self.files = ingest.mark_missing(classified)
+        pending = self.files.where("present AND state = 'pending'").select("path", "ext", "size")
+        self.pending = scratch.written(listing_.hashed(pending), "pending")
+        reused, work = ingest.split_reuse(self.pending.where("sha256 IS NOT NULL"), self.assets.limit(0) if reanalyse else self.assets, self.pipeline)
+        self.reused = reused.select("path", "reused_asset")
+        counts = [F.count_if(F.col("priority") == k).alias(f"n{k}") for k in range(4)]
+        self.work = scratch.written(work.select("sha256", "path", "ext", "size", "priority").observe(found, F.count("*").alias("n"), *counts), "work")
+        self.counts = found.get
+        self.engine._progress |= {"total": self.counts["n"], "analysing": time.time()}
+
+    def parts(self) -> list[DataFrame]:
+        """Batches of contents, pictures first; all in one where they are few.  An empty one lets copies and other changes be stored."""
+        if self.counts["n"] <= self.engine.batch:
+            return [self.work]
+        out = []
+        for k in range(4):
+            of = -(-self.counts[f"n{k}"] // self.engine.batch)
+            out += [self.work.where((F.col("priority") == k) & (F.pmod(F.xxhash64("sha256"), F.lit(of)) == i)) for i in range(of)]
+        return out
+
+    def batch(self, work: DataFrame) -> None:
+        """Analyses contents and commits them with their files; the first batch brings all other changes of files along."""
+        engine, counted = self.engine, Observation()
+        engine._progress["batch"] = self.counts["n"] if self.counts["n"] <= engine.batch else engine.batch
+        found = analysis.analysed(work, engine.settings, engine.embedder, engine.openers, engine.pause)
+        assets, vectors, thumbs = analysis.tables(found, self.pipeline, self.began)
+        queued = self.pending.join(work.select("sha256"), "sha256", "left_semi") if not self.first else self.pending.join(self.work.select("sha256"), "sha256", "left_anti").unionByName(self.pending.join(work.select("sha256"), "sha256", "left_semi"))
+        outcome = queued.select("path", "sha256").join(self.reused, "path", "left").join(found.outcome.select("sha256", F.col("path").alias("analysed"), "ok", "error_kind", "error"), "sha256", "left")
+        done, gone = F.col("reused_asset").isNotNull() | F.coalesce("ok", F.lit(False)), F.col("sha256").isNull()
+        state = ingest.error_state(F.col("error_kind"), F.col("error"))
+        outcome = outcome.select(
+            "path", F.when(done | (F.col("error_kind") == "embedder"), F.coalesce("reused_asset", "sha256")).alias("new_asset"), (F.col("reused_asset").isNotNull() | (done & (F.col("path") != F.col("analysed")))).alias("was_reused"),
+            F.when(done, "done").when(gone, "failed").otherwise(state["state"]).alias("new_state"), F.when(gone, "file has vanished").when(~done, state["error"]).alias("new_error"), gone.alias("gone"),
+        )
+        outcome = scratch.written(outcome.observe(counted, *ingest.outcome_counters()), "outcome")
+        for k, n in counted.get.items():
+            self.counters[k] = self.counters.get(k, 0) + n
+        touched = F.col("new_state").isNotNull()
+        joined = self.files.join(outcome, "path", "left" if self.first else "inner")
+        files = joined.select(
+            "path", "folder", "name", "ext", "size", "mtime_ns", F.coalesce("new_asset", "asset_id").alias("asset_id"), F.coalesce("new_state", "state").alias("state"), F.when(touched, F.col("new_error")).otherwise(F.col("error")).alias("error"),
+            F.when(touched, F.col("attempts") + 1).otherwise(F.col("attempts")).alias("attempts"), F.when(F.col("gone"), False).otherwise(F.col("present")).alias("present"),
+        )
+        was = self.old.select(F.col("path").alias("was_path"), F.struct(*self.old.columns).alias("was"))
+        files = files.join(was, F.col("path") == F.col("was_path"), "left").where(~F.struct(*self.old.columns).eqNullSafe(F.col("was"))).select(*self.old.columns)
+        changes = {"files": Delta(files, "path")}
+        if not assets.isEmpty():
+            fresh = scratch.written(ingest.updated_assets(self.store.read("assets"), assets), "assets")
+            ready = fresh.where("status = 'ready'").select(F.col("asset_id").alias("key"))
+            new = scratch.written(vectors, "vectors")
+            changes |= {"assets": Delta(fresh, "asset_id"), "vectors": Delta(new, "asset_id", ready), "thumbs": Delta(thumbs.select("path", "asset_id", "jpeg"), "asset_id", ready)}
+            changes |= self._texts(new, self.store.read("vectors").join(ready, F.col("asset_id") == F.col("key"), "left_semi"))
+        self.claim = self.store.commit(changes, claim=self.claim, go_on=True)
+        self.first = False
+        engine._progress["done"] += engine._progress.pop("batch")
+
+    def _texts(self, new: DataFrame, old: DataFrame) -> dict[str, Delta]:
+        """Changes of the text index: texts of ``new`` vectors come, those of ``old`` ones go."""
+        out = {"text_index": Delta(text_index.built(self.engine.stemmed(new), self.claim.version))}
+        if not old.isEmpty():
+            places, counts = text_index.withdrawn(self.store.read("text_index"), scratch.written(self.engine.stemmed(old), "withdrawn"))
+            out |= {"text_places": Delta(places), "text_counts": Delta(counts)}
+        return out
+
+    def finish(self, status: str) -> dict:
+        """Records the run; a finished one takes out what no file refers to and builds the text index anew where much of it was withdrawn."""
+        changes: dict[str, DataFrame | Delta] = {}
+        if status == "finished":
+            assets, files, vectors = (self.store.read(n) for n in ("assets", "files", "vectors"))
+            orphans = scratch.written(catalogue.orphans(assets, files).select(F.col("asset_id").alias("key")), "orphans")
+            if not orphans.isEmpty():
+                lost = vectors.join(orphans, F.col("asset_id") == F.col("key"), "left_semi")
+                changes = {n: Delta(self.store.read(n).limit(0), "asset_id", orphans) for n in ("assets", "vectors", "thumbs")} | self._texts(vectors.limit(0), lost)
+            texts = self.store.read("text_index").where("term IS NULL").agg(F.sum("n")).first()[0] or 0
+            if self.store.read("text_places").count() > WORN * texts:
+                kept = vectors.join(orphans, F.col("asset_id") == F.col("key"), "left_anti")
+                changes |= {"text_index": text_index.built(self.engine.stemmed(kept), self.claim.version)} | {n: self.store.read(n).limit(0) for n in ("text_places", "text_counts")}
+        zero = dict.fromkeys(("scanned", "new", "changed", "unchanged", "queued", "unsupported", "processed", "reused", "indexed", "failed", "refused"), 0)
+        summary = zero | self.counters
+        summary["unsupported"] += summary.pop("refused")
+        row = (int(self.began * 1000), self.began, time.time(), status, json.dumps(summary))
+        self.store.commit(changes | {"runs": Delta(self.spark.createDataFrame([row], schemas.RUNS))}, claim=self.claim)
+        return summary | {"status": status}

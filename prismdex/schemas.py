@@ -13,8 +13,7 @@ THUMBS = "path string, asset_id string, jpeg binary"
 RUNS = "run_id bigint, started_ts double, finished_ts double, status string, summary string"
 EVAL_QUERIES = "id string, query string, intent string, expect_types array<string>, relevant_regex string, expected_hint string"
 MANIFEST_ENTRY = "struct<title:string,kind:string,tag:string,query:string,categories:array<string>,description:string,license:string,author:string>"
-EXTRACTED = (
-    "sha256 string, path string, ext string, size bigint, ok boolean, error_kind string, error string, type string, mime string, width int, height int, duration double, pages int, meta map<string,string>, warnings array<string>, "
-    "visuals array<struct<kind:string,ref:double,thumb:binary,vector:array<float>>>, texts array<struct<kind:string,ref:double,text:string,vector:array<float>>>"
-)
-EMPTY = {"files": FILES, "assets": ASSETS, "vectors": VECTORS, "thumbs": THUMBS, "runs": RUNS}
+TEXT_INDEX = "bucket int, segment bigint, term string, n int, words bigint, top int, least int, places binary, counts binary, lengths binary, vids array<string>, asset_ids array<string>"
+EMPTY = {
+    "files": FILES, "assets": ASSETS, "vectors": VECTORS, "thumbs": THUMBS, "runs": RUNS, "text_index": TEXT_INDEX, "text_places": "segment bigint, place int, length bigint", "text_counts": "term string, n bigint",
+}

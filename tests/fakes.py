@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 from prismdex.sources.decoders import Corrupt
+from prismdex.sources.embedders import EmbedderFailure, PlainEmbedder
 
 
 def content(path: str, magic: str) -> list[str]:
@@ -91,3 +92,8 @@ class Pdf:
 
 
 OPENERS = {"image": Picture, "video": Video, "pdf": Pdf}
+
+
+class Failing(PlainEmbedder):
+    def pictures(self, pictures):
+        raise EmbedderFailure("no memory left")

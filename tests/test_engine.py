@@ -6,7 +6,7 @@ import json
 import os
 
 import pytest
-from fakes import OPENERS, Shown
+from fakes import OPENERS, Failing, Shown
 from pyspark.sql import functions as F
 
 from prismdex.operators import ingest
@@ -112,7 +112,7 @@ def test_changed_new_and_missing_files(make, media):
 
 def test_embedder_failures_can_be_retried(make, media):
     folder = media({"a/red.png": FILES["a/red.png"], "a/t.pdf": "PDF\n" + "plain text about gardening and tomatoes. " * 4})
-    engine = make(PlainEmbedder(fail_on_pictures=True))
+    engine = make(Failing())
     engine.index(str(folder))
     assert {v[0] for v in states(engine).values()} == {"failed"} and states(engine)["red.png"][1].startswith("AI processing failed: ")
     engine = make()
@@ -150,7 +150,7 @@ def test_thumbnails_and_speech(spark, media, tmp_path):
     media({"a/clip.mp4": FILES["a/clip.mp4"] + "\n0 250 0"})
     engine(OPENERS).index(str(folder))
     warnings = [w for r in engine(OPENERS).store.read("assets").where("type = 'video'").collect() for w in r.warnings]
-    assert warnings == ["speech recognition is not available - video is indexed by its frames only"]
+    assert warnings == ["speech: there is no recogniser, only frames are searched"]
 
 
 def test_evaluation_calibration_and_report(make, media, tmp_path):
