@@ -33,7 +33,9 @@ LENGTH, ANCHOR = 100, 32
 #: Bytes of a text whose strings are looked at together; a longer text is taken in parts that overlap by a string.
 CHUNK = 1 << 22
 #: Pieces of one anchor, and of all anchors, that are sorted together.
-SALT, BLOCK = 2048, 1 << 16
+SALT, BLOCK = 2048, 1 << 14
+#: Strings that are digested together, and bytes of texts that are put out together.
+STRINGS, OUT = 1 << 16, 1 << 22
 NO_ID = -(1 << 63)
 
 _PIECES = "h long, d long, e long, doc long, key long, at int, n int, anchor int"
@@ -195,10 +197,13 @@ def _settle(rows: pa.Table, length: int) -> Iterator[pa.RecordBatch]:
     if len(salted):
         i, k = np.nonzero(~again[salted] & (np.arange(again.shape[1]) < col["n"][salted][:, None]))
         i = salted[i]
-        place = (total - size)[i] + k
-        x, y = tb.digests(flat, place, place + length)
-        at = (col["at"][i] + k).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(col["doc"][i]), pa.array(col["key"][i]), pa.array(at), pa.array(at + np.int32(length)), pa.array(x), pa.array(y)], ["doc", "key", "a", "b", "x", "y"])
+        for s in range(0, len(i), STRINGS):
+            own, within = i[s : s + STRINGS], k[s : s + STRINGS]
+            place = (total - size)[own] + within
+            low = int(place.min())
+            x, y = tb.digests(flat[low : int(place.max()) + length], place - low, place - low + length)
+            at = (col["at"][own] + within).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(col["doc"][own]), pa.array(col["key"][own]), pa.array(at), pa.array(at + np.int32(length)), pa.array(x), pa.array(y)], ["doc", "key", "a", "b", "x", "y"])
 
 
 def _collections(length: int):
@@ -240,21 +245,23 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(held[:, k]) for k in range(4)], ["doc", "key", "a", "b"])
 
 
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+
+
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out: dict[str, list] = {k: [] for k in ("text", "n_bytes", "spans")}
-        for text, spans in zip(batch.column(1), batch.column(2), strict=True):
-            raw = (text.as_py() or "").encode()
-            runs: list[list[int]] = []
-            if spans.is_valid:
-                runs = np.column_stack(tb.merged(spans.values.field("a").to_numpy(), spans.values.field("b").to_numpy())).tolist()
-            ends = [0, *[x for r in runs for x in r], len(raw)]
-            out["text"].append(b"".join(raw[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True)))
-            out["n_bytes"].append(len(raw))
-            out["spans"].append([{"a": i, "b": j} for i, j in runs])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(out["text"], pa.binary()), pa.array(out["n_bytes"], pa.int64()), pa.array(out["spans"], pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))], ["doc_id", "kept", "n_bytes", "spans"]
-        )
+        kept, sizes, spans, first, held = [], [], [], 0, 0
+        for r in range(batch.num_rows):
+            raw, own = (batch.column(1)[r].as_py() or "").encode(), batch.column(2)[r]
+            runs = np.column_stack(tb.merged(own.values.field("a").to_numpy(), own.values.field("b").to_numpy())).tolist() if own.is_valid else []
+            ends = [0, *[x for run in runs for x in run], len(raw)]
+            kept.append(b"".join(raw[i:j] for i, j in zip(ends[::2], ends[1::2], strict=True)))
+            sizes.append(len(raw))
+            spans.append([{"a": i, "b": j} for i, j in runs])
+            held += len(raw)
+            if held > OUT or r == batch.num_rows - 1:  # texts are let go as they are done
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(kept)), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(spans, _RUNS)], ["doc_id", "kept", "n_bytes", "spans"])
+                kept, sizes, spans, first, held = [], [], [], r + 1, 0
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -266,13 +273,14 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     firsts_ = groups.select("f.doc", "f.key", "f.at").hint("merge")
     later = found.select("doc", "key", "at", "n").join(firsts_, ["doc", "key", "at"], "left_anti")  # by place, so copies of one piece are spread
     copies = later.select("doc", "key", F.col("at").alias("a"), (F.col("at") + F.col("n") + length - 1).alias("b"))
-    many = groups.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    # Counts and least places are written before they are joined, so that a hot anchor or string can be split there.
+    many = written(groups.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"), "many")
     salt = F.when(F.col("m") > SALT, F.pmod(F.col("d"), F.ceil(F.col("m") / SALT))).otherwise(-1).cast("int")
     want = groups.join(many, "h").select("f.doc", "f.key", F.struct("h", "d", "e", "f.at", "n", "anchor", salt.alias("salt")).alias("w")).groupBy("doc", "key").agg(F.collect_list("w").alias("want"))
     bytes_ = texts.join(want, ["doc", "key"]).select("doc", "key", "text", "want").mapInArrow(_slices(length), f"{_PIECES}, salt int, piece binary")
     settled = written(bytes_.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_collections(length), _FOUND), "settled")
     firsts = settled.where("x IS NOT NULL")
-    least = firsts.groupBy("x", "y").agg(F.min(F.struct("doc", "key", "a")).alias("f"), F.count("*").alias("c")).where("c > 1").select("x", "y", "f")
+    least = written(firsts.groupBy("x", "y").agg(F.min(F.struct("doc", "key", "a")).alias("f"), F.count("*").alias("c")).where("c > 1").select("x", "y", "f"), "least")
     across = firsts.join(least, ["x", "y"]).where(F.struct("doc", "key", "a") != F.col("f")).select("doc", "key", "a", "b")
     spans = copies.union(settled.where("x IS NULL").select("doc", "key", "a", "b")).union(across)
     runs = spans.repartition("doc", "key").sortWithinPartitions("doc", "key", "a").mapInArrow(_merged, "doc long, key long, a long, b long")
