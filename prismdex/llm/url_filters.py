@@ -33,10 +33,12 @@ def _digest(*parts: Column) -> Column:
 
 
 def _meet(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Rows with equal digests in column ``on``: an equi-join on their first 4 bytes, confirmed in full."""
-    right = right.withColumn("__right", F.col(on)).drop(on)
-    short = F.substring(left[on], 1, 4) == F.substring(right["__right"], 1, 4)
-    return left.join(right, short & (left[on] == right["__right"])).drop("__right", on)
+    """Rows with equal digests in column ``on``: an equi-join on their first 4 bytes alone, whose matches are confirmed by the full digests of each prefix (one, but for chance)."""
+    short, mine, theirs = F.substring(on, 1, 4).alias("short"), [c for c in left.columns if c != on], [c for c in right.columns if c != on]
+    same = right.groupBy(short).agg(F.collect_list(F.struct(F.col(on).alias("full"), *theirs)).alias("same"))
+    joined = left.withColumn("short", short).join(same, "short")
+    confirmed = F.filter("same", lambda x: x["full"] == F.col(on))
+    return joined.select(*mine, F.explode(confirmed).alias("x")).select(*mine, *[f"x.{c}" for c in theirs])
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
