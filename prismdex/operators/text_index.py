@@ -10,6 +10,8 @@ Texts are withdrawn by place, and what they had counted is kept as counts to tak
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -96,7 +98,7 @@ def built(texts: DataFrame, run: int = 0, most_texts: int = TEXTS) -> DataFrame:
             yield from flush()
 
     rows = texts.where("words IS NOT NULL").select("vid", "asset_id", "words").mapInArrow(run_, StructType([schema[c] for c in names]))
-    rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))).select(*schema.names)
+    rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise((F.crc32("term") % BUCKETS).cast("int"))).select(*schema.names)
     return rows.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment")
 
 
@@ -189,19 +191,20 @@ def search(index: DataFrame, terms: DataFrame, allowed: DataFrame | None = None,
     number = terms.select("qid").distinct().count()
     parts, out = max(1, -(-number // retrieval.QUERY_BLOCK)), [spark.createDataFrame([], schema)]
     for k in range(parts):
-        block = asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k)
-        wanted = block.select("term").distinct().toArrow()["term"].to_pylist()  # of a block of queries
+        block = asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == k).toArrow()  # the terms of a block of queries
+        wanted = sorted(set(block["term"].to_pylist()))
         if not wanted:
             continue
-        buckets = [r[0] for r in block.select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")).distinct().collect()]
-        found = index.where(F.col("bucket").isin(buckets)).join(F.broadcast(block.select("term").distinct()), "term", "left_semi")  # the terms of a block of queries
-        df = found.groupBy("term").agg(F.sum("n").alias("n"))
-        df = df.union(counts.select("term", -F.col("n"))).groupBy("term").agg(F.sum("n").alias("n")) if counts is not None else df
-        idf = F.log((F.lit(n) - F.col("n") + 0.5) / (F.col("n") + 0.5))
-        weights = block.join(df.where("n > 0"), "term").select("qid", "term", (F.col("times") * F.when(idf > 0, idf).otherwise(1e-6)).alias("weight")).toArrow()
+        here = F.broadcast(spark.createDataFrame([(t,) for t in wanted], "term string"))
+        found = index.where(F.col("bucket").isin(sorted({zlib.crc32(t.encode()) % BUCKETS for t in wanted}))).join(here, "term", "left_semi")
+        df = found.select("term", F.col("n").cast("long").alias("n"))
+        df = df.union(counts.join(here, "term", "left_semi").select("term", -F.col("n"))) if counts is not None else df
+        known = df.groupBy("term").agg(F.sum("n").alias("n")).where("n > 0").toArrow()
+        idf = {t: math.log((n - m + 0.5) / (m + 0.5)) for t, m in zip(known["term"].to_pylist(), known["n"].to_pylist(), strict=True)}
         by_query: dict = {}
-        for q, t, w in zip(*[weights[c].to_pylist() for c in ("qid", "term", "weight")], strict=True):
-            by_query.setdefault(q, []).append((t, w))
+        for q, t, times in zip(*[block[c].to_pylist() for c in ("qid", "term", "times")], strict=True):
+            if t in idf:
+                by_query.setdefault(q, []).append((t, times * (idf[t] if idf[t] > 0 else 1e-6)))
         sent = spark.sparkContext.broadcast((pa.array(list(by_query), to_arrow_schema(schema).field(0).type), list(by_query.values())))
         columns = found.select("segment", "term", "top", "least", "places", "counts")
         out.append(columns.groupBy("segment").cogroup(texts.groupBy("of")).applyInArrow(_segment(sent, mean, most, per_asset, digits, to_arrow_schema(schema)), schema))

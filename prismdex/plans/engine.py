@@ -62,7 +62,7 @@ class Engine:
             for part in run.parts():
                 if self._stop.is_set():
                     break
-                run.batch(part)
+                run.batch(*part)
             return run.finish("cancelled" if self._stop.is_set() else "finished")
         except Exception:
             if self._stop.is_set():  # a job was cut off; what was committed stays
@@ -210,24 +210,24 @@ class _Run:
         self.counts = found.get
         self.engine._progress |= {"total": self.counts["n"], "analysing": time.time()}
 
-    def parts(self) -> list[DataFrame]:
-        """Batches of contents, pictures first; all in one where they are few.  An empty one lets copies and other changes be stored."""
+    def parts(self) -> list[tuple[DataFrame, float]]:
+        """Batches of contents, pictures first, each with its number of contents in the mean; all in one where they are few.  An empty one lets copies and other changes be stored."""
         if self.counts["n"] <= self.engine.batch:
-            return [self.work]
+            return [(self.work, self.counts["n"])]
         out = []
         for k in range(4):
             of = -(-self.counts[f"n{k}"] // self.engine.batch)
-            out += [self.work.where((F.col("priority") == k) & (F.pmod(F.xxhash64("sha256"), F.lit(of)) == i)) for i in range(of)]
+            out += [(self.work.where((F.col("priority") == k) & (F.pmod(F.xxhash64("sha256"), F.lit(of)) == i)), self.counts[f"n{k}"] / of) for i in range(of)]
         return out
 
-    def batch(self, work: DataFrame) -> None:
+    def batch(self, work: DataFrame, number: float) -> None:
         """Analyses contents and commits them with their files; the first batch brings all other changes of files along."""
         engine, counted = self.engine, Observation()
-        engine._progress["batch"] = self.counts["n"] if self.counts["n"] <= engine.batch else engine.batch
-        found = analysis.analysed(work, engine.settings, engine.embedder, engine.openers, engine.pause)
-        assets, vectors, thumbs = analysis.tables(found, self.pipeline, self.began)
+        engine._progress["batch"] = number
+        found = analysis.analysed(work, engine.settings, engine.embedder, engine.openers, engine.pause) if self.counts["n"] else None
+        told = found.outcome if found else self.spark.createDataFrame([], "sha256 string, path string, ok boolean, error_kind string, error string")
         queued = self.pending.join(work.select("sha256"), "sha256", "left_semi") if not self.first else self.pending.join(self.work.select("sha256"), "sha256", "left_anti").unionByName(self.pending.join(work.select("sha256"), "sha256", "left_semi"))
-        outcome = queued.select("path", "sha256").join(self.reused, "path", "left").join(found.outcome.select("sha256", F.col("path").alias("analysed"), "ok", "error_kind", "error"), "sha256", "left")
+        outcome = queued.select("path", "sha256").join(self.reused, "path", "left").join(told.select("sha256", F.col("path").alias("analysed"), "ok", "error_kind", "error"), "sha256", "left")
         done, gone = F.col("reused_asset").isNotNull() | F.coalesce("ok", F.lit(False)), F.col("sha256").isNull()
         state = ingest.error_state(F.col("error_kind"), F.col("error"))
         outcome = outcome.select(
@@ -246,7 +246,8 @@ class _Run:
         was = self.old.select(F.col("path").alias("was_path"), F.struct(*self.old.columns).alias("was"))
         files = files.join(was, F.col("path") == F.col("was_path"), "left").where(~F.struct(*self.old.columns).eqNullSafe(F.col("was"))).select(*self.old.columns)
         changes = {"files": Delta(files, "path")}
-        if not assets.isEmpty():
+        assets, vectors, thumbs = analysis.tables(found, self.pipeline, self.began) if found else (None, None, None)
+        if found and not assets.isEmpty():
             fresh = scratch.written(ingest.updated_assets(self.store.read("assets"), assets), "assets")
             ready = fresh.where("status = 'ready'").select(F.col("asset_id").alias("key"))
             new = scratch.written(vectors, "vectors")
@@ -267,7 +268,7 @@ class _Run:
     def finish(self, status: str) -> dict:
         """Records the run; a finished one takes out what no file refers to and builds the text index anew where much of it was withdrawn."""
         changes: dict[str, DataFrame | Delta] = {}
-        if status == "finished":
+        if status == "finished" and self.counters.get("processed"):  # else no file has got another content
             assets, files, vectors = (self.store.read(n) for n in ("assets", "files", "vectors"))
             orphans = scratch.written(catalogue.orphans(assets, files).select(F.col("asset_id").alias("key")), "orphans")
             if not orphans.isEmpty():

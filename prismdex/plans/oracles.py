@@ -29,11 +29,11 @@ TERMS = f"""terms AS (SELECT DISTINCT qid, term FROM (SELECT qid, unnest(regexp_
   WHERE length(term) > 1 AND NOT list_contains(string_split('{STOPS}', ' '), term))"""
 POSTINGS = """words AS (SELECT vid, asset_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM chunks),
 postings AS (SELECT vid, asset_id, term, count(*) AS tf FROM words GROUP BY ALL),
-lengths AS (SELECT vid, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM chunks)"""
+lengths AS (SELECT vid, asset_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS len FROM chunks)"""
 BM25 = """df AS (SELECT term, count(*) AS df FROM postings GROUP BY term), corpus AS (SELECT count(*) AS n, avg(len) AS avgdl FROM lengths),
 bm AS (
   SELECT qid, asset_id, vid, sum((CASE WHEN n - df + 0.5 > df + 0.5 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avgdl))) AS raw
-  FROM terms JOIN postings USING (term) JOIN df USING (term) JOIN lengths USING (vid), corpus GROUP BY qid, asset_id, vid)"""
+  FROM terms JOIN postings USING (term) JOIN df USING (term) JOIN lengths USING (vid, asset_id), corpus GROUP BY qid, asset_id, vid)"""
 SIMS = "sims AS (SELECT q.qid, p.asset_id, p.vid, list_dot_product(CAST(p.vector AS DOUBLE[]), CAST(q.vector AS DOUBLE[])) AS raw FROM pictures p, asked q)"
 PICTURES = "pictures AS (SELECT vec_id AS vid, asset_id, embedding AS vector FROM embeddings JOIN docs ON vec_id = doc_id)"
 LABELLED = "pictures AS (SELECT vec_id AS vid, label AS asset_id, embedding AS vector FROM embeddings), asked AS (SELECT vec_id AS qid, embedding AS vector FROM embeddings WHERE vec_id % 100 = 0)"

@@ -135,11 +135,11 @@ def text_vector_hits(spark, d):
 _BM = f"{o.ALLOWED}, {o.CHUNKS}, {o.ASKED}, {o.TERMS}, {o.POSTINGS}, {o.BM25}"
 
 
-@query(f"WITH RECURSIVE {_BM} SELECT qid, vid, round(raw, 6) AS raw FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, vid) <= 50")
+@query(f"WITH RECURSIVE {_BM} SELECT qid, asset_id, vid, round(raw, 6) AS raw FROM bm QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(raw, 9) DESC, vid, asset_id) <= 50")
 def bm25_scores(spark, d):
     """The fifty best chunks of each query."""
     scored = retrieval.bm25_best(sample.worded(sample.chunks(spark, d)), sample.terms(sample.queries(spark, d)), most=50, per_asset=False)
-    return retrieval.cut_and_rank(scored, most=50).select("qid", "vid", F.round("raw", 6).alias("raw"))
+    return retrieval.cut_and_rank(scored, most=50).select("qid", "asset_id", "vid", F.round("raw", 6).alias("raw"))
 
 
 @query(f"WITH RECURSIVE {_BM}, s AS (SELECT * FROM bm SEMI JOIN allowed USING (asset_id)), {o.best('s', 'b')}, {o.hits('b', 'h', 'raw >= 0.5 * first')} SELECT qid, asset_id, vid, round(raw, 6) AS raw, rank FROM h")
@@ -454,17 +454,18 @@ def parsed_lists(spark, d):
 
 # ------------------------------------------------------------------ evaluation
 def _eval(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(results by path, relevant paths, queries): good documents of a query's first word are relevant."""
+    """(results by path, relevant paths, queries): each good document is relevant to one of the queries, by its number, so that all queries have some."""
     good = sample.table(spark, d, "labels").where("quality = 1").select("doc_id").distinct()
     files = sample.files(spark, d).where("present")
     relevant = files.join(good, "doc_id").select("path", "doc_id")
     asked = sample.queries(spark, d).select("qid", (F.col("qid") % 8 == 7).alias("negative"))
-    relevant = relevant.withColumn("qid", F.pmod("doc_id", F.lit(8))).join(asked.select("qid"), "qid").select("qid", "path")
+    number = asked.agg(F.count("*").alias("n"))  # one row
+    relevant = relevant.crossJoin(F.broadcast(number)).withColumn("qid", F.pmod("doc_id", "n")).join(asked.select("qid"), "qid").select("qid", "path")
     results = search.hybrid(spark, d).select("qid", "place", "asset_id").join(files.select("asset_id", "path"), "asset_id")
     return results, relevant, asked
 
 
-_EVAL = f"""WITH RECURSIVE {o.FUSED}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), rel AS (SELECT doc_id % 8 AS qid, path FROM files SEMI JOIN good USING (doc_id) WHERE present AND doc_id % 8 IN (SELECT qid FROM asked)),
+_EVAL = f"""WITH RECURSIVE {o.FUSED}, good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), rel AS (SELECT doc_id % (SELECT count(*) FROM asked) AS qid, path FROM files SEMI JOIN good USING (doc_id) WHERE present AND doc_id % (SELECT count(*) FROM asked) IN (SELECT qid FROM asked)),
 h AS (SELECT t.qid, t.place, max(CASE WHEN r.path IS NOT NULL THEN 1 ELSE 0 END) AS hit FROM placed t JOIN files f ON f.asset_id = t.asset_id AND f.present LEFT JOIN rel r ON r.qid = t.qid AND r.path = f.path WHERE t.place < 10 GROUP BY ALL),
 m AS (SELECT a.qid, a.qid % 8 = 7 AS negative, coalesce(sum(CASE WHEN h.place < 5 THEN hit END), 0) / 5 AS p_at_5, coalesce(sum(hit), 0) / 10 AS p_at_k, coalesce(sum(hit), 0) / (SELECT nullif(count(*), 0) FROM rel r WHERE r.qid = a.qid) AS recall, min(CASE WHEN hit = 1 THEN h.place + 1 END) AS first_rank FROM asked a LEFT JOIN h ON h.qid = a.qid GROUP BY a.qid)"""
 
