@@ -12,6 +12,7 @@ from prismdex.sources import documents
 
 #: Queries that should find nothing: fixed values.
 NEGATIVES = ("spaceship on Mars", "underwater volcano erupting at night", "a purple elephant playing the violin", "medieval knights jousting")
+_SHOWN = "n int, name string, type string, confidence double, size bigint, duration double, pages int, duplicates int, match struct<kind:string,ref:double>, said struct<ref:double,snippet:string>"
 _RESULTS = "qid string, place int, asset_id string, path string"
 
 
@@ -45,9 +46,12 @@ def report(engine: Engine, cases: str, limit: int = 10) -> str:
         lines.append(f"### {r.case_no}. {r.query}")
         if not r.placeholder:
             found = engine.search(r.query, Filters(types=tuple(r.types) if r.types else None), limit)["results"]
-            own = [(n + 1, x["name"], x["type"], x["confidence"], x["size"], x["duration"], x["pages"], x["duplicates"], (x["match"] or {}).get("kind"), (x["match"] or {}).get("ref")) for n, x in enumerate(found)]
-            shown = engine.spark.createDataFrame(own, "n int, name string, type string, confidence double, size bigint, duration double, pages int, duplicates int, kind string, ref double")
-            shown = shown.withColumn("match", F.struct("kind", "ref")).select("n", documents.report_line(F.col("n")).alias("line"))
+            own = []
+            for n, x in enumerate(found):
+                match, text = x["match"] or {}, x["text_match"] or {}
+                said = text if text.get("snippet") else match
+                own.append((n + 1, *[x[c] for c in ("name", "type", "confidence", "size", "duration", "pages", "duplicates")], {"kind": match.get("kind"), "ref": match.get("ref")}, {"ref": said.get("ref"), "snippet": said.get("snippet")}))
+            shown = engine.spark.createDataFrame(own, _SHOWN).select("n", documents.report_line(F.col("n")).alias("line"))
             lines += ["", *[x.line for x in shown.orderBy("n").collect()]] if own else ["", "No results."]
         lines.append("")
     return "\n".join(lines)

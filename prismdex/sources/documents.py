@@ -9,6 +9,8 @@ from prismdex.functions.text import display_size, minutes
 from prismdex.schemas import EVAL_QUERIES, MANIFEST_ENTRY
 
 CASES = "map<string,array<string>>"
+#: Characters of a text that a line of a report shows (fixed value).
+SHOWN = 160
 
 
 def evaluation_queries(spark: SparkSession, path: str) -> DataFrame:
@@ -48,15 +50,17 @@ def write_manifest(rows: DataFrame, path: str) -> None:
 
 
 def report_line(number: Column) -> Column:
-    """A result (name, type, confidence, size, duration, pages, duplicates, match) as a line of a Markdown list."""
-    kind = F.when(F.col("type") == "pdf", "PDF").otherwise(F.initcap("type"))
-    where = F.when((F.col("type") == "video") & (F.col("match.kind") == "frame"), F.concat(F.lit("match at **"), minutes(F.col("match.ref")), F.lit("**")))
-    where = where.when(F.col("match.kind") == "page", F.concat(F.lit("visual match on page "), F.col("match.ref").cast("int").cast("string")))
+    """A result (name, type, confidence, size, duration, pages, duplicates, match, said) as a line of a Markdown list; match: (kind, ref), said: (ref, snippet) of its text."""
+    video, pdf = F.col("type") == "video", F.col("type") == "pdf"
+    kind = F.when(pdf, "PDF").otherwise(F.initcap("type"))
+    frame = F.when(F.col("match.kind") == "frame", F.concat(F.lit("match at **"), minutes(F.col("match.ref")), F.lit("**"))).otherwise("match n/a")
+    page = F.concat(F.lit("visual match on page "), F.col("match.ref").cast("int").cast("string"))
+    words = F.substring(F.regexp_replace(F.trim("said.snippet"), r"\s+", " "), 1, SHOWN)
+    text = F.format_string('text on page %s: "%s…"', F.coalesce(F.when(F.col("said.ref") > 0, F.col("said.ref").cast("int").cast("string")), F.lit("-")), words)
     parts = [
         F.concat(F.lit("**"), F.col("name"), F.lit("**")), F.concat(kind, F.lit(" **"), F.bround(F.col("confidence") * 100).cast("int").cast("string"), F.lit("%**")), display_size(F.col("size")),
-        F.when(F.col("type") == "video", minutes(F.col("duration"))), where,
-        F.when(F.col("type") == "pdf", F.concat(F.col("pages").cast("string"), F.when(F.col("pages") == 1, " page").otherwise(" pages"))),
-        F.when(F.col("duplicates") > 0, F.concat((F.col("duplicates") + 1).cast("string"), F.lit(" copies"))),
+        F.when(video, minutes(F.col("duration"))), F.when(video, frame), F.when(pdf, F.concat(F.col("pages").cast("string"), F.when(F.col("pages") == 1, " page").otherwise(" pages"))),
+        F.when(pdf & (F.col("match.kind") == "page"), page), F.when(pdf & (F.length("said.snippet") > 0), text), F.when(F.col("duplicates") > 0, F.concat((F.col("duplicates") + 1).cast("string"), F.lit(" copies"))),
     ]
     return F.concat(number.cast("string"), F.lit(". "), F.concat_ws(" — ", *parts))
 

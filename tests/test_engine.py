@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import threading
+import time
 
 import pytest
 from fakes import OPENERS, Failing, Shown
@@ -11,11 +13,13 @@ from pyspark.sql import functions as F
 
 from prismdex.operators import ingest
 from prismdex.operators.retrieval import Filters
+from prismdex.plans import engine as engine_module
 from prismdex.plans import runners
 from prismdex.plans.engine import Engine
 from prismdex.settings import Settings
 from prismdex.sources.embedders import PlainEmbedder
 from prismdex.sources.listing import listing
+from prismdex.sources.snapshots import Busy
 from prismdex.streaming.catalogue import index_stream, listings, state_counts
 
 SOLAR = "Solar panel installation for homeowners. The inverter turns the current of the panels into that of the house. " * 2
@@ -206,3 +210,68 @@ def test_counts_of_late_changes(spark, tmp_path):
     stream = spark.readStream.schema("ts timestamp, state string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(path)
     state_counts(stream).writeStream.format("memory").queryName("counted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination(120)
     assert {(str(r.start), r.state): r.n for r in spark.table("counted").collect()} == {("2024-01-01 00:00:00", "done"): 2, ("2024-01-01 09:00:00", "failed"): 2}
+
+
+class Slow(PlainEmbedder):
+    """Waits for a file to be there, at most two minutes, before it looks at a red picture."""
+
+    def __init__(self, gate):
+        self.gate = gate
+
+    def pictures(self, pictures):
+        ends = time.monotonic() + 120
+        while any(p[0, 0, 0] > 200 > p[0, 0, 1] for p in pictures) and not os.path.exists(self.gate) and time.monotonic() < ends:
+            time.sleep(0.1)
+        return super().pictures(pictures)
+
+
+def test_a_run_is_cancelled_and_the_next_one_does_the_rest(spark, media, tmp_path):
+    folder = media({f"a/{k}.png": f"IMG\n{k} 5 250" for k in range(6)} | {"b/slow.mp4": "VID\n250 0 0\n250 0 0", "b/t.pdf": "PDF\n" + "plain text about gardening and tomatoes. " * 4})
+    settings, gate = Settings(workers=2, video_min_interval=1.0), tmp_path / "gate"
+    engine = Engine(spark, str(tmp_path / "index"), settings, Slow(str(gate)), OPENERS, pause=0.0, batch=3)
+    other = Engine(spark, str(tmp_path / "index"), settings, PlainEmbedder(), OPENERS, pause=0.0)
+    out = {}
+    run = threading.Thread(target=lambda: out.update(engine.index(str(folder))))
+    run.start()
+    while sum(v[0] == "done" for v in states(other).values()) < 7:
+        assert run.is_alive()
+        time.sleep(1)
+    told = engine.status()
+    assert told["running"] and told["total"] == 8 and told["done"] in (6, 7, 8) and told["rate"] > 0 and other.status()["running"]
+    with pytest.raises(Busy):
+        other.index(str(folder))
+    assert engine.cancel() and not other.cancel()
+    run.join(120)
+    assert out["status"] == "cancelled" and out["indexed"] == 7 and not engine.status()["running"]
+    assert {k for k, v in states(other).items() if v[0] != "done"} == {"slow.mp4"} and other.search("gardening")["total"] == 1
+    gate.write_text("")
+    again = engine.index(str(folder))
+    assert (again["status"], again["queued"], again["indexed"]) == ("finished", 1, 1) and {v[0] for v in states(other).values()} == {"done"}
+    assert [r.status for r in other.store.read("runs").orderBy("run_id").collect()] == ["cancelled", "finished"]
+    assert set(again) == {"status", "scanned", "new", "changed", "unchanged", "queued", "unsupported", "processed", "reused", "indexed", "failed"}
+
+
+def test_a_failed_run_gives_its_claim_back_and_deltas_stay_small(spark, media, tmp_path, monkeypatch):
+    folder = media({f"a/{k}.png": f"IMG\n{k} 5 250" for k in range(40)})
+    engine = Engine(spark, str(tmp_path / "index"), Settings(), PlainEmbedder(), OPENERS, pause=0.0)
+    engine.index(str(folder))
+    media({"a/3.png": "IMG\n3 5 251 "})
+    with monkeypatch.context() as m:
+        m.setattr(engine_module.analysis, "analysed", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            engine.index(str(folder))
+    assert not engine.status()["running"]
+    assert engine.index(str(folder))["indexed"] == 1
+    last = {name: spark.read.parquet(layers[-1]["rows"]).count() for name, layers in engine.store.manifest().items() if len(layers) > 1}
+    assert last["files"] == 1 and all(n <= 1 for n in last.values())
+    assert engine.store.read("assets").count() == engine.store.read("vectors").count() == 40
+
+
+def test_packed_vectors_find_the_same(spark, media, tmp_path):
+    folder = media({f"a/{k}.png": f"IMG\n{250 - k} {k} 5" for k in range(30)})
+    plain, packed = (Engine(spark, str(tmp_path / "index"), Settings(), PlainEmbedder(), OPENERS, pause=0.0, packed=size) for size in (1 << 40, 0))
+    plain.index(str(folder))
+    for query in ("red", "green picture"):
+        one, two = plain.search(query, limit=100), packed.search(query, limit=100)
+        assert one["results"] == two["results"] and one["total"] == two["total"] == (30 if query == "red" else 0)
+    assert len([x for x in os.listdir(tmp_path / "index" / "packed") if not x.startswith(".")]) == 1

@@ -126,6 +126,14 @@ def test_documents(spark, tmp_path):
     assert [(r.section, r.query, r.types) for r in rows] == [("One", "a red car", None), ("One", "solar", ["pdf"]), ("Two", "<<< later >>>", None)]
     (tmp_path / "m.json").write_text('{"a/x.png": {"title": "X", "categories": ["c", "d"], "description": "y"}}')
     assert documents.metadata_text(documents.manifest(spark, str(tmp_path / "m.json"))).first().text == "X c d y"
+    schema = "n int, name string, type string, confidence double, size bigint, duration double, pages int, duplicates int, match struct<kind:string,ref:double>, said struct<ref:double,snippet:string>"
+    shown = [
+        (1, "a.png", "image", 0.995, 900, None, None, 2, ("image", None), (None, None)), (2, "b.mp4", "video", 0.5, 2_500_000, 75.0, None, 0, ("frame", 61.5), (None, None)), (3, "c.mp4", "video", 0.4, 999, 5.0, None, 0, ("transcript", 1.0), (1.0, "said")),
+        (4, "d.pdf", "pdf", 0.9, 1500, None, 1, 0, ("page", 1.0), (3.0, " two\n words " + "x" * 200)), (5, "e.pdf", "pdf", 0.9, 1500, None, 4, 1, ("meta", None), (None, "title")),
+    ]
+    lines = [r.line for r in spark.createDataFrame(shown, schema).select("n", documents.report_line(F.col("n")).alias("line")).orderBy("n").collect()]
+    assert lines[0] == "1. **a.png** — Image **100%** — 900 B — 3 copies" and lines[1] == "2. **b.mp4** — Video **50%** — 2.5 MB — 1:15 — match at **1:02**" and lines[2].endswith("0:05 — match n/a")
+    assert lines[3] == '4. **d.pdf** — PDF **90%** — 2 KB — 1 page — visual match on page 1 — text on page 3: "two words ' + "x" * 150 + '…"' and lines[4].endswith('4 pages — text on page -: "title…" — 2 copies')
     table = documents.markdown_table(spark.createDataFrame([(1, None)], "a int, b string"))
     assert table.splitlines() == ["| a | b |", "| --- | --- |", "| 1 |  |"]
 
