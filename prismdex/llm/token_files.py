@@ -26,7 +26,7 @@ from prismdex.llm.wavelet import Shard, pack
 SHARD_TOKENS = 1 << 20
 END = 0
 #: Pieces of text whose ids a worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
 #: Pieces that are encoded together, as lines of one text.
 LINES = 512
 
