@@ -13,6 +13,7 @@ from prismdex.plans import oracles as o
 from prismdex.operators.vector_store import VectorStore
 from prismdex.plans import sample, search
 from prismdex.sources import scratch
+from prismdex.sources.snapshots import Delta, Snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -266,6 +267,18 @@ def change_classification(spark, d):
     return _changes(spark, d).select("path", "change", "state", "error", "attempts", "size", "present")
 
 
+@query(f"WITH {o.changes(False, False)} SELECT path, state, error, attempts, size, present FROM next")
+def snapshot_deltas(spark, d):
+    """Files after a listing, stored as the rows that it changed and merged with the version before on reading."""
+    store = Snapshots(spark, scratch.new_path(spark, "snapshots"), most_share=1.0)
+    store.commit({"files": sample.files(spark, d).select(*ingest.FILE_COLUMNS)})
+    was = store.read("files").select(F.col("path").alias("was_path"), F.struct(*ingest.FILE_COLUMNS).alias("was"))
+    now = _changes(spark, d).select(*ingest.FILE_COLUMNS)
+    changed = now.join(was, F.col("path") == F.col("was_path"), "left").where(~F.struct(*ingest.FILE_COLUMNS).eqNullSafe(F.col("was")))
+    store.commit({"files": Delta(changed.select(*ingest.FILE_COLUMNS), "path")})
+    return store.read("files").select("path", "state", "error", "attempts", "size", "present")
+
+
 @query(f"WITH {o.changes(True, False)} SELECT change, state, count(*) AS n FROM next GROUP BY ALL")
 def change_retry_failed(spark, d):
     return _changes(spark, d, retry_failed=True).groupBy("change", "state").agg(F.count("*").alias("n"))
