@@ -410,3 +410,43 @@ def report(segments: DataFrame) -> DataFrame:
 
 def op11_conversations(spark, sf_dir) -> DataFrame:
     return report(repair(damaged(table(spark, sf_dir, "conversations"))))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list_transform(range(256), lambda i : list_reduce(range(8), lambda c, k : CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, CAST(i AS BIGINT))) AS t),
+given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(list_reduce(list_transform(string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), ''), lambda c : CAST(ascii(c) AS BIGINT)),
+    lambda acc, b : xor(acc >> 8, t[(xor(acc, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS k FROM conversations, tab),
+turns AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM given, LATERAL (SELECT unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END))) WHERE k <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text)) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM turns),
+marked AS (
+  SELECT *, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS o,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+goes(g, r, h) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+filled(g, h, ins) AS (VALUES (0, 0, ''), (0, 2, 'I'), (0, 3, 'II'), (1, 1, ''), (1, 2, 'I'), (1, 3, 'II'), (2, 2, ''), (2, 3, 'I'), (3, 3, ''), (3, 2, 'I')),
+edits AS (
+  SELECT f.g, f.h, 'x' AS r, ins || 'D' AS labels, 2 + 5 * length(ins) AS cost FROM filled f
+  UNION ALL SELECT f.g, a.h, a.r, ins || 'K', 5 * length(ins) FROM filled f JOIN goes a ON a.g = f.h
+  UNION ALL SELECT f.g, a.h, 'R', ins || 'R', 1 + 5 * length(ins) FROM filled f JOIN goes a ON a.g = f.h AND a.r <> 's'),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS g, {'cost': 0, 'labels': ''} AS w FROM (SELECT DISTINCT conv_id FROM turns)
+  UNION ALL
+  SELECT m.conv_id, m.i, e.h, min({'cost': w.w.cost + e.cost + CASE WHEN fault = 'truncated' AND e.r <> 'x' THEN 5 ELSE 0 END, 'labels': w.w.labels || e.labels})
+  FROM walk w JOIN marked m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.i = w.i + 1 JOIN edits e ON e.g = w.g AND (e.r = 'x' OR fault NOT IN ('blank', 'duplicate') AND e.r IN (m.o, 'R')) GROUP BY m.conv_id, m.i, e.h),
+ended AS (
+  SELECT conv_id, min({'cost': w.w.cost + 5 * length(ins), 'labels': w.w.labels || ins}) AS w FROM walk w JOIN filled f ON f.g = w.g AND f.h IN (0, 3)
+  WHERE i = (SELECT count(*) FROM placed p WHERE p.conv_id IS NOT DISTINCT FROM w.conv_id) GROUP BY conv_id),
+steps AS (SELECT conv_id, n, substr(w.labels, CAST(n AS INT), 1) AS e, left(w.labels, CAST(n AS INT)) AS upto, length(replace(w.labels, 'D', '')) % 2 AS odd FROM ended, LATERAL (SELECT unnest(range(1, length(w.labels) + 1)) AS n)),
+kept AS (SELECT conv_id, n, e, length(replace(upto, 'I', '')) AS i, CASE WHEN (length(replace(upto, 'D', '')) - odd) % 2 = 1 THEN 'user' ELSE 'assistant' END AS named FROM steps WHERE e <> 'D'),
+repaired AS (
+  SELECT k.conv_id, string_agg(CASE e WHEN 'K' THEN p.role ELSE named END || ':' || CASE e WHEN 'I' THEN '' ELSE p.text END, chr(10) ORDER BY n) AS t FROM kept k LEFT JOIN placed p ON p.conv_id IS NOT DISTINCT FROM k.conv_id AND p.i = k.i GROUP BY k.conv_id),
+told AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (before IS NOT NULL AND before || o NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(e.w.cost, 0) AS BIGINT) AS cost, coalesce(e.w.labels, '') AS audit, sha256(coalesce(r.t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN told t ON t.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from prismdex.llm.classifier import op13_classifier
-from prismdex.llm.conversations import op11_conversations
+from prismdex.llm.conversations import OP11_SQL, op11_conversations
 from prismdex.llm.decontaminate import OP7_SQL, op7_decontaminate
 from prismdex.llm.fill_middle import OP12_SQL, op12_fill_middle
 from prismdex.llm.licenses import OP9_SQL, op9_licenses
@@ -39,6 +39,7 @@ ORACLES = {
     "op7_decontaminate": OP7_SQL,
     "op8_warc_audit": OP8_SQL,
     "op9_licenses": OP9_SQL,
+    "op11_conversations": OP11_SQL,
     "op12_fill_middle": OP12_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
