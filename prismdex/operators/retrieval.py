@@ -44,10 +44,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def allowed_assets(assets: DataFrame, files: DataFrame, pipeline: str, filters: Filters = Filters()) -> DataFrame:
+def allowed_assets(assets: DataFrame, files: DataFrame, pipeline: str, filters: Filters = Filters(), find: Callable[[str], DataFrame] | None = None) -> DataFrame:
     """asset_id of ready assets of the current pipeline with a present file, under the filters.
 
-    folder: part of a path (file name included), without regard to the case of A-Z.  Filters reach the scans; files are a semi-join.
+    folder: part of a path (file name included), without regard to the case of A-Z; ``find`` gives the present files whose path has it (an index), else all paths are
+    read.  Filters reach the scans; files are a semi-join.
     """
     keep = (F.col("status") == "ready") & (F.col("pipeline") == pipeline)
     if filters.types:
@@ -60,7 +61,9 @@ def allowed_assets(assets: DataFrame, files: DataFrame, pipeline: str, filters:
         if high is not None:
             keep &= F.col(column) <= whole(high)
     there = files.where("present")
-    if filters.folder:
+    if filters.folder and find:
+        there = find(filters.folder)
+    elif filters.folder:
         there = there.where(F.contains(ascii_lower(F.col("path")), ascii_lower(F.lit(filters.folder))))
     return assets.where(keep).select("asset_id").join(there.select("asset_id"), "asset_id", "left_semi")
 

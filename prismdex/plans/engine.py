@@ -15,6 +15,7 @@ from prismdex import schemas
 from prismdex.functions import text as text_
 from prismdex.functions.stems import porter, stemmed_words
 from prismdex.operators import catalogue, ingest, retrieval, text_index
+from prismdex.operators.path_index import PathIndex
 from prismdex.operators.vector_store import VectorStore
 from prismdex.plans import analysis
 from prismdex.settings import Settings
@@ -27,7 +28,7 @@ from prismdex.sources.snapshots import Claim, Delta, Snapshots
 
 #: Contents that are analysed between two commits; share of withdrawn texts from which the text index is built anew.
 BATCH, WORN = 50_000, 0.3
-#: Bytes of vectors from which searches go through packed blocks; fewer are scanned.
+#: Bytes of vectors, or of the table of files, from which searches go through packed blocks or the index of paths; fewer are scanned.
 PACKED = 64 << 20
 
 
@@ -133,13 +134,21 @@ class Engine:
         store = VectorStore.opened(vectors.select("vid", "asset_id", "vector"), f"{self.store.root}/packed", hashlib.sha256(depends.encode()).hexdigest()[:32])
         return store.nearest(asked, allowed)[0]
 
+    def _find(self) -> Callable[[str], DataFrame] | None:
+        """Present files by a part of their path, from an index that is made once for a version of the files; None where they are few."""
+        layers = self.store.manifest()["files"]
+        if sum(x["bytes"] for x in layers) < self.packed:
+            return None
+        files = self.store.read("files").where("present").select("path", "asset_id")
+        return PathIndex.opened(files, f"{self.store.root}/paths", hashlib.sha256(json.dumps(layers).encode()).hexdigest()[:32]).find
+
     def search(self, query: str, filters: retrieval.Filters = retrieval.Filters(), limit: int = 24, offset: int = 0) -> dict:
         """The envelope of a search: query, total, offset, limit, intent, facets, signals, took_ms and results."""
         query, began = (query or "").strip(), time.perf_counter()
         if not query:
             raise ValueError("empty query")
         assets, files, vectors = (self.store.read(n) for n in ("assets", "files", "vectors"))
-        allowed = retrieval.allowed_assets(assets, files, self.embedder.pipeline, filters).persist()
+        allowed = retrieval.allowed_assets(assets, files, self.embedder.pipeline, filters, self._find() if filters.folder else None).persist()
         spaces, asked = self._spaces(query)
         hits = {}
         if allowed.limit(1).count():

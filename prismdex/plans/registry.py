@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from prismdex.functions import media, stems, text as text_, vectors
 from prismdex.operators import catalogue, evaluation, folds, ingest, retrieval, text_index
 from prismdex.plans import oracles as o
+from prismdex.operators.path_index import PathIndex
 from prismdex.operators.vector_store import VectorStore
 from prismdex.plans import sample, search
 from prismdex.sources import scratch
@@ -199,6 +200,26 @@ def folder_substring(spark, d):
     return search.allowed(spark, d, retrieval.Filters(folder="/EN/1"))
 
 
+@query(f"""WITH {o.FILES}, asked AS (
+  SELECT doc_id AS qid, CASE doc_id // 100 % 4 WHEN 0 THEN '/' || upper(lang) || '/' || doc_id % 97 WHEN 1 THEN right(CAST(doc_id AS VARCHAR), 2) || '.J' WHEN 2 THEN '.p' ELSE source END AS pattern FROM documents WHERE doc_id % 100 = 0)
+SELECT qid, count(*) AS n, min(path) AS first_path, count(DISTINCT asset_id) AS assets FROM asked JOIN files ON present AND contains(translate(path, {o.UPPER}, {o.LOWER}), translate(pattern, {o.UPPER}, {o.LOWER})) GROUP BY qid""")
+def path_index_substrings(spark, d):
+    """Files by parts of their paths, from the index of paths; the parts follow from every hundredth document: beginnings of names, ends, two characters, folders."""
+    index = PathIndex.opened(sample.files(spark, d).where("present").select("path", "asset_id"), scratch.new_path(spark, "paths"), "v")
+    kind, digits = F.floor(F.col("doc_id") / 100) % 4, F.col("doc_id").cast("string")
+    pattern = F.when(kind == 0, F.concat(F.lit("/"), F.upper("lang"), F.lit("/"), (F.col("doc_id") % 97).cast("string"))).when(kind == 1, F.concat(F.right(digits, F.lit(2)), F.lit(".J"))).when(kind == 2, ".p").otherwise(F.col("source"))
+    asked = sample.table(spark, d, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), pattern.alias("pattern"))
+    return index.search(asked).groupBy("qid").agg(F.count("*").alias("n"), F.min("path").alias("first_path"), F.count_distinct("asset_id").alias("assets"))
+
+
+@query(ORACLES["folder_substring"])
+def path_index_folder(spark, d):
+    """The assets of ``folder_substring`` with the files from the index of paths."""
+    files = sample.files(spark, d)
+    index = PathIndex.opened(files.where("present").select("path", "asset_id"), scratch.new_path(spark, "paths"), "v")
+    return retrieval.allowed_assets(sample.assets(spark, d), files, sample.PIPELINE, retrieval.Filters(folder="/EN/1"), index.find)
+
+
 # ------------------------------------------------------------------ catalogue
 @query(f"WITH {o.FILES} SELECT state, count(*) AS n FROM files WHERE present GROUP BY state")
 def files_by_state(spark, d):
