@@ -48,10 +48,11 @@ class Engine:
     def index(self, media_dir: str | None = None, retry_failed: bool = False, force: bool = False, reanalyse: bool = False) -> dict:
         return self.apply(listing_.listing(self.spark, media_dir or self.settings.media_dir), retry_failed, force, reanalyse)
 
-    def apply(self, listing: DataFrame, retry_failed: bool = False, force: bool = False, reanalyse: bool = False) -> dict:
+    def apply(self, listing: DataFrame, retry_failed: bool = False, force: bool = False, reanalyse: bool = False, complete: bool = True) -> dict:
         """One run over a listing: classify, hash, reuse, analyse, store, collect garbage; returns its counters and status.
 
-        force queues every supported file, but content that is ready is linked and not analysed again unless ``reanalyse`` is set too.
+        force queues every supported file, but content that is ready is linked and not analysed again unless ``reanalyse`` is set too.  Files that a complete listing
+        lacks are gone; one of arrivals says nothing about others.
         """
         run = _Run(self, self.store.claim())
         context = self.spark.sparkContext
@@ -59,7 +60,7 @@ class Engine:
         self._tag, self._progress = f"prismdex-{run.claim.owner}", {"began": run.began, "total": None, "done": 0}
         context.addJobTag(self._tag)
         try:
-            run.classify(listing, retry_failed, force, reanalyse)
+            run.classify(listing, retry_failed, force, reanalyse, complete)
             for part in run.parts():
                 if self._stop.is_set():
                     break
@@ -201,7 +202,7 @@ class _Run:
         self.engine, self.store, self.claim, self.began = engine, engine.store, claim, time.time()
         self.spark, self.counters, self.first = engine.spark, {}, True
 
-    def classify(self, listing: DataFrame, retry_failed: bool, force: bool, reanalyse: bool) -> None:
+    def classify(self, listing: DataFrame, retry_failed: bool, force: bool, reanalyse: bool, complete: bool) -> None:
         """What has changed, and which contents are to be analysed; counted while it is written."""
         self.pipeline = self.engine.embedder.pipeline
         self.old, self.assets = self.store.read("files"), self.store.read("assets")
@@ -209,7 +210,7 @@ class _Run:
         seen, found = Observation(), Observation()
         classified = scratch.written(ingest.classified(files, listing, retry_failed, force).observe(seen, *ingest.counters()), "classified")
         self.counters |= seen.get
-        self.files = ingest.mark_missing(classified)
+        self.files = ingest.mark_missing(classified) if complete else classified
         pending = self.files.where("present AND state = 'pending'").select("path", "ext", "size")
         self.pending = scratch.written(listing_.hashed(pending), "pending")
         reused, work = ingest.split_reuse(self.pending.where("sha256 IS NOT NULL"), self.assets.limit(0) if reanalyse else self.assets, self.pipeline)

@@ -16,10 +16,14 @@ def listings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def index_stream(stream: DataFrame, engine: Engine, checkpoint: str, **options) -> StreamingQuery:
-    """Applies what has arrived and ends; a batch that is given again after a failure only finds unchanged files."""
+    """Applies what has arrived and ends; a batch that is given again after a failure only finds unchanged files.
+
+    The stream is one of whole listings (``listings``), or of changed files (``sources.listing.arrivals``) with ``complete=False``.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
-        engine.apply(batch.persist(), **options)
+        if options.get("complete", True) or not batch.persist().isEmpty():  # without arrivals there is nothing to do
+            engine.apply(batch.persist(), **options)
         batch.unpersist()
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
