@@ -40,6 +40,7 @@ def main(argv: list[str] | None = None) -> int:
         one.add_argument(f"--{name}", type=float)
     for name in ("stats", "files", "duplicates", "summary"):
         sub.add_parser(name)
+    sub.add_parser("thumbnails").add_argument("folder")
     for name, files in (("evaluate", ("queries", "manifest")), ("calibrate", ("queries",)), ("report", ("cases",))):
         one = sub.add_parser(name)
         for file in files:
@@ -63,6 +64,9 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "report":
         print(runners.report(engine, args.cases, args.k))
         return 0
+    elif args.command == "thumbnails":
+        engine.export_thumbnails(args.folder)
+        return 0
     elif args.command == "summary":
         rows = listing(spark, settings.media_dir).withColumn("folder", F.substring("folder", len(settings.media_dir.rstrip("/")) + 2, 1 << 20))
         print(markdown_table(dataset_summary(rows).orderBy("section", "name")))

@@ -20,7 +20,7 @@ from prismdex.operators.vector_store import VectorStore
 from prismdex.plans import analysis
 from prismdex.settings import Settings
 from prismdex.sources import listing as listing_
-from prismdex.sources import scratch
+from prismdex.sources import committed, scratch
 from prismdex.sources.decoders import PAUSE
 from prismdex.sources.embedders import Embedder
 from prismdex.sources.embedders import embedder as make_embedder
@@ -114,6 +114,11 @@ class Engine:
         found = self.store.read("thumbs").where(F.col("path") == path).select("jpeg").first()
         return found and bytes(found.jpeg)
 
+    def export_thumbnails(self, folder: str) -> None:
+        """The JPEG files of the newest version as one batch of a folder, named after the version: done once for it, and in place of batches before it."""
+        version = max(self.store.versions(), default=0)
+        committed.write(self.store.read("thumbs").where("jpeg IS NOT NULL").select(F.col("path").alias("name"), F.col("jpeg").alias("content")), folder, "files", f"v{version:012d}", "overwrite")
+
     def _cuts(self, signal: str) -> tuple[float, float]:
         """Floor and margin of a signal: those of the settings, else of the embedder."""
         floor, margin = getattr(self.settings, f"{signal}_min_score"), getattr(self.settings, f"{signal}_margin")

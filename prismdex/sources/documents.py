@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from prismdex.functions.text import display_size, minutes
 from prismdex.schemas import EVAL_QUERIES, MANIFEST_ENTRY
+from prismdex.sources import committed
 
 CASES = "map<string,array<string>>"
 #: Characters of a text that a line of a report shows (fixed value).
@@ -41,8 +42,9 @@ def report_cases(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("section_no", "section", "position", F.when(is_object, as_object["query"]).otherwise(F.col("item")).alias("query"), F.when(is_object, as_object["types"]).alias("types"))
 
 
-def append_attributions(rows: DataFrame, path: str) -> None:
-    rows.select("file", "title", "author", "license", "source_url").write.mode("append").option("header", True).csv(path)
+def append_attributions(rows: DataFrame, path: str, batch: str | None = None) -> None:
+    """Rows that come all or not at all, and once under one name of a batch."""
+    committed.write(rows.select("file", "title", "author", "license", "source_url"), path, "csv", batch)
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:

@@ -17,6 +17,7 @@ from prismdex.plans import engine as engine_module
 from prismdex.plans import runners
 from prismdex.plans.engine import Engine
 from prismdex.settings import Settings
+from prismdex.sources import committed
 from prismdex.sources.embedders import PlainEmbedder
 from prismdex.sources.listing import listing
 from prismdex.sources.snapshots import Busy
@@ -148,6 +149,10 @@ def test_thumbnails_and_speech(spark, media, tmp_path):
     assert engine(openers).index(str(folder))["indexed"] == 2
     top = engine(openers).search("red picture")["results"][0]
     assert engine(openers).thumbnail(top["thumb"]) == b"JPEG of 7" and engine(openers).thumbnail("none") is None
+    for _ in range(2):
+        engine(openers).export_thumbnails(str(tmp_path / "thumbs"))
+    files = {r.name: bytes(r.content) for r in committed.latest(engine(openers).spark, str(tmp_path / "thumbs")).collect()}
+    assert files == {r.path: bytes(r.jpeg) for r in engine(openers).store.read("thumbs").collect()} and files[top["thumb"]] == b"JPEG of 7" and len(os.listdir(tmp_path / "thumbs")) == 1
     talk = engine(openers).search("gardens")["results"][0]
     assert talk["type"] == "video" and talk["thumb"] is None and talk["text_match"]["kind"] == "transcript" and talk["text_match"]["ref"] == 1.3
     (folder / "a/red.png").unlink(), (folder / "b/red.png").unlink()
