@@ -5,10 +5,15 @@ from __future__ import annotations
 import random
 
 import pytest
+from fakes import OPENERS
 from pyspark.sql import functions as F
 
 from prismdex.operators import path_index
 from prismdex.operators.path_index import PathIndex
+from prismdex.operators.retrieval import Filters
+from prismdex.plans.engine import Engine
+from prismdex.settings import Settings
+from prismdex.sources.embedders import PlainEmbedder
 
 ODD = ["/A/Foo.JPG", "/a/foo.jpg", "/É/é.png", "/x\0y", "", "a", "ab", "/50%_off\\now.pdf", "/\U0001f600/smile.mp4", "/a/foo.jpg", None, "/" + "long" * 500, "/aaaa/aaaaa"]
 PATTERNS = ["foo", "FOO", "/", "a", "AB", "É", "é", "\0", "x\0y", "%_", "50%_OFF\\", "\U0001f600/s", "ngl", "aaaaaa", "nowhere", "zz", ".jp", "e/4", "", None]
@@ -54,3 +59,13 @@ def test_a_signature_is_read_again_and_no_rows_are_an_index(spark, index, tmp_pa
     assert PathIndex.opened(other, root, signature).find("/other").count() == 0 and PathIndex.opened(other, root, "v2").find("/other").count() == 1
     empty = PathIndex.opened(other.limit(0), str(tmp_path), "v")
     assert empty.find("oth").count() == 0 and empty.search(other.select(F.col("asset_id").alias("qid"), F.col("path").alias("pattern"))).count() == 0
+
+
+def test_searches_of_the_engine_use_it(spark, tmp_path):
+    root = tmp_path / "media"
+    for k, name in enumerate(("Trip/one.png", "home/trip.png", "home/two.png")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"IMG\n250 {k} 5")
+    engine = Engine(spark, str(tmp_path / "index"), Settings(), PlainEmbedder(), OPENERS, pause=0.0, packed=0)
+    engine.index(str(root))
+    assert {r["name"] for r in engine.search("red", Filters(folder="TRIP"))["results"]} == {"one.png", "trip.png"} and (tmp_path / "index" / "paths").exists()
