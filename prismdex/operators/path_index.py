@@ -66,9 +66,16 @@ class PathIndex:
             found = found.unionByName(asked.where(F.length("pattern") == n).join(begins, "pattern"))
         return found
 
+    def matches(self, patterns: DataFrame) -> DataFrame:
+        """(pattern in lower case, path, carried columns) of every path that contains a pattern (pattern): each distinct pattern is looked up once, however often it is asked."""
+        lower = patterns.select(ascii_lower(F.col("pattern")).alias("pattern")).distinct()
+        return self._verified(self.candidates(lower.select(F.col("pattern").alias("qid"), "pattern"))).drop("qid")
+
     def search(self, patterns: DataFrame) -> DataFrame:
         """(qid, pattern in lower case, path, carried columns) of every path that contains a pattern."""
-        return self._verified(self.candidates(patterns))
+        asked = patterns.select("qid", ascii_lower(F.col("pattern")).alias("pattern"))
+        found = asked.join(self.matches(patterns), "pattern")
+        return found.select("qid", "pattern", *[c for c in found.columns if c not in ("qid", "pattern")])
 
     def find(self, pattern: str) -> DataFrame:
         """(path, carried columns) of the paths that contain one pattern.

@@ -69,3 +69,12 @@ def test_searches_of_the_engine_use_it(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "index"), Settings(), PlainEmbedder(), OPENERS, pause=0.0, packed=0)
     engine.index(str(root))
     assert {r["name"] for r in engine.search("red", Filters(folder="TRIP"))["results"]} == {"one.png", "trip.png"} and (tmp_path / "index" / "paths").exists()
+
+
+def test_a_pattern_that_is_asked_often_is_looked_up_once(spark, paths, index, monkeypatch):
+    looked = []
+    monkeypatch.setattr(PathIndex, "candidates", lambda self, patterns, own=PathIndex.candidates: looked.append(patterns.count()) or own(self, patterns))
+    asked = spark.createDataFrame([(q, ".JP" if q % 2 else ".jp") for q in range(50)] + [(50, None), (51, "")], "qid int, pattern string")
+    rows = sorted((r.qid, r.asset_id) for r in index.search(asked).collect())
+    own = [k for k, p in enumerate(paths) if ".jp" in lower(p or "")]
+    assert rows == [(q, k) for q in range(50) for k in own] and len(looked) == 1 and looked[0] <= 3
