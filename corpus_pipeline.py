@@ -22,7 +22,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word similarity of 0.8 or more): the one with the smallest doc_id; rows without doc_id come after all others."""
+    """One document of each group of near-duplicates (SimHash fingerprints within 2 bits, or five-word similarity of 0.8 or more): the one with the smallest doc_id; rows without doc_id come after all others."""
     return keep_one_near(docs)
 
 

@@ -1,15 +1,15 @@
-"""Near copies of texts by the Jaccard similarity of their sets of shingles.
+"""Near copies of texts by SimHash, and by the Jaccard similarity of their sets of shingles.
 
-A 64-bit SimHash cannot find them: texts of similarity 0.8 lie about 10 bits apart and often 16, where unrelated texts begin to
-meet, so no set of anchors is both short and complete.  Instead:
-
-1. Buckets.  Texts, known by 128 bits of their SHA-256, that agree in one of ``BANDS`` groups of ``ROWS`` least hashes (MinHash) share a bucket.  A
+1. SimHash.  Texts whose 64-bit fingerprints differ at ``simhash`` 's 2 bits or fewer are linked, as that operator does it.  Alone it finds about half of the near copies:
+   texts of similarity 0.8 lie about 10 bits apart and often 16, where unrelated texts begin to meet, so no set of anchors is both short and complete.
+   The other steps add the rest to its groups.
+2. Buckets.  Texts, known by 128 bits of their SHA-256, that agree in one of ``BANDS`` groups of ``ROWS`` least hashes (MinHash) share a bucket.  A
    pair of similarity 0.8 shares none with probability 0.00006, one of 0.9 with less than 1e-10.
-2. Stars.  Every text is compared, by exact similarity, with the least id of each of its buckets; components of the links that hold are groups.
-3. Rest.  A bucket is open while two of its texts, neither of them the least, lie in different groups; only texts of open buckets are compared with each other,
+3. Stars.  Every text is compared, by exact similarity, with the least id of each of its buckets; components of all links so far are groups.
+4. Rest.  A bucket is open while two of its texts, neither of them the least, lie in different groups; only texts of open buckets are compared with each other,
    in a walk that leaves out pairs of one group.  Equal buckets are walked once; one of over ``GROUP`` texts is dealt out by pairs of blocks.
 
-So groups are made of links that were verified, and chance meetings do not chain.
+So groups are made of links of fingerprints and links that were verified, and chance meetings in buckets do not chain.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ from pyspark.sql import functions as F
 
 from prismdex.llm import textblocks as tb
 from prismdex.llm.components import components
+from prismdex.llm.simhash import block_fingerprints, linked_prints
 from prismdex.llm.tables import boxed, release, unboxed, written
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
 LEAST = (4, 5)
 BANDS, ROWS = 32, 6
+#: Words of a shingle and seed of the fingerprints, as in ``simhash``.
+PRINTED, SEED = 3, 42
 #: Texts of a group that are compared in one task (two blocks of half as many), and rows that are shingled together.
 GROUP, HELD = 1000, 2000
 #: Texts that are compared with the centre of a star in one task; a larger star is dealt out, with its centre's text to each part.
@@ -57,8 +60,9 @@ def shingle_hashes(raw: np.ndarray, off: np.ndarray, shingle: int = SHINGLE) ->
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys = []
+        keys, prints = [], []
         for raw, off in tb.blocks(batch.column("text"), tb.SMALL):
+            prints.append(block_fingerprints(raw, off, PRINTED, SEED))
             hashes, first = shingle_hashes(raw, off)
             band = np.zeros((len(off) - 1, BANDS), np.uint64)
             for k, factor in enumerate(_FACTORS):
@@ -68,7 +72,8 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(tb.mix(band + np.arange(BANDS, dtype=np.uint64)))
         flat = pa.array(np.concatenate(keys).ravel().view(np.int64) if keys else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * BANDS), flat)
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("place"), lists], ["digest", "place", "keys"])
+        prints = pa.array(np.concatenate(prints).view(np.int64) if prints else np.zeros(0, np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("place"), lists, prints], ["digest", "place", "keys", "print"])
 
 
 def shingle_sets(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,15 +190,30 @@ def _with_texts(rows: DataFrame, on: str, known: DataFrame, texts: DataFrame) ->
     return texts.join(placed, (F.col("digest") == F.col("d")) & F.col("place").eqNullSafe(F.col("l"))).select(*[c for c in rows.columns], "text")
 
 
+def print_links(texts: DataFrame) -> DataFrame:
+    """(a, b) with a < b, written: ids that connect the texts (id, print) whose fingerprints are equal or linked."""
+    least = written(texts.groupBy("print").agg(F.min("id").alias("a")), "prints")
+    linked = linked_prints(least)
+    one, two = (least.select(F.col("print").alias(p), F.col("a").alias(i)) for p, i in (("p", "i"), ("q", "j")))
+    near = linked.select(F.col("a").alias("p"), F.col("b").alias("q")).join(one, "p").join(two, "q").select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"))
+    equal = texts.join(least, "print").where("a <> id").select("a", F.col("id").alias("b"))
+    links = written(near.union(equal), "print-links")
+    release(least, linked)
+    return links
+
+
 def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(known, links), both written, of ``texts`` (digest, place, text).
 
-    known: (id, digest, least) for every distinct text, with its least place.  links: (a, b) with a < b, similar pairs of ids that connect every component of near copies.
+    known: (id, digest, least) for every distinct text, with its least place.  links: (a, b) with a < b, pairs of ids, by fingerprints or similar, that connect every component of near copies.
     """
-    bands = texts.select("digest", "place", "text").mapInArrow(_bands, texts.select("digest", "place").withColumn("keys", F.array().cast("array<long>")).schema)
-    bands = written(bands.groupBy("digest").agg(F.min("place").alias("least"), F.first("keys").alias("keys")).withColumn("id", F.monotonically_increasing_id()), "bands")
+    columns = texts.select("digest", "place").withColumns({"keys": F.array().cast("array<long>"), "print": F.lit(0).cast("long")})
+    bands = texts.select("digest", "place", "text").mapInArrow(_bands, columns.schema)
+    bands = bands.groupBy("digest").agg(F.min("place").alias("least"), F.first("keys").alias("keys"), F.first("print").alias("print"))
+    bands = written(bands.withColumn("id", F.monotonically_increasing_id()), "bands")
     known = bands.select("id", "digest", "least")
     known._written_to = bands._written_to
+    printed = print_links(bands.select("id", "print"))
     keyed = bands.select("id", F.explode("keys").alias("key"))
     # Least ids and sizes are written before they are joined, so that a bucket or star of very many texts can be split there.
     shared = written(keyed.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last"), "shared")
@@ -203,8 +223,8 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
     stars = _with_texts(dealt, "b", known, texts).unionByName(_with_texts(dealt.select("a", "part").distinct(), "a", known, texts).withColumn("b", F.col("a")))
     stars = stars.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a")).select("a", "part", "b", "text")
-    verified = written(stars.mapInArrow(_starred, "a long, b long").distinct(), "verified")
-    release(shared, pairs, parts)
+    verified = written(stars.mapInArrow(_starred, "a long, b long").union(printed).distinct(), "verified")
+    release(shared, pairs, parts, printed)
     # Open buckets: those with texts of different groups besides the centre, which was compared with all.
     roots = written(components(written(verified.select("a", "b"), "links")), "roots")
     rooted = members.join(roots, members["b"] == roots["node"], "left").select("key", F.col("b").alias("id"), F.coalesce("root", "b").alias("root"))
@@ -223,7 +243,7 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def keep_one_near(docs: DataFrame) -> DataFrame:
-    """One row of each component of near copies (five-word Jaccard similarity of 0.8 or more): that of its smallest doc_id.
+    """One row of each component of near copies (fingerprints within 2 bits, or five-word Jaccard similarity of 0.8 or more): that of its smallest doc_id.
 
     Rows are told apart by doc_id and text: different texts that share a doc_id are judged each for itself, and so are rows without
     doc_id, which come after all others.  Null and empty texts are one text, without words like those of white space alone, so one row of all these stays.  Of equal

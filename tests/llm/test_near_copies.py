@@ -12,6 +12,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 import corpus_pipeline
 from prismdex.llm import near_copies
+from prismdex.llm.simhash import fingerprint
 
 SCHEMA = "doc_id long, text string"
 
@@ -118,3 +119,17 @@ def test_walk_leaves_out_pairs_of_one_group():
     assert {tuple(sorted(x)) for x in links} in ({(0, 1), (0, 3)}, {(0, 1), (1, 3)}, {(0, 3), (1, 3)})
     assert near_copies.spanning_links(flat, first, np.array([7, 7, 8, 7])) == []
     assert len(near_copies.spanning_links(flat, first, np.array([7, 7, 8, 9]))) == 1
+
+
+def test_stage_links_texts_whose_fingerprints_meet(spark):
+    """Fingerprints within 2 bits link, as in op1, also where the similarity of sets of shingles is far below 0.8."""
+    rng = random.Random(11)
+    other = lambda k: " ".join(f"{k}{rng.randrange(9000)}" for _ in range(30))
+    same = "red green blue " * 60
+    texts = {k: same + other(f"n{k}x") for k in range(4)} | {k: other(f"m{k}y") for k in range(4, 8)}
+    prints = {r.doc_id: r.print for r in spark.createDataFrame([*texts.items()], SCHEMA).select("doc_id", fingerprint(F.col("text")).alias("print")).collect()}
+    far = [(a, b) for a in texts for b in texts if a < b and ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() > 2]
+    assert {(a, b) for a in texts for b in texts if a < b} - set(far) == {(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)}
+    assert len(shingles(texts[0]) & shingles(texts[1])) * 5 < len(shingles(texts[0]) | shingles(texts[1]))
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([*texts.items()], SCHEMA).repartition(3), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 4, 5, 6, 7]
