@@ -42,31 +42,41 @@ def _kinds(texts: DataFrame) -> tuple[str, str]:
     return texts.schema["vid"].dataType.simpleString(), texts.schema["asset_id"].dataType.simpleString()
 
 
-def _inverted(vids: list, assets: list, words: pa.ListArray, segment: int) -> list[dict]:
-    """The rows of a segment."""
+def _inverted(vids: pa.Array, assets: pa.Array, words: pa.ListArray, segment: int, schema: pa.Schema) -> pa.Table:
+    """The rows of a segment, as columns: postings in order of term and place are one buffer that the blocks share."""
     lengths = np.diff(words.offsets.to_numpy()).astype(np.int64)
     coded = words.flatten().dictionary_encode()
-    n_terms = max(len(coded.dictionary), 1)
     pairs, counts = np.unique(coded.indices.to_numpy().astype(np.int64) * len(lengths) + np.repeat(np.arange(len(lengths)), lengths), return_counts=True)
     term, place = np.divmod(pairs, max(len(lengths), 1))
-    none = dict.fromkeys(("term", "top", "least", "places", "counts", "lengths", "vids", "asset_ids"))
-    rows = [none | {"segment": segment, "n": len(lengths), "words": int(lengths.sum()), "lengths": lengths.astype(np.int32).tobytes(), "vids": vids, "asset_ids": assets}]
-    edge = np.searchsorted(term, np.arange(n_terms + 1))
-    for name, a, b in zip(coded.dictionary.to_pylist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True) if len(coded.dictionary) else ():
-        for i in range(a, b, BLOCK):
-            j = min(i + BLOCK, b)
-            rows.append(none | {"segment": segment, "term": name, "n": j - i, "words": None, "top": int(counts[i:j].max()), "least": int(lengths[place[i:j]].min()), "places": place[i:j].astype(np.int32).tobytes(), "counts": counts[i:j].astype(np.int32).tobytes()})
-    return rows
+    edge = np.searchsorted(term, np.arange(len(coded.dictionary) + 1))
+    many = -(-np.diff(edge) // BLOCK)  # blocks of each term
+    of = np.repeat(np.arange(len(many)), many)
+    first = edge[of] + BLOCK * (np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many))
+
+    def packed(values: np.ndarray) -> pa.Array:
+        offsets = 4 * np.append(first, len(values))
+        return pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(values.astype(np.int32))])
+
+    blocks = {"segment": np.full(len(of), segment), "term": coded.dictionary.take(pa.array(of)), "n": np.diff(np.append(first, len(pairs))), "places": packed(place), "counts": packed(counts)}
+    blocks |= {"top": np.maximum.reduceat(counts, first), "least": np.minimum.reduceat(lengths[place], first)} if len(of) else {"top": [], "least": []}
+    head = {"segment": [segment], "n": [len(lengths)], "words": [int(lengths.sum())], "lengths": [lengths.astype(np.int32).tobytes()], "vids": _one_list(vids), "asset_ids": _one_list(assets)}
+    columns = lambda found, n: pa.table([found[f.name] if f.name in found else pa.nulls(n, f.type) for f in schema], names=schema.names).cast(schema)
+    return pa.concat_tables([columns(head, 1), columns(blocks, len(of))])
+
+
+def _one_list(values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
 def built(texts: DataFrame, run: int = 0, most_texts: int = TEXTS) -> DataFrame:
     """Index rows of texts (vid, asset_id, words: array of terms with repeats), in segments of a task's texts; run: a number that no other rows of the index have.
 
-    A row with null words is no text; a very long text is a segment of its own.  Rows are dealt by bucket of the term and sorted by term.
+    A row with null words is no text; a very long text is a segment of its own.  Rows stay in the task of their segment, sorted by bucket of the term and term: dealing them by
+    ranges would make the index twice, once to find the ranges.
     """
     schema = index_schema(*_kinds(texts))
-    arrow = to_arrow_schema(schema)
     names = [f for f in schema.names if f != "bucket"]
+    out = to_arrow_schema(StructType([schema[c] for c in names]))
 
     def run_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held = (run << 40) | (TaskContext.get().partitionId() << 20), []
@@ -76,10 +86,9 @@ def built(texts: DataFrame, run: int = 0, most_texts: int = TEXTS) -> DataFrame:
             table = pa.Table.from_batches(held).combine_chunks()
             words = table["words"].combine_chunks()
             words = pa.array(words.to_pylist(), words.type) if words.offset else words
-            rows = _inverted(table["vid"].to_pylist(), table["asset_id"].to_pylist(), words, number)
+            rows = _inverted(table["vid"].combine_chunks(), table["asset_id"].combine_chunks(), words, number, out)
             number, held = number + 1, []
-            for k in range(0, len(rows), 4096):
-                yield pa.RecordBatch.from_pydict({c: [r[c] for r in rows[k : k + 4096]] for c in names}, pa.schema([arrow.field(c) for c in names]))
+            yield from rows.to_batches(max_chunksize=4096)
 
         size = 0
         for batch in batches:
@@ -99,7 +108,7 @@ def built(texts: DataFrame, run: int = 0, most_texts: int = TEXTS) -> DataFrame:
 
     rows = texts.where("words IS NOT NULL").select("vid", "asset_id", "words").mapInArrow(run_, StructType([schema[c] for c in names]))
     rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise((F.crc32("term") % BUCKETS).cast("int"))).select(*schema.names)
-    return rows.repartitionByRange("bucket", "term", "segment").sortWithinPartitions("bucket", "term", "segment")
+    return rows.sortWithinPartitions("bucket", "term", "segment")
 
 
 def withdrawn(index: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -116,48 +125,68 @@ def impact(count, length, mean: float):
 
 
 class Postings:
-    """Blocks of one term in a segment."""
+    """Blocks of one term in a segment, in order of place."""
 
     def __init__(self, rows: list[tuple]) -> None:
         self.top, self.least = (np.array([r[k] for r in rows]) for k in (0, 1))
-        self.blocks = [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.int32)) for r in rows]
+        self.places, self.counts = (np.concatenate([np.frombuffer(r[k], np.int32) for r in rows]) for k in (2, 3))
+        self.edges = np.cumsum([0, *[len(r[2]) // 4 for r in rows]])
+        self.known: tuple | None = None
 
     def bounds(self, mean: float) -> np.ndarray:
         return impact(self.top, self.least, mean)
 
+    def impacts(self, lengths: np.ndarray, mean: float) -> tuple[np.ndarray, np.ndarray]:
+        """(bounds of the blocks, impacts of the postings), made once for all queries of a segment."""
+        if self.known is None or self.known[0] is not lengths or self.known[1] != mean:
+            self.known = lengths, mean, self.bounds(mean), impact(self.counts, lengths[self.places], mean)
+        return self.known[2:]
+
+
+def _low(scores: np.ndarray, assets: np.ndarray, most: int) -> float:
+    """The ``most``-th best score of an asset; 0 if fewer have one."""
+    some = np.flatnonzero(scores > 0)
+    own, values = assets[some], scores[some]
+    if len(own) > 1 and not (own[1:] > own[:-1]).all():
+        order = np.argsort(own, kind="stable")
+        own, values = own[order], values[order]
+        values = np.maximum.reduceat(values, np.flatnonzero(np.append(True, own[1:] != own[:-1])))
+    return np.partition(values, len(values) - most)[len(values) - most] if len(values) >= most else 0.0
+
 
 def best_texts(terms: list[tuple[float, Postings]], lengths: np.ndarray, assets: np.ndarray, live: np.ndarray | None, mean: float, most: int) -> tuple[np.ndarray, int]:
     """(scores, blocks read): scores of the texts of a segment for one query; those below the ``most``-th best asset may be too low, all others are exact.
 
     terms: (weight, postings); assets: the asset of each text as a number; live: which texts count (None: all).
     """
-    bounds = [w * p.bounds(mean) for w, p in terms]
+    impacts = [p.impacts(lengths, mean) for _, p in terms]
+    bounds = [w * own for (w, _), (own, _) in zip(terms, impacts, strict=True)]
     order = sorted(range(len(terms)), key=lambda k: -bounds[k].max())
     rest = np.append(np.cumsum([bounds[k].max() for k in order][::-1])[::-1], 0.0)  # of this term and all after it
     scores, low, read = np.zeros(len(lengths)), -np.inf, 0
     for step, k in enumerate(order):
         weight, postings = terms[k]
+        places, parts = postings.places, impacts[k][1]
         only = scores + rest[step] >= low - ROOM if rest[step] < low - ROOM else None  # texts that can still matter
         if only is not None:
             only &= scores > 0
             if not only.any():
                 break
-        for b, (places, counts) in enumerate(postings.blocks):
-            if only is not None:
-                own = only[places]
-                if not own.any():
-                    continue
-                places, counts = places[own], counts[own]
-            elif bounds[k][b] + rest[step + 1] < low - ROOM and not (scores[places] > 0).any():
-                continue
-            read += 1
-            scores[places] += weight * impact(counts, lengths[places], mean)
+            own = only[places]
+            read += int(np.count_nonzero(np.add.reduceat(own, postings.edges[:-1], dtype=np.int64)))
+            places, parts = places[own], parts[own]
+        else:
+            weak = bounds[k] + rest[step + 1] < low - ROOM
+            if weak.any():  # blocks that matter only to texts that have a score already
+                weak &= np.add.reduceat(scores[places] > 0, postings.edges[:-1], dtype=np.int64) == 0
+                own = np.repeat(~weak, np.diff(postings.edges))
+                places, parts = places[own], parts[own]
+            read += len(weak) - int(np.count_nonzero(weak))
+        scores[places] += weight * parts
         if live is not None:
             scores[~live] = 0
-        best = np.zeros(int(assets.max()) + 1 if len(assets) else 0)
-        np.maximum.at(best, assets, scores)
-        if len(best) >= most:
-            reached = np.partition(best, len(best) - most)[len(best) - most]
+        if step + 1 < len(order) and bounds[order[step + 1]].min() + rest[step + 2] < scores.max(initial=0.0):  # else no bound leaves anything out next
+            reached = _low(scores, assets, most)
             low = reached if reached > 0 else low
     return scores, read
 

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,42 @@ def test_blocks_of_one_list_are_left_out():
     other = text_index.Postings([(30, 40, np.arange(128, dtype=np.int32).tobytes(), np.full(128, 30, np.int32).tobytes())])
     _, read = text_index.best_texts([(2.0, other), (1.0, text_index.Postings(rows))], lengths, np.arange(2000), None, 40.0, 50)
     assert read == 2
+
+
+def test_an_index_is_made_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = spark.createDataFrame(corpus(), TEXT).mapInArrow(counted, TEXT)
+    text_index.built(texts, most_texts=100).write.format("noop").mode("overwrite").save()
+    assert seen.value == 700
+
+
+def test_rows_of_a_segment_are_columns():
+    rng = random.Random(3)
+    texts = [[f"w{int(rng.expovariate(0.002))}" for _ in range(rng.randrange(80))] for _ in range(900)] + [["often"]] * 300
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    fields = "segment bigint, term string, n int, words bigint, top int, least int, places binary, counts binary, lengths binary, vids array<bigint>, asset_ids array<bigint>"
+    schema = pa.schema([(f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")])
+    ids, words = pa.array(range(1200)), pa.array(texts)
+    objects = sys.getallocatedblocks()
+    table = text_index._inverted(ids, ids, words, 7, schema)
+    assert sys.getallocatedblocks() - objects < table.num_rows  # no Python object for each row
+    head, *rows = table.to_pylist()
+    assert head["n"] == 1200 and head["words"] == sum(map(len, texts)) and head["vids"] == head["asset_ids"] == list(range(1200)) and np.array_equal(np.frombuffer(head["lengths"], np.int32), [len(x) for x in texts])
+    found: dict = {}
+    for r in rows:
+        places, counts = np.frombuffer(r["places"], np.int32), np.frombuffer(r["counts"], np.int32)
+        assert r["segment"] == 7 and len(places) == len(counts) == r["n"] <= text_index.BLOCK and r["top"] == counts.max() and r["least"] == min(len(texts[k]) for k in places)
+        found.setdefault(r["term"], []).extend(zip(places.tolist(), counts.tolist(), strict=True))
+    want: dict = {}
+    for k, x in enumerate(texts):
+        for w in sorted(set(x)):
+            want.setdefault(w, []).append((k, x.count(w)))
+    assert found == want and sum(r["term"] == "often" for r in rows) == 3
+    none = text_index._inverted(pa.array([1]), pa.array([1]), pa.array([[]], pa.list_(pa.string())), 0, schema)
+    assert none.num_rows == 1 and none["words"].to_pylist() == [0]
