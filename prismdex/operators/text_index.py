@@ -25,6 +25,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prismdex.functions import fixed
+from prismdex.functions.chunks import word_lists
 from prismdex.operators import retrieval
 
 #: Texts and words of a segment, postings of a block, buckets of terms.
@@ -69,7 +70,7 @@ def _one_list(values: pa.Array) -> pa.Array:
 
 
 def built(texts: DataFrame, run: int = 0, most_texts: int = TEXTS) -> DataFrame:
-    """Index rows of texts (vid, asset_id, words: array of terms with repeats), in segments of a task's texts; run: a number that no other rows of the index have.
+    """Index rows of texts (vid, asset_id, words: terms with repeats, as an array or a string with single spaces), in segments of a task's texts; run: a number that no other rows of the index have.
 
     A row with null words is no text; a very long text is a segment of its own.  Rows stay in the task of their segment, sorted by bucket of the term and term: dealing them by
     ranges would make the index twice, once to find the ranges.
@@ -92,6 +93,8 @@ def built(texts: DataFrame, run: int = 0, most_texts: int = TEXTS) -> DataFrame:
 
         size = 0
         for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())  # here, as a filter of the table would make the words a second time
+            batch = batch.set_column(2, "words", word_lists(batch.column(2)))
             lengths = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
             at = 0
             while at < batch.num_rows:
@@ -106,7 +109,7 @@ def built(texts: DataFrame, run: int = 0, most_texts: int = TEXTS) -> DataFrame:
         if held:
             yield from flush()
 
-    rows = texts.where("words IS NOT NULL").select("vid", "asset_id", "words").mapInArrow(run_, StructType([schema[c] for c in names]))
+    rows = texts.select("vid", "asset_id", "words").mapInArrow(run_, StructType([schema[c] for c in names]))
     rows = rows.withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise((F.crc32("term") % BUCKETS).cast("int"))).select(*schema.names)
     return rows.sortWithinPartitions("bucket", "term", "segment")
 
