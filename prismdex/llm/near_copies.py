@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from prismdex.llm import textblocks as tb
 from prismdex.llm.components import components
 from prismdex.llm.simhash import block_fingerprints, linked_prints
-from prismdex.llm.tables import boxed, release, unboxed, written
+from prismdex.llm.tables import boxed, release, small_batches, unboxed, written
 
 SHINGLE = 5
 #: Least similarity, as a fraction.
@@ -210,7 +210,8 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     columns = texts.select("digest", "place").withColumns({"keys": F.array().cast("array<long>"), "print": F.lit(0).cast("long")})
     bands = texts.select("digest", "place", "text").mapInArrow(_bands, columns.schema)
     bands = bands.groupBy("digest").agg(F.min("place").alias("least"), F.first("keys").alias("keys"), F.first("print").alias("print"))
-    bands = written(bands.withColumn("id", F.monotonically_increasing_id()), "bands")
+    with small_batches(texts.sparkSession):
+        bands = written(bands.withColumn("id", F.monotonically_increasing_id()), "bands")
     known = bands.select("id", "digest", "least")
     known._written_to = bands._written_to
     printed = print_links(bands.select("id", "print"))
@@ -223,7 +224,8 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     dealt = pairs.join(parts, "a").select("a", F.pmod(F.xxhash64("b"), "parts").alias("part"), "b")
     stars = _with_texts(dealt, "b", known, texts).unionByName(_with_texts(dealt.select("a", "part").distinct(), "a", known, texts).withColumn("b", F.col("a")))
     stars = stars.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b") != F.col("a")).select("a", "part", "b", "text")
-    verified = written(stars.mapInArrow(_starred, "a long, b long").union(printed).distinct(), "verified")
+    with small_batches(texts.sparkSession):
+        verified = written(stars.mapInArrow(_starred, "a long, b long").union(printed).distinct(), "verified")
     release(shared, pairs, parts, printed)
     # Open buckets: those with texts of different groups besides the centre, which was compared with all.
     roots = written(components(written(verified.select("a", "b"), "links")), "roots")
@@ -237,7 +239,8 @@ def near_links(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     walked = rooted.join(open_, "key").withColumn("other", F.explode(other)).select(F.xxhash64("key", pair).alias("bucket"), "id", "root")
     walked = _with_texts(walked, "id", known, texts).dropDuplicates(["bucket", "id"])
     walked = walked.repartition("bucket").sortWithinPartitions("bucket", "id").mapInArrow(_compared, "a long, b long")
-    links = written(verified.union(walked).distinct(), "links")
+    with small_batches(texts.sparkSession):
+        links = written(verified.union(walked).distinct(), "links")
     release(members, verified, roots, rooted, open_)
     return known, links
 

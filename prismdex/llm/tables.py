@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +58,18 @@ def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def small_batches(spark: SparkSession, most: str = "4m") -> Iterator[None]:
+    """Jobs that run inside hand texts to Python in Arrow batches of about ``most`` bytes instead of 10,000 rows, which executor and worker would both hold."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)

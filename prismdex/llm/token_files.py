@@ -15,18 +15,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from prismdex.llm import textblocks as tb
-from prismdex.llm.tables import new_path, table
+from prismdex.llm.tables import new_path, small_batches, table
 from prismdex.llm.wavelet import Shard, pack
 
 SHARD_TOKENS = 1 << 20
 END = 0
 #: Pieces of text whose ids a worker remembers.
 REMEMBERED = 500_000
+#: Bytes of texts that are cut into pieces together.
+BLOCK = 1 << 20
 #: Pieces that are encoded together, as lines of one text.
 LINES = 512
 
@@ -57,9 +60,10 @@ class Encoder:
         self.cuts = _may_cut(json.loads(self.library.to_str()))
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.line = np.array(line, np.uint32)
-        # Kept pieces: their number by their text, and the range of their ids; a size of -1 marks other white space.
-        self.kept: dict[str, int] = {}
-        self.first, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        # Kept pieces, without objects of Python: ascending hashes and the piece of each; by piece its text without the space, whether it has one, and the range of its ids; a size of -1 marks other white space.
+        self.hashes, self.piece = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.texts, self.spaced = pa.array([], pa.string()), np.zeros(0, bool)
+        self.first, self.size, self.flat = np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint32)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -109,15 +113,18 @@ class Encoder:
     def _distinct(self, raw: np.ndarray, begin: np.ndarray, end: np.ndarray, spaced: np.ndarray) -> tuple[np.ndarray, ...]:
         """(which, sizes, first, ids): the distinct piece of each piece, and the ids of the distinct ones."""
         names, distinct = tb.named(raw, begin, end)
-        own, which = np.unique(2 * names.astype(np.int64) + spaced, return_inverse=True)
-        texts = [f" {x}" if y else x for x, y in zip(distinct.take(pa.array(own >> 1)).to_pylist(), (own & 1).tolist(), strict=True)]
-        place = np.array([self.kept.get(x, -1) for x in texts], np.int64)
+        own, which = np.unique(2 * names + spaced, return_inverse=True)
+        led = (own & 1).astype(bool)
+        texts = distinct.take(pa.array(own >> 1))
+        hashes = tb.mix(tb.span_hashes(*tb.bytes_of(distinct))[own >> 1] + led)
+        place = self._known(hashes, texts, led)
         known = place >= 0
         sizes = np.zeros(len(own), np.int64)
         sizes[known] = self.size[place[known]]
         new = np.flatnonzero(~known)
-        fits = np.array([texts[k].split() == [texts[k].removeprefix(" ")] for k in new.tolist()], bool)
-        found, ids = self._pieces([texts[k] for k in new[fits].tolist()])
+        plain = texts.take(pa.array(new)).to_pylist()
+        fits = np.array([x.split() == [x] for x in plain], bool)
+        found, ids = self._pieces([f" {x}" if y else x for x, y, z in zip(plain, led[new].tolist(), fits.tolist(), strict=True) if z])
         sizes[new] = -1
         sizes[new[fits]] = found
         # Ids of the distinct pieces, kept and new, in one array.
@@ -127,12 +134,30 @@ class Encoder:
         flat[np.flatnonzero(from_new)] = ids
         k = np.flatnonzero(known & (sizes > 0))
         flat[np.flatnonzero(~from_new)] = self.flat[_ranges(self.first[place[k]], sizes[k])]
-        if len(self.kept) < REMEMBERED and len(new):
-            start = len(self.flat) + np.concatenate([[0], np.cumsum(np.maximum(sizes[new], 0))])[:-1]
-            self.kept.update(zip((texts[k] for k in new.tolist()), range(len(self.kept), len(self.kept) + len(new)), strict=True))
-            self.first, self.size, self.flat = np.concatenate([self.first, start]), np.concatenate([self.size, sizes[new]]), np.concatenate([self.flat, ids])
+        if len(self.piece) < REMEMBERED and len(new):
+            self._keep(hashes[new], texts.take(pa.array(new)), led[new], sizes[new], ids)
         return which.ravel(), sizes, first, flat
 
+    def _known(self, hashes: np.ndarray, texts: pa.StringArray, spaced: np.ndarray) -> np.ndarray:
+        """The kept piece of each text, -1 for none; of kept pieces that share a hash only the first is found."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            some = np.flatnonzero(self.hashes[at] == hashes)
+            piece = self.piece[at[some]]
+            same = pc.equal(self.texts.take(pa.array(piece)), texts.take(pa.array(some))).to_numpy(zero_copy_only=False) & (self.spaced[piece] == spaced[some])
+            out[some[same]] = piece[same]
+        return out
+
+    def _keep(self, hashes: np.ndarray, texts: pa.StringArray, spaced: np.ndarray, sizes: np.ndarray, ids: np.ndarray) -> None:
+        start = len(self.flat) + np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+        self.texts, self.spaced = pa.concat_arrays([self.texts, texts]), np.concatenate([self.spaced, spaced])
+        self.first, self.size, self.flat = np.concatenate([self.first, start], dtype=np.int32, casting="same_kind"), np.concatenate([self.size, sizes], dtype=np.int32, casting="same_kind"), np.concatenate([self.flat, ids])
+        number = np.concatenate([self.piece, np.arange(len(self.piece), len(self.piece) + len(hashes))], dtype=np.int32, casting="same_kind")
+        both = np.concatenate([self.hashes, hashes])
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.piece = both[order], number[order]
+
     def __call__(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, first): the ids of text i are ids[first[i] : first[i + 1]]."""
         if not self.cuts:
@@ -207,7 +232,7 @@ def _packer(path: str | None, end: int, shard_tokens: int):
 
         for batch in batches:
             at = 0
-            for raw, off in tb.blocks(batch.column(1)):
+            for raw, off in tb.blocks(batch.column(1), BLOCK):
                 found, first = encode(raw, off)
                 n = len(off) - 1
                 tokens = np.insert(found, first[1:], end).astype(np.uint32)
@@ -240,7 +265,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, end:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows.mapInArrow(_packer(tokenizer, end, shard_tokens), _FILES).write.option("compression", "uncompressed").parquet(path)
+    with small_batches(docs.sparkSession):
+        rows.mapInArrow(_packer(tokenizer, end, shard_tokens), _FILES).write.option("compression", "uncompressed").parquet(path)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
