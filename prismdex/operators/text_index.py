@@ -89,7 +89,10 @@ def built(texts: DataFrame, run: int = 0, most_texts: int = TEXTS) -> DataFrame:
             words = pa.array(words.to_pylist(), words.type) if words.offset else words
             rows = _inverted(table["vid"].combine_chunks(), table["asset_id"].combine_chunks(), words, number, out)
             number, held = number + 1, []
+            del table, words
             yield from rows.to_batches(max_chunksize=4096)
+            del rows
+            pa.default_memory_pool().release_unused()  # a worker goes on to other tasks and would keep it
 
         size = 0
         for batch in batches:
